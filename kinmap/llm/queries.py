@@ -55,5 +55,11 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost_chars <= 50 * line_chars AS kept FROM a
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality_rules": op1_quality_rules}
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinmap.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality_rules": op1_quality_rules, "op3_simhash_near_dedup": op3_simhash_near_dedup}
 ORACLES: dict[str, str] = {"op1_quality_rules": OP1_SQL}
