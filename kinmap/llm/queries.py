@@ -61,5 +61,15 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality_rules": op1_quality_rules, "op3_simhash_near_dedup": op3_simhash_near_dedup}
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinmap.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
+}
 ORACLES: dict[str, str] = {"op1_quality_rules": OP1_SQL}
