@@ -176,7 +176,7 @@ def piece_table(docs: DataFrame, key: str, text: str, capacity: int, end_id: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
-        for batch in slices(batches, "_text", 4_000_000):
+        for batch in slices(batches, "_text", 6_000_000):
             offsets, ids = encode(text_column(batch.column("_text")))
             rows, number, start, length, crc = [], [], [], [], []
             end = np.array([end_id], np.uint32).tobytes()

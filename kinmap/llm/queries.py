@@ -87,12 +87,19 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k) for k in BASE_KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinmap.llm.tokenstore import write_store
+
+    return write_store(table(spark, sf_dir, "documents")).read_digests()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_decontamination": op7_decontamination,
     "op8_pii": op8_pii,
+    "op10_token_store": op10_token_store,
 }
 OP7_SQL = r"""
 WITH d AS (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -36,17 +37,16 @@ class Encoder:
         self.old: dict[str, bytes] = {}
 
     def pieces(self, vocabulary: list[str]) -> list[bytes]:
-        """Ids of each word as little-endian uint32."""
+        """Ids of each word as uint32."""
         if len(self.young) > CACHE_WORDS:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        found = [young.get(w) or old.get(w) for w in vocabulary]
-        new = [w for w, ids in zip(vocabulary, found) if ids is None]
-        if new:
-            got = [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            fresh = iter(got)
-            found = [next(fresh) if ids is None else ids for ids in found]
-        young.update(zip(vocabulary, found))
+        found = list(map(self.young.get, vocabulary))
+        absent = [i for i, ids in enumerate(found) if ids is None]
+        older = list(map(self.old.get, [vocabulary[i] for i in absent]))
+        new = [vocabulary[i] for i, ids in zip(absent, older) if ids is None]
+        got = iter([array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)] if new else ())
+        for i, ids in zip(absent, older):
+            found[i] = self.young[vocabulary[i]] = next(got) if ids is None else ids
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
