@@ -93,12 +93,20 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_store(table(spark, sf_dir, "documents")).read_digests()
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinmap.llm.langid import identify
+
+    found = identify(table(spark, sf_dir, "documents"))
+    return found.withColumn("posterior", F.round("posterior", 6)).withColumnRenamed("accepted", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_decontamination": op7_decontamination,
     "op8_pii": op8_pii,
+    "op9_language_id": op9_language_id,
     "op10_token_store": op10_token_store,
 }
 OP7_SQL = r"""
