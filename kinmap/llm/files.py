@@ -13,7 +13,7 @@ def create(folder: str, suffix: str):
     system, path = fs.FileSystem.from_uri(uri)
     if isinstance(system, fs.LocalFileSystem):
         system.create_dir(path.rpartition("/")[0], recursive=True)
-    return system.open_output_stream(path), uri
+    return system.open_output_stream(path, compression=None), uri  # else the suffix decides
 
 
 def open_file(uri: str):

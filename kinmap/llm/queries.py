@@ -100,9 +100,16 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("posterior", F.round("posterior", 6)).withColumnRenamed("accepted", "kept")
 
 
+def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinmap.llm.warc import write_archive
+
+    return write_archive(table(spark, sf_dir, "pages")).read().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_warc_bundles": op4_warc_bundles,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_decontamination": op7_decontamination,
     "op8_pii": op8_pii,

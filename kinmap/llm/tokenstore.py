@@ -16,6 +16,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -277,7 +278,7 @@ def write_store(docs: DataFrame, key: str = "doc_id", text: str = "text", end_id
         size = 0
         for batch in batches:
             key_type = batch.column(key).type
-            rows = batch.filter(pa.compute.equal(batch.column("kind"), 0)).drop_columns(["data"])
+            rows = batch.filter(pc.equal(batch.column("kind"), 0)).drop_columns(["data"])
             n = rows.num_rows
             if n:
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.nulls(n, pa.string()), *[pa.nulls(n, pa.int64())] * 4], names=names)
