@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from array import array
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +11,10 @@ import pyarrow as pa
 from kinmap.llm.words import Words, words_of
 
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker keeps in its younger generation; when that is full, it becomes the older one, and the older goes.
-CACHE_WORDS = 500_000
+#: Words whose ids a worker keeps; when full, all go.
+CACHE_WORDS = 1_000_000
+#: New words that are encoded as one string, with a separator between them.
+JOINED = 64
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -33,36 +35,55 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def pieces(self, vocabulary: list[str]) -> list[bytes]:
-        """Ids of each word as uint32."""
-        if len(self.young) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
-        found = list(map(self.young.get, vocabulary))
-        absent = [i for i, ids in enumerate(found) if ids is None]
-        older = list(map(self.old.get, [vocabulary[i] for i in absent]))
-        new = [vocabulary[i] for i, ids in zip(absent, older) if ids is None]
-        got = iter([array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)] if new else ())
-        for i, ids in zip(absent, older):
-            found[i] = self.young[vocabulary[i]] = next(got) if ids is None else ids
+        alone = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in "|~^`"}
+        self.separator, self.separator_id = next(((c, ids[0]) for c, ids in alone.items() if len(ids) == 1), ("", -1))
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.begins, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes new words and appends their ids. Words are joined by a separator of one id that none of them holds, so the ids
+        between two separators are those of a word."""
+        plain = [w for w in words if self.separator and self.separator not in w]
+        rest = [w for w in words if not self.separator or self.separator in w]
+        lines = [f" {self.separator} ".join([*plain[i : i + JOINED], ""]) for i in range(0, len(plain), JOINED)]
+        for texts, names in ((lines, plain), (rest, rest)):
+            if not texts:
+                continue
+            got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            flat = np.fromiter(chain.from_iterable(e.ids for e in got), np.uint32)
+            if texts is lines:
+                marks = np.flatnonzero(flat == self.separator_id)
+                sizes = np.diff(marks, prepend=-1) - 1
+                flat = np.delete(flat, marks)
+            else:
+                sizes = np.fromiter(map(len, got), np.int64, len(got))
+            first = len(self.sizes)
+            self.known.update(zip(names, range(first, first + len(names)), strict=True))
+            self.begins = np.concatenate((self.begins, len(self.ids) + np.cumsum(sizes) - sizes))
+            self.sizes = np.concatenate((self.sizes, sizes))
+            self.ids = np.concatenate((self.ids, flat))
+
+    def places(self, vocabulary: list[str]) -> np.ndarray:
+        found = np.fromiter(map(self.known.get, vocabulary, repeat(-1)), np.int64, len(vocabulary))
+        if (found < 0).any():
+            self.learn([vocabulary[i] for i in np.flatnonzero(found < 0).tolist()])
+            found = np.fromiter(map(self.known.__getitem__, vocabulary), np.int64, len(vocabulary))
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets (one more than texts) and ids (uint32) of all texts."""
+        if len(self.known) > CACHE_WORDS:
+            self.clear()
         words: Words = words_of(texts)
-        spelled = words.vocabulary.to_pylist()
-        if "" in spelled:  # no word has this code
-            spelled[spelled.index("")] = " "
-        pieces = self.pieces(spelled)
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-        begins = np.cumsum(sizes) - sizes
-        pool = np.frombuffer(b"".join(pieces), np.uint32)
+        place = self.places(words.vocabulary.to_pylist())
+        begins, sizes = self.begins[place], self.sizes[place]
         lengths = sizes[words.codes]
         upto = np.concatenate(([0], np.cumsum(lengths)))
         at = np.arange(upto[-1]) + np.repeat(begins[words.codes] - upto[:-1], lengths)
-        return upto[words.offsets], pool[at]
+        return upto[words.offsets], self.ids[at]
 
 
 _encoders: dict[str, Encoder] = {}

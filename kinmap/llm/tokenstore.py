@@ -253,7 +253,7 @@ def write_store(docs: DataFrame, key: str = "doc_id", text: str = "text", end_id
         seen: set[bytes] = set()
         file, uri, written = None, None, 0
         frame: list[tuple[bytes, bytes]] = []
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=1)
 
         def flush() -> pa.RecordBatch:
             nonlocal file, uri, written
