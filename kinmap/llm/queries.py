@@ -106,8 +106,17 @@ def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_archive(table(spark, sf_dir, "pages")).read().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinmap.llm.sharding import shard_documents
+
+    placed = shard_documents(table(spark, sf_dir, "documents"))
+    columns = ("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"))
+    return placed.select(*columns, F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_sharding": op2_sharding,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_warc_bundles": op4_warc_bundles,
     "op6_best_fit_packing": op6_best_fit_packing,
