@@ -188,8 +188,8 @@ class Archive:
                                 columns.append(pa.array([r.payload if r.fields["WARC-Type"] == "response" else None for r in rows], pa.binary()))
                             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
 
-        bundles = self.index.select("bundle").distinct()
-        return bundles.repartition("bundle").mapInArrow(run, schema)
+        bundles = saved(self.index.select("bundle").distinct(), "bundles")
+        return bundles.repartition(max(1, bundles.count())).mapInArrow(run, schema)  # a task for each bundle
 
     def seek(self, wanted: DataFrame) -> DataFrame:
         """The records of the pages in ``wanted(page_id)``, each from its frame alone: page_id, record_type, payload (revisits: null)."""
