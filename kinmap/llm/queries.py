@@ -114,11 +114,18 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(*columns, F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinmap.llm.html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_warc_bundles": op4_warc_bundles,
+    "op5_html_text": op5_html_text,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_decontamination": op7_decontamination,
     "op8_pii": op8_pii,
