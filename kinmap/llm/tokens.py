@@ -41,15 +41,16 @@ class Encoder:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.begins, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.begins, self.sizes, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
-    def learn(self, words: list[str]) -> None:
-        """Encodes new words and appends their ids. Words are joined by a separator of one id that none of them holds, so the ids
-        between two separators are those of a word."""
-        plain = [w for w in words if self.separator and self.separator not in w]
-        rest = [w for w in words if not self.separator or self.separator in w]
+    def learn(self, words: list[str]) -> np.ndarray:
+        """Encodes new words, appends their ids and returns their places. Words are joined by a separator of one id that none of them
+        holds, so the ids between two separators are those of a word."""
+        odd = [not self.separator or self.separator in w for w in words]
+        plain, rest = [w for w, o in zip(words, odd) if not o], [w for w, o in zip(words, odd) if o]
         lines = [f" {self.separator} ".join([*plain[i : i + JOINED], ""]) for i in range(0, len(plain), JOINED)]
-        for texts, names in ((lines, plain), (rest, rest)):
+        out = np.zeros(len(words), np.int64)
+        for texts, names, mine in ((lines, plain, False), (rest, rest, True)):
             if not texts:
                 continue
             got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -60,17 +61,19 @@ class Encoder:
                 flat = np.delete(flat, marks)
             else:
                 sizes = np.fromiter(map(len, got), np.int64, len(got))
-            first = len(self.sizes)
-            self.known.update(zip(names, range(first, first + len(names)), strict=True))
-            self.begins = np.concatenate((self.begins, len(self.ids) + np.cumsum(sizes) - sizes))
-            self.sizes = np.concatenate((self.sizes, sizes))
+            places = range(len(self.sizes), len(self.sizes) + len(names))
+            self.known.update(zip(names, places, strict=True))
+            out[np.fromiter((o is mine for o in odd), bool, len(odd))] = places
+            self.begins = np.concatenate((self.begins, (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)))
+            self.sizes = np.concatenate((self.sizes, sizes.astype(np.int32)))
             self.ids = np.concatenate((self.ids, flat))
+        return out
 
     def places(self, vocabulary: list[str]) -> np.ndarray:
         found = np.fromiter(map(self.known.get, vocabulary, repeat(-1)), np.int64, len(vocabulary))
-        if (found < 0).any():
-            self.learn([vocabulary[i] for i in np.flatnonzero(found < 0).tolist()])
-            found = np.fromiter(map(self.known.__getitem__, vocabulary), np.int64, len(vocabulary))
+        absent = np.flatnonzero(found < 0)
+        if len(absent):
+            found[absent] = self.learn([vocabulary[i] for i in absent.tolist()])
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -81,8 +84,8 @@ class Encoder:
         place = self.places(words.vocabulary.to_pylist())
         begins, sizes = self.begins[place], self.sizes[place]
         lengths = sizes[words.codes]
-        upto = np.concatenate(([0], np.cumsum(lengths)))
-        at = np.arange(upto[-1]) + np.repeat(begins[words.codes] - upto[:-1], lengths)
+        upto = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+        at = np.arange(upto[-1], dtype=np.int32) + np.repeat((begins[words.codes] - upto[:-1]).astype(np.int32), lengths)
         return upto[words.offsets], self.ids[at]
 
 
