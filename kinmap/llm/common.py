@@ -11,7 +11,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Text bytes that a Python worker handles at a time.
@@ -126,9 +125,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             yield batch.slice(begin)
 
 
-def arrow_schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+class Carried:
+    """Columns that pass through a Python stage unread, under names of their own (k0, k1, ...), so that none can clash."""
 
-
-def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    def __init__(self, df: DataFrame, keep: list[str]) -> None:
+        self.keep, self.names = keep, [f"k{i}" for i in range(len(keep))]
+        self.columns = [F.col(f"`{c}`").alias(n) for c, n in zip(keep, self.names)]
+        self.ddl = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for c, n in zip(keep, self.names))
+        self.restored = [F.col(n).alias(c) for c, n in zip(keep, self.names)]

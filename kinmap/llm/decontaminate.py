@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmap.llm.common import saved, slices
+from kinmap.llm.common import Carried, saved, slices
 from kinmap.llm.words import ALNUM, Words, text_column, translated, words_of
 
 #: Words of a k-gram. With windows of ``span - K + 1`` k-grams, every shared span of ``span`` words shares a fingerprint.
@@ -154,8 +154,8 @@ def item_blocks(items: DataFrame, key: str, text: str, block_words: int) -> list
     return [chosen] if n == 1 else [chosen.filter(F.pmod(F.xxhash64("name", "words"), F.lit(n)) == i) for i in range(n)]
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", k: int = K, span: int = SPAN, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row a document: ``key``, n_words, n_hit, n_items, items (their ids as strings, sorted), hit_spans (word positions).
+def find_contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", k: int = K, span: int = SPAN, block_words: int = BLOCK_WORDS, keep: list[str] | None = None) -> DataFrame:
+    """One row a document: the columns ``keep`` (``key`` alone by default), n_words, n_hit, n_items, items (their ids as strings, sorted), hit_spans (word positions).
 
     Words are runs of digits, A-Z lower-cased, and characters beyond ASCII. A word is hit if it lies in an occurrence of ``span``
     consecutive words of an item, or of a whole shorter item. Null and empty texts and items have no words and no hits; a null
@@ -167,13 +167,14 @@ def find_contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", t
     """
     if not 1 <= k <= span:
         raise ValueError("a k-gram must fit into the span")
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, n_words long, n_hit long, n_items long, items array<string>, hit_spans array<struct<begin:long,end:long>>"
+    carried = Carried(docs, [key] if keep is None else keep)
+    own = carried.names
+    found_ddl = "n_words long, n_hit long, n_items long, items array<string>, hit_spans array<struct<begin:long,end:long>>"
+    added = ["n_words", "n_hit", "n_items", "items", "hit_spans"]
     blocks = item_blocks(items, item_key, item_text, block_words)
 
     def one_pass(docs: DataFrame, block: DataFrame, row: bool) -> DataFrame:
         held = docs.sparkSession.sparkContext.broadcast([(name, words) for name, words in block.collect()])
-        first = "_row" if row else "_key"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = [name for name, _ in held.value]
@@ -182,13 +183,14 @@ def find_contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", t
             for batch in slices(batches, "_text"):
                 got = judge(text_column(batch.column("_text")), iter([index]))
                 columns = [[g[0] for g in got], [sum(b - a for a, b in g[1]) for g in got], [len(g[2]) for g in got], [g[2] for g in got], [[{"begin": a, "end": b} for a, b in g[1]] for g in got]]
-                yield pa.RecordBatch.from_arrays([batch.column(first), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=[first if row else key, "n_words", "n_hit", "n_items", "items", "hit_spans"])
+                yield pa.RecordBatch.from_arrays([*([batch.column("_row")] if row else [*map(batch.column, own)]), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=[*(["_row"] if row else own), *added])
 
-        return docs.mapInArrow(run, schema.replace(f"{key} {kind}", "_row long", 1) if row else schema)
+        read = docs.select("_row", "_text") if row else docs
+        return read.mapInArrow(run, f"{'_row long' if row else carried.ddl}, {found_ddl}")
 
-    chosen = docs.selectExpr(f"`{key}` AS _key", f"`{text}` AS _text")
+    chosen = docs.select(*carried.columns, F.col(text).alias("_text"))
     if len(blocks) == 1:
-        return one_pass(chosen, blocks[0], False)
+        return one_pass(chosen, blocks[0], False).select(*carried.restored, *added)
     numbered = saved(chosen.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     passes = saved(one_pass(numbered, blocks[0], True), "pass")
     for block in blocks[1:]:
@@ -203,7 +205,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", t
          concat(slice(done, 1, size(done) - 1), array(named_struct('begin', element_at(done, -1).begin, 'end', greatest(element_at(done, -1).end, x.end)))),
          concat(done, array(x))))"""
     merged = merged.select("_row", "n_words", "items", F.expr(step).alias("hit_spans"))
-    return numbered.select(F.col("_key").alias(key), "_row").join(merged, "_row").select(
-        key, "n_words", F.expr("aggregate(hit_spans, 0L, (n, x) -> n + x.end - x.begin)").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "hit_spans"
+    return numbered.join(merged, "_row").select(
+        *carried.restored, "n_words", F.expr("aggregate(hit_spans, 0L, (n, x) -> n + x.end - x.begin)").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "hit_spans"
     )
 

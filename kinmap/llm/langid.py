@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinmap.llm.common import saved, skew_join, slices
+from kinmap.llm.common import Carried, saved, skew_join, slices
 from kinmap.llm.words import text_column, translated
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -174,7 +174,9 @@ def identify(
     names = (*model.languages, UNKNOWN)
     world = [(1 - UNKNOWN_PRIOR) / (len(names) - 1)] * (len(names) - 1) + [UNKNOWN_PRIOR]
     where = F.lower(F.coalesce(F.col(host), F.lit("")))
-    rows = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text).alias("_text"), where.alias("_host"), suffix_of(where).alias("_suffix"), declared_class(F.col(declared), model.languages).alias("_declared"))
+    carried = Carried(docs, keep)
+    own = carried.names
+    rows = docs.select(*carried.columns, F.col(text).alias("_text"), where.alias("_host"), suffix_of(where).alias("_suffix"), declared_class(F.col(declared), model.languages).alias("_declared"))
     votes = saved(evidence(rows, model, world), "votes")
     claims = np.log(declared_table(votes, len(names)))
     priors = saved(host_priors(votes, len(names)).withColumnRenamed("host", "_host"), "priors")
@@ -183,7 +185,6 @@ def identify(
         joined = rows.join(F.broadcast(priors.drop("n")), "_host", "left")
     else:
         joined = skew_join(rows, priors, "_host", "n", size["rows"])
-    own = [f"k{i}" for i in range(len(keep))]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
@@ -199,11 +200,10 @@ def identify(
             alone = np.where(n > 0, np.argmax(scores + np.log(world), axis=1), len(names) - 1)
             accepted = (best < len(names) - 1) & (sure >= min_posterior)
             listed = pa.array(names)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), listed.take(pa.array(best)), pa.array(sure), listed.take(pa.array(alone)), pa.array(accepted)], names=[*own, *added])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, own), listed.take(pa.array(best)), pa.array(sure), listed.take(pa.array(alone)), pa.array(accepted)], names=[*own, *added])
 
-    kinds = ", ".join(f"{c} {docs.schema[k].dataType.simpleString()}" for c, k in zip(own, keep))
-    judged = joined.select(*own, "_text", "_declared", "prior").mapInArrow(judge, f"{kinds}, language string, posterior double, text_language string, accepted boolean")
-    return judged.select(*(F.col(c).alias(k) for c, k in zip(own, keep)), *added)
+    judged = joined.select(*carried.names, "_text", "_declared", "prior").mapInArrow(judge, f"{carried.ddl}, language string, posterior double, text_language string, accepted boolean")
+    return judged.select(*carried.restored, *added)
 
 
 def markup_language(html: Column) -> Column:

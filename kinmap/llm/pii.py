@@ -8,8 +8,9 @@ from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from kinmap.llm.common import slices
+from kinmap.llm.common import Carried, slices
 from kinmap.llm.words import text_column
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -182,24 +183,26 @@ SPANS = "spans array<struct<kind:string,start:long,end:long,score:double>>"
 _SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
 
-def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
-    """One row a document: ``key``, spans (code points, end exclusive) and, if asked for, ``redacted_text``.
+def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """One row a document: the columns ``keep`` (``key`` alone by default), spans (code points, end exclusive) and, if asked for, ``redacted_text``.
 
     No shuffle; whole texts, each pattern linear in a text's length. Null texts count as empty and have no spans (their redacted
-    text is null); null keys and repeated rows come back as they are; extra columns are not read.
+    text is null); null keys and repeated rows come back as they are; further columns are not read, and ``keep`` may not name an added one.
     """
-    kind = docs.schema[key].dataType.simpleString()
+    carried = Carried(docs, [key] if keep is None else keep)
+    own = carried.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text", 8_000_000):
             column = batch.column("_text")
             texts = text_column(column).to_pylist()
             found = [find_spans(t) for t in texts]
-            columns = [batch.column("_key"), pa.array([[s._asdict() for s in f] for f in found], _SPAN_TYPE)]
+            columns = [*map(batch.column, own), pa.array([[s._asdict() for s in f] for f in found], _SPAN_TYPE)]
             if with_text:
                 clean = [redacted(t, f) if f else t for t, f in zip(texts, found)]
                 columns.append(pa.array([None if null else c for c, null in zip(clean, column.is_null().to_pylist())], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=[key, "spans", *["redacted_text"] * with_text])
+            yield pa.RecordBatch.from_arrays(columns, names=[*own, "spans", *["redacted_text"] * with_text])
 
-    schema = f"{key} {kind}, {SPANS}" + ", redacted_text string" * with_text
-    return docs.selectExpr(f"`{key}` AS _key", f"`{text}` AS _text").mapInArrow(run, schema)
+    added = ["spans", *["redacted_text"] * with_text]
+    schema = f"{carried.ddl}, {SPANS}" + ", redacted_text string" * with_text
+    return docs.select(*carried.columns, F.col(text).alias("_text")).mapInArrow(run, schema).select(*carried.restored, *added)
