@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinmap.llm.common import Carried, saved, slices
-from kinmap.llm.words import ALNUM, Words, text_column, translated, words_of
+from kinmap.llm.words import ALNUM, Words, listed, text_column, translated, words_of
 
 #: Words of a k-gram. With windows of ``span - K + 1`` k-grams, every shared span of ``span`` words shares a fingerprint.
 K = 5
@@ -25,7 +25,7 @@ def word_hashes(words: Words) -> np.ndarray:
     """64-bit hashes of the words in order, from the distinct words."""
     import xxhash
 
-    spelled = words.vocabulary.cast(pa.binary()).to_pylist()
+    spelled = listed(words.vocabulary.cast(pa.binary()))
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in spelled), np.uint64, len(spelled))[words.codes]
 
 
@@ -86,7 +86,7 @@ class Index:
 
     def hits(self, words: Words, hashes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(row, from, to, item): word spans of the slice that hold an occurring window, extended as far as the words agree."""
-        spelled = words.vocabulary.to_pylist()
+        spelled = listed(words.vocabulary)
         codes, offsets, rows = words.codes, words.offsets, words.rows
         if len(self.long_keys) and len(codes) >= self.k:
             grams = gram_hashes(hashes, self.k)
@@ -120,7 +120,7 @@ class Index:
 
 def item_words(column: pa.Array) -> list[list[str]]:
     words = words_of(translated(text_column(column), ALNUM))
-    spelled = words.vocabulary.to_pylist()
+    spelled = listed(words.vocabulary)
     return [[spelled[c] for c in words.codes[a:b].tolist()] for a, b in zip(words.offsets[:-1].tolist(), words.offsets[1:].tolist())]
 
 

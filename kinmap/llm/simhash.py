@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kinmap.llm.common import saved, skew_join, slices
 from kinmap.llm.components import components
-from kinmap.llm.words import LOWER, text_column, translated, words_of
+from kinmap.llm.words import LOWER, listed, text_column, translated, words_of
 
 #: Fingerprints of a block of the trie: what one task of the join holds on either side.
 BLOCK = 1 << 19
@@ -26,7 +26,7 @@ FRONTIER = 1 << 20
 def fingerprints(texts: pa.Array, shingle: int = 3, seed: int = 42) -> np.ndarray:
     """Unsigned 64-bit SimHash of each text: lower-cased A-Z, word shingles with repeats, XXH64; 0 without words."""
     words = words_of(translated(texts, LOWER))
-    spelled = words.vocabulary.cast(pa.binary()).to_pylist()
+    spelled = listed(words.vocabulary.cast(pa.binary()))
     flat = [spelled[c] for c in words.codes.tolist()]
     joined = b" ".join(flat)
     lengths = np.fromiter(map(len, flat), np.int64, len(flat))

@@ -8,7 +8,7 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 
-from kinmap.llm.words import Words, words_of
+from kinmap.llm.words import Words, listed, words_of
 
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker keeps; when full, all go.
@@ -81,7 +81,7 @@ class Encoder:
         if len(self.known) > CACHE_WORDS:
             self.clear()
         words: Words = words_of(texts)
-        place = self.places(words.vocabulary.to_pylist())
+        place = self.places(listed(words.vocabulary))
         begins, sizes = self.begins[place], self.sizes[place]
         lengths = sizes[words.codes]
         upto = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))

@@ -27,6 +27,11 @@ def translated(column: pa.Array, by: bytes) -> pa.Array:
     return pa.StringArray.from_buffers(len(column), pa.py_buffer((ends - ends[0]).astype(np.int32)), pa.py_buffer(raw))
 
 
+def listed(strings: pa.Array) -> list:
+    """The strings (or bytes) as Python objects, many times faster than ``to_pylist``."""
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
 @dataclass
 class Words:
     """Row i has the words codes[offsets[i]:offsets[i + 1]] of vocabulary."""
