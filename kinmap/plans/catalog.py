@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinmap.plans import search
+from kinmap.plans import matching, search
 
-_GROUPS = (search,)
+_GROUPS = (search, matching)
 
 
 def queries() -> dict:
