@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kinmap.session import checkpointed
+
 RATIO = 0.8
 MAX_LEVELS = 50
 
@@ -69,12 +71,12 @@ def bfs_levels(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
     A join for each level; nodes already seen drop out by an anti-join. Lineage is cut by checkpoints, level by level.
     """
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
-    seen = starts.select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("level")).checkpoint()
+    both = checkpointed(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    seen = checkpointed(starts.select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("level")))
     front = seen
     for level in range(1, MAX_LEVELS):
         step = front.join(both, front["node"] == both["u"]).select("start", F.col("v").alias("node")).distinct()
-        front = step.join(seen, ["start", "node"], "left_anti").withColumn("level", F.lit(level).cast("long")).checkpoint()
+        front = checkpointed(step.join(seen, ["start", "node"], "left_anti").withColumn("level", F.lit(level).cast("long")))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinmap.plans import matching, search
+from kinmap.plans import files, images, kernels, matching, search
 
-_GROUPS = (search, matching)
+_GROUPS = (search, matching, images, files, kernels)
 
 
 def queries() -> dict:

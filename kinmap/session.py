@@ -3,8 +3,17 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df``, computed and written to the folder in spark.checkpoint.dir (where that is unset, as in tests, to a temporary one)."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinmap-"))
+    return df.checkpoint()
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
