@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 KEYPOINT = "x float, y float, size float, angle float, response float, octave int"
@@ -135,23 +135,27 @@ def gray(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
     return pixels[:, :, 0] if channels == 1 else pixels[:, :, :3] @ np.array([0.114, 0.587, 0.299])
 
 
-def extract_features(images: DataFrame, detector: str = "SURF3", descriptor: str = "SURF") -> DataFrame:
+def extract_features(images: DataFrame, detector: str = "SURF3", descriptor: str = "SURF", tasks: int | None = None) -> DataFrame:
     """image_id, kp_idx, x, y, size, angle, response, octave, vec from images (image_id, height, width, channels, data); an image that
-    cannot be read gives one row without vec and with an error."""
+    cannot be read gives one row without vec and with an error. ``tasks`` deals images out anew where a few files hold many."""
     detect, describe = _detectors[detector], _describers[descriptor]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in KEYPOINT.split(", ")]
         for batch in batches:
-            for row in batch.itertuples():
+            for row in batch.to_pandas().itertuples():
                 try:
                     image = gray(row.height, row.width, row.channels, row.data)
                     points = detect(image)
-                    vecs = describe(image, points)
-                    out = pd.DataFrame(points, columns=names)
-                    out["vec"], out["error"] = list(vecs), None
+                    vecs, error = list(describe(image, points)), None
                 except Exception as x:
-                    out = pd.DataFrame([[None] * len(names)], columns=names).assign(vec=None, error=repr(x))
-                yield out.assign(image_id=row.image_id, kp_idx=range(len(out)))[["image_id", "kp_idx", *names, "vec", "error"]]
-
-    return images.select("image_id", "height", "width", "channels", "data").mapInPandas(run, f"image_id long, kp_idx long, {KEYPOINT}, vec array<double>, error string")
+                    points, vecs, error = np.full((1, len(names)), np.nan), [None], repr(x)
+                n = len(vecs)
+                columns = [pa.array([row.image_id] * n, pa.int64()), pa.array(range(n), pa.int64())]
+                columns += [pa.array(c, pa.float32(), from_pandas=True) for c in points[:, :-1].T]
+                columns += [pa.array(points[:, -1], pa.float64(), from_pandas=True).cast(pa.int32())]
+                columns += [pa.array(vecs, pa.list_(pa.float64())), pa.array([error] * n, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["image_id", "kp_idx", *names, "vec", "error"])
+
+    chosen = images.select("image_id", "height", "width", "channels", "data")
+    return (chosen.repartition(tasks, "image_id") if tasks else chosen).mapInArrow(run, f"image_id long, kp_idx long, {KEYPOINT}, vec array<double>, error string")

@@ -35,7 +35,7 @@ def surf_features(spark, sf):
     wide = F.expr("flatten(transform(sequence(0, 39), y -> transform(sequence(0, 39), x -> least(255, greatest(0, floor((e[cast((y div 5) * 8 + x div 5 AS int)] + 1) * 127.5D))))))")
     images = vectors(spark, sf).select(F.col("vec_id").alias("image_id"), F.lit(40).alias("height"), F.lit(40).alias("width"), F.lit(1).alias("channels"), wide.alias("pixels"))
     images = images.withColumn("data", F.unhex(F.expr("concat_ws('', transform(pixels, p -> lpad(hex(cast(p AS bigint)), 2, '0')))")))
-    found = features.extract_features(images, "SURF", "SURF")
+    found = features.extract_features(images, "SURF", "SURF", spark.sparkContext.defaultParallelism)
     return found.select("image_id", "kp_idx", "x", "y", "size", F.round("response", 3).alias("response"), F.size("vec").alias("dims"))
 
 
