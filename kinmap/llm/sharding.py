@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right, insort
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -150,7 +151,30 @@ def even_shards(sizes: list[int], shards: int) -> list[int]:
             best, high = tried, middle
     for i, b in zip(rest, best or []):
         out[i] = alone + b
-    return out
+    return levelled(sizes, out, shards)
+
+
+def levelled(sizes: list[int], homes: list[int], shards: int) -> list[int]:
+    """Moves sizes from the fullest to the emptiest shard, the one nearest to half their gap first, until none makes them more equal."""
+    held: list[list[tuple[int, int]]] = [[] for _ in range(shards)]
+    for i, (s, h) in enumerate(zip(sizes, homes)):
+        held[h].append((s, i))
+    loads = [sum(s for s, _ in h) for h in held]
+    for h in held:
+        h.sort()
+    while True:
+        full, bare = loads.index(max(loads)), loads.index(min(loads))
+        gap = loads[full] - loads[bare]
+        at = bisect_right(held[full], (gap // 2, len(sizes))) - 1
+        if at < 0 or held[full][at][0] == 0:
+            at += 1
+            if at >= len(held[full]) or not 0 < held[full][at][0] < gap:
+                break
+        moved = held[full].pop(at)
+        insort(held[bare], moved)
+        loads[full] -= moved[0]
+        loads[bare] += moved[0]
+    return [h for _, h in sorted((i, h) for h, own in enumerate(held) for _, i in own)]
 
 
 @dataclass(frozen=True)

@@ -86,14 +86,20 @@ class Store:
     path: str
     width: int
     key: str
+    kind: str
+
+    def _rows(self) -> DataFrame:
+        columns = f"{self.key} {self.kind}, n_tokens long, root binary, keys array<binary>, after array<long>, chunk binary, pack string, frame long, frame_bytes long, at long, n long, kind int"
+        return self.spark.read.schema(columns).parquet(f"{self.path}/index")
 
     @property
     def index(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/index").filter("kind = 1").select("chunk", "pack", "frame", "frame_bytes", "at", "n")
+        return self._rows().filter("kind = 1").select("chunk", "pack", "frame", "frame_bytes", "at", "n")
 
     @property
     def recipes(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/recipes")
+        columns = f"{self.key} {self.kind}, n_tokens long, root binary, keys array<binary>, after array<long>, start long"
+        return self.spark.read.schema(columns).parquet(f"{self.path}/recipes")
 
     @property
     def manifest(self) -> DataFrame:
@@ -153,7 +159,7 @@ class Store:
     def read_documents(self) -> DataFrame:
         """``key``, start and ids (array of ints) of every document, put together from its chunks and checked against its Merkle root."""
         width, key = self.width, self.key
-        kind = self.recipes.schema[key].dataType.simpleString()
+        kind = self.kind
         refs = self.references()
         data = self.chunks(with_data=True).select("chunk", "data")
         parts = refs.join(data, "chunk").groupBy("start").agg(F.array_sort(F.collect_list(F.struct(-F.col("after"), "chunk", "data"))).alias("parts"))
@@ -297,11 +303,12 @@ def write_store(docs: DataFrame, key: str = "doc_id", text: str = "text", end_id
 
     met = cut_rows.repartition(F.xxhash64("chunk", "root", key))
     met.mapInArrow(store, f"{columns}, pack string, frame long, frame_bytes long, at long, n long").write.partitionBy("kind").parquet(f"{path}/index")
-    rows = spark.read.schema(f"{key} {kind}, n_tokens long, root binary, keys array<binary>, after array<long>, kind int").parquet(f"{path}/index").filter("kind = 0").drop("kind")
+    written = Store(spark, path, width, key, kind)
+    rows = written._rows().filter("kind = 0").select(key, "n_tokens", "root", "keys", "after")
     parts = max(1, math.ceil(rows.count() / PART))
     placed = prefix_sum(rows, key, ["root"], "n_tokens", "start", parts)
     placed.repartitionByRange(parts, "start").sortWithinPartitions("start").write.parquet(f"{path}/recipes")
-    recipes = spark.read.parquet(f"{path}/recipes")
+    recipes = written.recipes
 
     def roots(group: pa.Table) -> pa.Table:
         group = group.sort_by("start")
@@ -311,4 +318,4 @@ def write_store(docs: DataFrame, key: str = "doc_id", text: str = "text", end_id
     total = recipes.agg(F.max("start")).first()[0] or 0
     numbered = recipes.select("start", "root", F.expr(f"cast(start div {total // parts + 1} AS int)").alias("part"))
     numbered.groupBy("part").applyInArrow(roots, "part int, first long, documents long, root binary").write.parquet(f"{path}/manifest")
-    return Store(spark, path, width, key)
+    return written
