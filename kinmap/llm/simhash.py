@@ -23,8 +23,20 @@ LEAST_PREFIX = 4
 FRONTIER = 1 << 20
 
 
-def fingerprints(texts: pa.Array, shingle: int = 3, seed: int = 42) -> np.ndarray:
-    """Unsigned 64-bit SimHash of each text: lower-cased A-Z, word shingles with repeats, XXH64; 0 without words."""
+def mixed(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """``lanes`` independent 64-bit hashes of each hash, the first being the hash itself."""
+    out = [hashes]
+    for k in range(1, lanes):
+        x = hashes + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # fixed values of the splitmix64 finaliser
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+        out.append(x ^ (x >> np.uint64(31)))
+    return np.stack(out, axis=1)
+
+
+def fingerprints(texts: pa.Array, shingle: int = 3, seed: int = 42, lanes: int = 1) -> np.ndarray:
+    """SimHash of each text, a row of ``lanes`` unsigned 64-bit numbers: lower-cased A-Z, word shingles with repeats, XXH64 (mixed for
+    the lanes after the first); 0 without words."""
     words = words_of(translated(texts, LOWER))
     spelled = listed(words.vocabulary.cast(pa.binary()))
     flat = [spelled[c] for c in words.codes.tolist()]
@@ -37,23 +49,24 @@ def fingerprints(texts: pa.Array, shingle: int = 3, seed: int = 42) -> np.ndarra
     rows = np.repeat(np.arange(len(n)), per_row)
     first = words.offsets[rows] + (np.arange(len(rows)) - np.repeat(np.cumsum(per_row) - per_row, per_row))
     last = np.minimum(first + shingle, words.offsets[rows + 1]) - 1
-    ones = np.zeros((len(n), 64), np.int64)
+    ones = np.zeros((len(n), 64 * lanes), np.int64)
     digest = xxhash.xxh64_intdigest
-    for at in range(0, len(rows), 1 << 17):  # so that one very long text needs no more memory than many short ones
-        part = slice(at, at + (1 << 17))
-        hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[first[part]].tolist(), ends[last[part]].tolist())), np.uint64, len(rows[part]))
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for at in range(0, len(rows), 1 << 16):  # so that one very long text needs no more memory than many short ones
+        part = slice(at, at + (1 << 16))
         own = rows[part]
-        begin = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        ones[own[begin]] += np.add.reduceat(bits, begin, axis=0, dtype=np.int64)
-    return np.packbits((2 * ones > per_row[:, None]).astype(np.uint8), axis=1, bitorder="little").view(np.uint64).reshape(-1)
+        hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[first[part]].tolist(), ends[last[part]].tolist())), np.uint64, len(own))
+        bits = np.unpackbits(mixed(hashes, lanes).view(np.uint8).reshape(len(own), -1), axis=1, bitorder="little")
+        begin = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))).tolist()
+        for a, b in zip(begin, [*begin[1:], len(own)]):
+            ones[own[a]] += bits[a:b].sum(axis=0, dtype=np.int32)
+    return np.packbits((2 * ones > per_row[:, None]).astype(np.uint8), axis=1, bitorder="little").view(np.uint64).reshape(len(n), lanes)
 
 
 def fingerprint_table(docs: DataFrame, key: str, text: str, shingle: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             got = fingerprints(text_column(batch.column("_text")), shingle, seed)
-            yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(got.view(np.int64))], names=[key, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(got[:, 0].view(np.int64))], names=[key, "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.selectExpr(f"`{key}` AS _key", f"`{text}` AS _text").mapInArrow(run, f"{key} {kind}, fp long")
