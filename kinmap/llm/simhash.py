@@ -20,14 +20,14 @@ from kinmap.llm.words import LOWER, listed, text_column, translated, words_of
 BLOCK = 1 << 19
 LEAST_PREFIX = 4
 #: Node pairs that the traversal expands at a time.
-FRONTIER = 1 << 20
+FRONTIER = 1 << 18
 
 
 def mixed(hashes: np.ndarray, lanes: int) -> np.ndarray:
     """``lanes`` independent 64-bit hashes of each hash, the first being the hash itself."""
     out = [hashes]
     for k in range(1, lanes):
-        x = hashes + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+        x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
         for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # fixed values of the splitmix64 finaliser
             x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
         out.append(x ^ (x >> np.uint64(31)))
@@ -96,12 +96,15 @@ class TrieJoin:
     """
 
     def __init__(self, prints: np.ndarray, errors: int) -> None:
-        self.prints, self.errors = prints, errors
+        self.prints, self.errors, self.depth = prints, errors, 64
         self.labels = np.arange(len(prints))
         # neighbours in sorted order that are close already make up most of a dense group
-        near = np.flatnonzero(np.bitwise_count(prints[1:] ^ prints[:-1]) <= errors)
+        near = np.flatnonzero(self.close(np.arange(len(prints) - 1), np.arange(1, len(prints))))
         self.link(near, near + 1)
 
+    def close(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.prints[u] ^ self.prints[v]) <= self.errors
+
     def link(self, u: np.ndarray, v: np.ndarray) -> None:
         self.labels = labels_of(len(self.prints), u, v, self.labels)
         change = self.labels[1:] != self.labels[:-1]
@@ -128,7 +131,7 @@ class TrieJoin:
             lo1, hi1, lo2, hi2, spent = (x[keep] for x in (lo1, hi1, lo2, hi2, spent))
             open_ = ~self.settled(lo1, hi1, lo2, hi2)
             lo1, hi1, lo2, hi2, spent = (x[open_] for x in (lo1, hi1, lo2, hi2, spent))
-            small = ((hi1 - lo1) * (hi2 - lo2) <= 16) | (depth >= 64)
+            small = ((hi1 - lo1) * (hi2 - lo2) <= 16) | (depth >= self.depth)
             if small.any():
                 self.compare(*(x[small] for x in (lo1, hi1, lo2, hi2)))
             lo1, hi1, lo2, hi2, spent = (x[~small] for x in (lo1, hi1, lo2, hi2, spent))
@@ -152,14 +155,30 @@ class TrieJoin:
             )
 
     def compare(self, lo1: np.ndarray, hi1: np.ndarray, lo2: np.ndarray, hi2: np.ndarray) -> None:
-        for at in range(0, len(lo1), 1 << 18):
-            a1, b1, a2, b2 = (x[at : at + (1 << 18)] for x in (lo1, hi1, lo2, hi2))
+        """All pairs of two leaves' rows; a large pair of leaves row by row, as long as that can still join something."""
+        large = (hi1 - lo1) * (hi2 - lo2) > 1 << 16
+        for a, b, c, d in zip(*(x[large].tolist() for x in (lo1, hi1, lo2, hi2))):
+            others = np.arange(c, d)
+            for row in range(a, b):
+                open_ = others[self.labels[c:d] != self.labels[row]]
+                found = open_[self.close(np.full(len(open_), row), open_)] if len(open_) else open_
+                if len(found):
+                    self.link(np.full(len(found), row), found)
+        lo1, hi1, lo2, hi2 = (x[~large] for x in (lo1, hi1, lo2, hi2))
+        upto = np.cumsum((hi1 - lo1) * (hi2 - lo2))
+        at = 0
+        while at < len(lo1):
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (1 << 18))))
+            a1, b1, a2, b2 = (x[at:stop] for x in (lo1, hi1, lo2, hi2))
+            at = stop
             n2 = b2 - a2
             pairs = (b1 - a1) * n2
             which = np.repeat(np.arange(len(pairs)), pairs)
             k = np.arange(len(which)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
             u, v = a1[which] + k // n2[which], a2[which] + k % n2[which]
-            ok = np.bitwise_count(self.prints[u] ^ self.prints[v]) <= self.errors
+            apart = self.labels[u] != self.labels[v]
+            u, v = u[apart], v[apart]
+            ok = self.close(u, v)
             if ok.any():
                 self.link(u[ok], v[ok])
 
@@ -220,3 +239,103 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     final = saved(skew_join(named, least, "root", "n_prints", sizes["distinct"]).select("fp", "n", "component_id"), "components")
     joined = skew_join(prints, final, "fp", "n", sizes["rows"])
     return joined.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Similarity stage: lanes of its fingerprints, tables of 32 of their bits, and differing bits of a table that a candidate may have.
+LANES, TABLES, TABLE_BITS, TABLE_ERRORS = 4, 16, 32, 3
+#: Vertices of a block of a table's trie.
+TABLE_BLOCK = 1 << 21
+
+
+def differing_bits(similarity: float, bits: int = 64 * LANES) -> int:
+    """How many bits two texts of at least ``similarity`` (Jaccard, shingles once each) differ in, but for chance: the expected number
+    and one and a half deviations."""
+    share = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return math.floor(bits * share + 1.5 * math.sqrt(bits * share * (1 - share)))
+
+
+def table_bits() -> np.ndarray:
+    """For each table the places of its bits in the fingerprint: fixed draws, without repeats inside a table."""
+    return np.stack([np.random.default_rng(1000 + t).permutation(64 * LANES)[:TABLE_BITS] for t in range(TABLES)])
+
+
+class NearTrie(TrieJoin):
+    """A trie over a table's bits, whose leaves may hold many fingerprints; candidates are compared by all their bits."""
+
+    def __init__(self, tops: np.ndarray, full: np.ndarray, limit: int) -> None:
+        self.full, self.limit = full, limit
+        self.labels = np.arange(len(tops))
+        self.prints, self.errors, self.depth = tops, TABLE_ERRORS, TABLE_BITS
+        near = np.flatnonzero(self.close(np.arange(len(tops) - 1), np.arange(1, len(tops)))) if len(tops) > 1 else np.zeros(0, np.int64)
+        self.link(near, near + 1)
+
+    def close(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.full[u] ^ self.full[v]).sum(axis=1) <= self.limit
+
+
+def similar_links(prints: DataFrame, n: int, limit: int) -> DataFrame:
+    """Links (u, v) that connect all rows of ``prints(vertex, f0, f1, ...)`` that differ in at most ``TABLE_ERRORS`` bits of some table and
+    in at most ``limit`` bits in all. Each table is joined with itself as a trie, block pair by block pair; a task hands on a spanning
+    forest."""
+    prefix = max(1, math.ceil(math.log2(max(n, 1) / TABLE_BLOCK)))
+    masks = [m for m in range(1 << prefix) if m.bit_count() <= TABLE_ERRORS]
+    lanes = [f"f{k}" for k in range(LANES)]
+    places = table_bits()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                full = np.stack([batch.column(f).to_numpy() for f in lanes], axis=1)
+                bits = np.unpackbits(np.ascontiguousarray(full).view(np.uint8).reshape(len(full), -1), axis=1, bitorder="little")
+                for t in range(TABLES):
+                    tops = np.ascontiguousarray(np.packbits(bits[:, places[t]], axis=1)).view(">u4").reshape(-1).astype(np.int64)
+                    own = tops >> (TABLE_BITS - prefix)
+                    for m in masks:
+                        other = own ^ m
+                        columns = [np.full(len(own), t), np.minimum(own, other), np.maximum(own, other), tops]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), batch.column("vertex"), *map(batch.column, lanes)], names=["t", "left", "right", "top", "vertex", *lanes])
+
+    dealt = prints.select("vertex", *lanes).mapInArrow(deal, "t long, left long, right long, top long, vertex long, " + ", ".join(f"{f} long" for f in lanes))
+
+    def run(rows: pa.Table) -> pa.Table:
+        left, right = rows.column("left")[0].as_py(), rows.column("right")[0].as_py()
+        vertex, tops = rows.column("vertex").to_numpy(), rows.column("top").to_numpy().astype(np.uint64) << np.uint64(64 - TABLE_BITS)
+        full = np.stack([rows.column(f).to_numpy() for f in lanes], axis=1).view(np.uint64)
+        order = np.lexsort((*full.T, tops))
+        vertex, tops, full = vertex[order], tops[order], full[order]
+        trie = NearTrie(tops, full, limit)
+        lo, hi = np.array([0]), np.array([len(tops)])
+        if left == right:
+            trie.run((lo, hi, lo, hi), prefix, np.array([0]))
+        else:
+            middle = np.searchsorted(tops, [np.uint64(right << (64 - prefix))])
+            trie.run((lo, middle, middle, hi), prefix, np.array([(left ^ right).bit_count()]))
+        child = np.flatnonzero(trie.labels != np.arange(len(tops)))
+        return pa.table({"u": vertex[child], "v": vertex[trie.labels[child]]})
+
+    return dealt.groupBy("t", "left", "right").applyInArrow(run, "u long, v long")
+
+
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """``key`` and component_id, the smallest key reachable over links of texts whose ``shingle``-word sets are ``similarity`` alike or more.
+
+    The likeness is read from 256-bit SimHashes; candidates come from ``TABLES`` joins of binary tries over 32 of their bits. Rows with
+    equal fingerprints are one vertex. Keys are integers that name a document; rows without a key get none. Null and empty texts are alike. An
+    empty table gives an empty result; extra columns are not read.
+    """
+    lanes = [f"f{k}" for k in range(LANES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text"):
+            got = fingerprints(text_column(batch.column("_text")), shingle, seed, LANES).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("_key").cast(pa.int64()), *(pa.array(np.ascontiguousarray(got[:, k])) for k in range(LANES))], names=["doc", *lanes])
+
+    rows = docs.filter(F.col(key).isNotNull()).selectExpr(f"`{key}` AS _key", f"`{text}` AS _text")
+    prints = saved(rows.mapInArrow(run, "doc long, " + ", ".join(f"{f} long" for f in lanes)).withColumn("fp", F.xxhash64(*lanes)), "prints")
+    groups = saved(prints.groupBy("fp", *lanes).agg(F.min("doc").alias("vertex"), F.count("*").alias("n")), "vertices")
+    sizes = groups.agg(F.count("*").alias("distinct"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    roots = components(similar_links(groups, sizes["distinct"], differing_bits(similarity)))
+    named = groups.join(roots.withColumnRenamed("id", "vertex"), "vertex", "left").select("fp", F.coalesce("root", "vertex").alias("component_id"), "n")
+    final = saved(named.groupBy("fp").agg(F.min("component_id").alias("component_id"), F.sum("n").alias("n")), "roots")
+    return skew_join(prints.select("doc", "fp"), final, "fp", "n", sizes["rows"]).select(F.col("doc").cast(docs.schema[key].dataType).alias(key), "component_id")
