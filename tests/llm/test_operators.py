@@ -176,6 +176,48 @@ def test_components_of_a_path_and_a_star(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_similar_documents(spark, docs, empty):
+    """All pairs at 0.8 or more meet; nothing under 0.5 does."""
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(40):
+        own = rng.choices(vocabulary, k=rng.randint(60, 300))
+        texts.append(own)
+        for edits in (0, 1, 2, 4):
+            copy = list(own)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            texts.append(copy)
+    hub = rng.choices(vocabulary, k=250)
+    texts += [[*hub[:i], "edit", *hub[i + 1 :]] for i in range(0, 250, 2)]
+    cases = list(enumerate(" ".join(t) for t in texts))
+    rng.shuffle(cases)
+    out = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(brute.rows(spark, cases)).collect()}
+    sets = {d: set(brute.shingles(t, 5)) for d, t in cases}
+    found = wanted = 0
+    for a in sets:
+        assert out[a] <= a
+        for b in sets:
+            if a < b and (likeness := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= 0.8:
+                wanted += 1
+                found += out[a] == out[b]
+            elif a < b and likeness < 0.1:
+                assert out[a] != out[b]
+    assert wanted > 100 and found >= 0.98 * wanted
+    null = simhash.similar_documents(docs).collect()
+    assert len(null) == sum(d is not None for d, _ in brute.CASES) and simhash.similar_documents(empty).count() == 0
+
+
+def test_large_leaves_are_joined_row_by_row():
+    rng = np.random.default_rng(1)
+    tops = np.zeros(600, np.uint64)
+    full = np.where(np.arange(600)[:, None] % 2, np.uint64(0), np.uint64(2**64 - 1)) ^ (np.uint64(1) << rng.integers(0, 64, (600, 4)).astype(np.uint64))
+    trie = simhash.NearTrie(tops, full, 20)
+    trie.run((np.array([0]), np.array([600]), np.array([0]), np.array([600])), 1, np.array([0]))
+    assert len(set(trie.labels.tolist())) == 2
+
+
 # 4
 
 
