@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinmap.operators import features, geometry, knn, masks, pixels, training
+from kinmap.operators import features, geometry, knn, masks, pixels, tier2, training
 from kinmap.plans import matching
 from kinmap.plans.fixtures import base, patches, vectors
 
@@ -56,5 +56,17 @@ def kmeans_lists(spark, sf):
     return knn.closest_lists(base(spark, sf), cs, "b_id").groupBy("list_id").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (geometric_consistency, homography_warp, affine_rcond, surf_features, mask_components, pca_transform, kmeans_lists)}
+
+
+def tier2_masks(spark, sf):
+    """Each original's patch (40 x 40) compared with that of the next vector of its family, registered by the matched corners."""
+    wide = F.expr("flatten(transform(sequence(0, 39), y -> transform(sequence(0, 39), x -> least(255, greatest(0, floor((e[cast((y div 5) * 8 + x div 5 AS int)] + 1) * 127.5D))))))")
+    own = vectors(spark, sf).withColumn("pixels", wide).select("vec_id", F.unhex(F.expr("concat_ws('', transform(pixels, p -> lpad(hex(cast(p AS bigint)), 2, '0')))")).alias("data"))
+    left = own.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("probe_id"), F.col("data").alias("probe"), (F.col("vec_id") + 1).alias("result_id"))
+    points = {n: F.array(*(F.lit(float(v)) for v in vs)).alias(n) for n, vs in {"px": (2, 37, 2, 37, 20), "py": (2, 2, 37, 37, 20), "rx": (2, 37, 2, 37, 20), "ry": (2, 2, 37, 37, 20)}.items()}
+    pairs = left.join(own.select(F.col("vec_id").alias("result_id"), F.col("data").alias("result")), "result_id")
+    return tier2.change_masks(pairs.select("probe_id", "result_id", F.lit(40).alias("probe_height"), F.lit(40).alias("result_height"), "probe", "result", *points.values())).drop("mask")
+
+
+QUERIES = {f.__name__: f for f in (geometric_consistency, homography_warp, affine_rcond, surf_features, mask_components, pca_transform, kmeans_lists, tier2_masks)}
 ORACLES: dict[str, str] = {}

@@ -20,3 +20,31 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     decoded keep their row, with channels -1 and empty data."""
     rows = spark.read.format("image").option("recursiveFileLookup", True).load(path).select("image.*")
     return rows.join(image_ids(rows, "origin"), F.col("origin") == F.col("name")).select("image_id", "name", "height", "width", F.col("nChannels").alias("channels"), "data")
+
+
+def copy_referenced(results: DataFrame, source: str, target: str, file: str = "file") -> DataFrame:
+    """file, copied: copies every file that results name from ``source`` to ``target`` (URIs), once each; present and missing files are
+    left out. Copies are made where the tasks run, to a temporary name that is then moved."""
+    import uuid
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            done = []
+            for name in batch.column("file").to_pylist():
+                a, path = fs.FileSystem.from_uri(f"{source}/{name}")
+                b, goal = fs.FileSystem.from_uri(f"{target}/{name}")
+                wanted = a.get_file_info(path).type == fs.FileType.File and b.get_file_info(goal).type == fs.FileType.NotFound
+                if wanted:
+                    part = f"{goal}.{uuid.uuid4().hex}"
+                    b.create_dir(goal.rpartition("/")[0], recursive=True)
+                    fs.copy_files(path, part, source_filesystem=a, destination_filesystem=b)
+                    b.move(part, goal)
+                done.append(wanted)
+            yield pa.RecordBatch.from_arrays([batch.column("file"), pa.array(done, pa.bool_())], names=["file", "copied"])
+
+    return results.select(F.col(file).alias("file")).distinct().mapInArrow(run, "file string, copied boolean")

@@ -127,3 +127,44 @@ def test_unreadable_images_give_an_error_row(spark):
     images = spark.createDataFrame([(1, 5, 5, 1, bytearray(b"short")), (2, 30, 30, 3, bytearray(2700))], "image_id long, height int, width int, channels int, data binary")
     out = {r["image_id"]: r for r in features.extract_features(images).collect()}
     assert out[1]["error"] and out[1]["vec"] is None and 2 not in out
+
+
+def test_a_moved_copy_with_an_edit_is_seen():
+    from kinmap.operators import tier2
+
+    rng = np.random.default_rng(3)
+    probe = masks.blur(rng.uniform(0, 255, (120, 140)), 3.0) * 4 - 380
+    m = np.array([[1.0, 0, -6], [0, 1.0, 4]])  # result to probe
+    result = geometry.warp(probe, np.linalg.inv(np.r_[m, [[0, 0, 1]]]), 120, 140)
+    points = rng.uniform(20, 100, (12, 2))
+    moved = points @ m[:, :2].T + m[:, 2]
+    same = tier2.compare(probe, result, moved, points)
+    assert same["rcond"] > 0.1 and same["modified"] is False
+    edited = result.copy()
+    edited[40:75, 40:75] += 200
+    seen = tier2.compare(probe, edited, moved, points)
+    assert seen["modified"] and not seen["everywhere"]
+    assert tier2.compare(probe, result, moved[:3], points[:3])["modified"] is None
+
+
+def test_patch_likeness():
+    from kinmap.operators import tier2
+
+    rng = np.random.default_rng(4)
+    image = rng.integers(0, 255, (40, 40)).astype(float)
+    corners = np.array([[5, 5], [30, 28]])
+    own = tier2.patch_likeness(image, corners, image, corners)
+    other = tier2.patch_likeness(image, corners, rng.integers(0, 255, (40, 40)).astype(float), corners)
+    assert own["mean_squared_error"] == pytest.approx(0) and own["mutual_information"] > other["mutual_information"]
+    assert tier2.patch_likeness(image, corners[:1], image, corners[:1]) is None
+    assert (tier2.histogram_matched(image, image) == image).all()
+
+
+def test_sql_names(spark):
+    from kinmap.functions import sql
+    from kinmap.sources.vectors import encode_set
+
+    sql.register(spark)
+    assert spark.sql("SELECT l2_distance(array(0D, 3D), array(4D, 0D)) + vote_weight(4)").first()[0] == 5.25
+    spark.createDataFrame([(bytearray(encode_set(np.ones((2, 3)))),)], "c binary").createOrReplaceTempView("sets")
+    assert spark.sql("SELECT f.* FROM sets, LATERAL decode_features(c) f").count() == 2

@@ -120,3 +120,13 @@ def test_scalars_on_odd_values(spark):
     df = spark.createDataFrame([("/a/b.JPG",), ("noext",), ("x.tar.gz",), (".hidden",), (None,)], "path string")
     out = df.select(scalars.stem("path").alias("s"), scalars.extension("path").alias("e"), scalars.is_image("path").alias("i")).collect()
     assert [(r["s"], r["e"]) for r in out] == [("b", "jpg"), ("noext", ""), ("x.tar", "gz"), (".hidden", "hidden"), (None, None)]
+
+
+def test_copy_referenced(spark, tmp_path):
+    for name in ("a.jpg", "b.jpg"):
+        (tmp_path / "world").mkdir(exist_ok=True)
+        (tmp_path / "world" / name).write_bytes(name.encode())
+    rows = spark.createDataFrame([("world/a.jpg",), ("world/a.jpg",), ("world/c.jpg",)], "file string")
+    out = dict(map(tuple, images.copy_referenced(rows, f"file://{tmp_path}", f"file://{tmp_path}/out").collect()))
+    assert out == {"world/a.jpg": True, "world/c.jpg": False} and (tmp_path / "out/world/a.jpg").read_bytes() == b"a.jpg"
+    assert not any(r["copied"] for r in images.copy_referenced(rows, f"file://{tmp_path}", f"file://{tmp_path}/out").collect())
