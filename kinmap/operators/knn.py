@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,17 +83,18 @@ def knn_exact(queries: DataFrame, base: DataFrame, k: int, query_block: int = QU
 
         return base.select("b_id", "vec").mapInArrow(run, "q_id long, b_id long, dist double")
 
-    n = queries.count()
-    if n <= query_block:
-        passes = [queries.select("q_id", "vec").collect()]
-    else:
-        blocks = math.ceil(n / query_block)
-        passes = (queries.filter(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == i).select("q_id", "vec").collect() for i in range(blocks))
-    hits = None
-    for block in passes:
-        own = one_pass(block)
-        hits = own if hits is None else hits.unionByName(own)
-    return ranked(hits, k)
+    return ranked(over_blocks(queries, query_block, one_pass), k)
+
+
+def over_blocks(queries: DataFrame, size: int, one_pass: Callable[[list], DataFrame]) -> DataFrame:
+    """The union of what ``one_pass`` makes of each block of about ``size`` queries (by hash of q_id), a block on the driver at a time."""
+    blocks = max(1, math.ceil(queries.count() / size))
+    out = None
+    for i in range(blocks):
+        own = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == i)
+        hits = one_pass(own.select("q_id", "vec").collect())
+        out = hits if out is None else out.unionByName(hits)
+    return out
 
 
 def closest_lists(rows: DataFrame, centroids: DataFrame, id_column: str, k: int = 1) -> DataFrame:
@@ -164,25 +165,25 @@ def _books(codebook: DataFrame, subs: int) -> list[np.ndarray]:
     return [np.array([c for s, _, c in rows if s == i], np.float64) for i in range(subs)]
 
 
-def adc_search(queries: DataFrame, encoded: DataFrame, codebook: DataFrame, k: int, subs: int) -> DataFrame:
+def adc_search(queries: DataFrame, encoded: DataFrame, codebook: DataFrame, k: int, subs: int, query_block: int = QUERY_BLOCK) -> DataFrame:
     """Like ``knn_exact`` on codes: the distance of a query to a code is that to the vector the code stands for, by table lookup."""
     books = _books(codebook, subs)
-    block = queries.select("q_id", "vec").collect() if queries.count() <= QUERY_BLOCK else None
-    if block is None:
-        raise ValueError(f"more than {QUERY_BLOCK} queries: search them block by block")
-    q = np.array([r[1] for r in block], np.float64)
-    tables = [((part[:, None, :] - book[None]) ** 2).sum(axis=2) for part, book in zip(np.split(q, subs, axis=1), books)]
-    held = queries.sparkSession.sparkContext.broadcast((np.array([r[0] for r in block], np.int64), tables))
+    def one_pass(block: list) -> DataFrame:
+        q = np.array([r[1] for r in block], np.float64).reshape(len(block), -1)
+        tables = [((part[:, None, :] - book[None]) ** 2).sum(axis=2) for part, book in zip(np.split(q, subs, axis=1), books)]
+        held = queries.sparkSession.sparkContext.broadcast((np.array([r[0] for r in block], np.int64), tables))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, lookup = held.value
-        for batch in batches:
-            ids, codes = batch.column("b_id").to_numpy(), matrix(batch.column("codes")).astype(np.int64)
-            order = np.argsort(ids, kind="stable")
-            for at in range(0, len(q_ids), 256):
-                d = np.round(np.sqrt(sum(t[at : at + 256][:, codes[:, j]] for j, t in enumerate(lookup))), DIGITS)[:, order]
-                top = np.argsort(d, axis=1, kind="stable")[:, :k]
-                owner = np.repeat(q_ids[at : at + 256], top.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(ids[order][top].ravel()), pa.array(np.take_along_axis(d, top, 1).ravel())], names=["q_id", "b_id", "dist"])
-
-    return ranked(encoded.select("b_id", "codes").mapInArrow(run, "q_id long, b_id long, dist double"), k)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q_ids, lookup = held.value
+            for batch in batches:
+                ids, codes = batch.column("b_id").to_numpy(), matrix(batch.column("codes")).astype(np.int64)
+                order = np.argsort(ids, kind="stable")
+                for at in range(0, len(q_ids), 256):
+                    d = np.round(np.sqrt(sum(t[at : at + 256][:, codes[:, j]] for j, t in enumerate(lookup))), DIGITS)[:, order]
+                    top = np.argsort(d, axis=1, kind="stable")[:, :k]
+                    owner = np.repeat(q_ids[at : at + 256], top.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(ids[order][top].ravel()), pa.array(np.take_along_axis(d, top, 1).ravel())], names=["q_id", "b_id", "dist"])
+
+        return encoded.select("b_id", "codes").mapInArrow(run, "q_id long, b_id long, dist double")
+
+    return ranked(over_blocks(queries, query_block, one_pass), k)

@@ -31,6 +31,10 @@ def test_ivf_over_all_lists_is_exact(spark):
     blocks = {tuple(r) for r in knn.knn_exact(queries, base, 4, query_block=7).collect()}
     ivf = {tuple(r) for r in knn.knn_ivf(queries, knn.build_lists(base, centroids), centroids, 4, 5).collect()}
     assert exact == blocks == ivf and len(exact) == 80
+    book = spark.createDataFrame([(s, c, rng.normal(size=4).tolist()) for s in range(2) for c in range(6)], "sub int, code long, centroid array<double>")
+    encoded = knn.pq_encode(base, book, "b_id", 2)
+    coded = [{tuple(r) for r in knn.adc_search(queries, encoded, book, 4, 2, query_block=n).collect()} for n in (6, 100)]
+    assert coded[0] == coded[1] and len(coded[0]) == 80
 
 
 def test_homography_of_a_known_map():
