@@ -30,7 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder; it is removed when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}")
+    path = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    path = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file:///") else path  # a URI for all readers
     if not _scratch:
         atexit.register(_clean)
     _scratch.append((spark, path))
