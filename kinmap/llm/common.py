@@ -16,6 +16,9 @@ from pyspark.sql.window import Window
 #: Text bytes that a Python worker handles at a time.
 SLICE_BYTES = 2_000_000
 
+#: What Spark hands to a Python worker at a time.
+BATCH_BYTES, BATCH_ROWS = 6_000_000, 4_000
+
 _scratch: list[tuple[SparkSession, str]] = []
 
 
@@ -112,6 +115,13 @@ def prefix_sum(df: DataFrame, order: str, ties: list[str], value: str, name: str
     )
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches bounded in bytes, so that long texts do not fill the executors' memory on either side."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a slice has at most ``limit`` bytes in ``column``, or one row."""
     for batch in batches:

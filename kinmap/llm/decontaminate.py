@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmap.llm.common import Carried, saved, slices
+from kinmap.llm.common import bounded_batches, Carried, saved, slices
 from kinmap.llm.words import ALNUM, Words, listed, text_column, translated, words_of
 
 #: Words of a k-gram. With windows of ``span - K + 1`` k-grams, every shared span of ``span`` words shares a fingerprint.
@@ -185,7 +185,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", t
                 columns = [[g[0] for g in got], [sum(b - a for a, b in g[1]) for g in got], [len(g[2]) for g in got], [g[2] for g in got], [[{"begin": a, "end": b} for a, b in g[1]] for g in got]]
                 yield pa.RecordBatch.from_arrays([*([batch.column("_row")] if row else [*map(batch.column, own)]), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=[*(["_row"] if row else own), *added])
 
-        read = docs.select("_row", "_text") if row else docs
+        read = bounded_batches(docs.select("_row", "_text") if row else docs)
         return read.mapInArrow(run, f"{'_row long' if row else carried.ddl}, {found_ddl}")
 
     chosen = docs.select(*carried.columns, F.col(text).alias("_text"))

@@ -10,7 +10,7 @@ from unicodedata import east_asian_width
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kinmap.llm.common import slices
+from kinmap.llm.common import bounded_batches, slices
 from kinmap.llm.words import text_column
 
 # Fixed element sets of HTML.
@@ -430,4 +430,4 @@ def extract_text(pages: DataFrame, key: str = "page_id", html: str = "html") ->
             texts = [None if null else g[1] for g, null in zip(got, nulls)]
             yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array([g[0] for g in got], pa.string()), pa.array(texts, pa.string())], names=[key, "title", "text"])
 
-    return pages.selectExpr(f"`{key}` AS _key", f"`{html}` AS _html").mapInArrow(run, f"{key} {kind}, title string, text string")
+    return bounded_batches(pages.selectExpr(f"`{key}` AS _key", f"`{html}` AS _html")).mapInArrow(run, f"{key} {kind}, title string, text string")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinmap.llm.common import Carried, saved, skew_join, slices
+from kinmap.llm.common import bounded_batches, Carried, saved, skew_join, slices
 from kinmap.llm.words import text_column, translated
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -95,7 +95,7 @@ def fit(docs: DataFrame, key: str, text: str, declared: str, languages: tuple[st
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["cell", "n"])
 
-    cells = named.filter(chosen).select("_text", "_class").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    cells = bounded_batches(named.filter(chosen).select("_text", "_class")).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     counts = np.full(len(languages) * BUCKETS, 0.05)
     for cell in cells:
         counts[cell["cell"]] += cell["n"]
@@ -117,7 +117,7 @@ def evidence(rows: DataFrame, model: TextModel, world: list[float]) -> DataFrame
             best = np.where(n > 0, np.argmax(scores + np.log(world), axis=1), len(model.languages))
             yield pa.RecordBatch.from_arrays([batch.column("_host"), batch.column("_suffix"), batch.column("_declared"), pa.array(best, pa.int32())], names=["host", "suffix", "declared", "class"])
 
-    return rows.select("_host", "_suffix", "_declared", "_text").mapInArrow(vote, "host string, suffix string, declared int, class int").groupBy("host", "suffix", "declared", "class").agg(F.count("*").alias("n"))
+    return bounded_batches(rows.select("_host", "_suffix", "_declared", "_text")).mapInArrow(vote, "host string, suffix string, declared int, class int").groupBy("host", "suffix", "declared", "class").agg(F.count("*").alias("n"))
 
 
 def host_priors(votes: DataFrame, classes: int) -> DataFrame:
@@ -202,7 +202,7 @@ def identify(
             listed = pa.array(names)
             yield pa.RecordBatch.from_arrays([*map(batch.column, own), listed.take(pa.array(best)), pa.array(sure), listed.take(pa.array(alone)), pa.array(accepted)], names=[*own, *added])
 
-    judged = joined.select(*carried.names, "_text", "_declared", "prior").mapInArrow(judge, f"{carried.ddl}, language string, posterior double, text_language string, accepted boolean")
+    judged = bounded_batches(joined.select(*carried.names, "_text", "_declared", "prior")).mapInArrow(judge, f"{carried.ddl}, language string, posterior double, text_language string, accepted boolean")
     return judged.select(*carried.restored, *added)
 
 

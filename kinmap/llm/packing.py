@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmap.llm.common import saved, slices
+from kinmap.llm.common import bounded_batches, saved, slices
 from kinmap.llm.tokens import encoder, tokenizer_path
 from kinmap.llm.words import text_column
 
@@ -192,7 +192,7 @@ def piece_table(docs: DataFrame, key: str, text: str, capacity: int, end_id: int
             columns = [batch.column("_key").take(pa.array(rows, pa.int64())), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[key, "piece", "start", "length", "ids_crc32"])
 
-    return docs.selectExpr(f"`{key}` AS _key", f"`{text}` AS _text").mapInArrow(run, f"{key} {kind}, piece int, start long, length long, ids_crc32 long")
+    return bounded_batches(docs.selectExpr(f"`{key}` AS _key", f"`{text}` AS _text")).mapInArrow(run, f"{key} {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 0, path: str | None = None) -> DataFrame:

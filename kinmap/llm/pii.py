@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmap.llm.common import Carried, slices
+from kinmap.llm.common import bounded_batches, Carried, slices
 from kinmap.llm.words import text_column
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -205,4 +205,4 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text
 
     added = ["spans", *["redacted_text"] * with_text]
     schema = f"{carried.ddl}, {SPANS}" + ", redacted_text string" * with_text
-    return docs.select(*carried.columns, F.col(text).alias("_text")).mapInArrow(run, schema).select(*carried.restored, *added)
+    return bounded_batches(docs.select(*carried.columns, F.col(text).alias("_text"))).mapInArrow(run, schema).select(*carried.restored, *added)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from kinmap.llm.common import slices
+from kinmap.llm.common import bounded_batches, slices
 from kinmap.llm.words import Words, lines_of, split, sums, text_column, words_of
 
 #: Fixed phrases (RE2, any case) of lines that say nothing of their document's subject.
@@ -130,4 +130,4 @@ def clean_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", rules:
             columns = [batch.column("_key"), *(pa.array(figures[n]) for n in names), *[cleaned] * with_text]
             yield pa.RecordBatch.from_arrays(columns, names=[key, *names, *["clean_text"] * with_text])
 
-    return docs.selectExpr(f"`{key}` AS _key", f"`{text}` AS _text").mapInArrow(run, schema)
+    return bounded_batches(docs.selectExpr(f"`{key}` AS _key", f"`{text}` AS _text")).mapInArrow(run, schema)

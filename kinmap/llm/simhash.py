@@ -12,15 +12,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmap.llm.common import saved, skew_join, slices
+from kinmap.llm.common import bounded_batches, saved, skew_join, slices
 from kinmap.llm.components import components
 from kinmap.llm.words import LOWER, listed, text_column, translated, words_of
 
 #: Fingerprints of a block of the trie: what one task of the join holds on either side.
 BLOCK = 1 << 19
 LEAST_PREFIX = 4
+#: Tasks of a join: one for a block pair, up to this.
+MOST_PARTITIONS = 20_000
 #: Node pairs that the traversal expands at a time.
-FRONTIER = 1 << 18
+FRONTIER = 1 << 17
 
 
 def mixed(hashes: np.ndarray, lanes: int) -> np.ndarray:
@@ -69,7 +71,7 @@ def fingerprint_table(docs: DataFrame, key: str, text: str, shingle: int, seed:
             yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(got[:, 0].view(np.int64))], names=[key, "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.selectExpr(f"`{key}` AS _key", f"`{text}` AS _text").mapInArrow(run, f"{key} {kind}, fp long")
+    return bounded_batches(docs.selectExpr(f"`{key}` AS _key", f"`{text}` AS _text")).mapInArrow(run, f"{key} {kind}, fp long")
 
 
 def labels_of(n: int, u: np.ndarray, v: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
@@ -96,7 +98,7 @@ class TrieJoin:
     """
 
     def __init__(self, prints: np.ndarray, errors: int) -> None:
-        self.prints, self.errors, self.depth = prints, errors, 64
+        self.prints, self.errors, self.leaf_errors, self.depth = prints, errors, errors, 64
         self.labels = np.arange(len(prints))
         # neighbours in sorted order that are close already make up most of a dense group
         near = np.flatnonzero(self.close(np.arange(len(prints) - 1), np.arange(1, len(prints))))
@@ -176,6 +178,8 @@ class TrieJoin:
             which = np.repeat(np.arange(len(pairs)), pairs)
             k = np.arange(len(which)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
             u, v = a1[which] + k // n2[which], a2[which] + k % n2[which]
+            ok = np.bitwise_count(self.prints[u] ^ self.prints[v]) <= self.leaf_errors
+            u, v = u[ok], v[ok]
             apart = self.labels[u] != self.labels[v]
             u, v = u[apart], v[apart]
             ok = self.close(u, v)
@@ -204,7 +208,8 @@ def near_links(distinct: DataFrame, n: int, errors: int = 3) -> DataFrame:
     most ``errors`` bits. Its links are those of a spanning forest: fewer than the block's rows, however dense its groups.
     """
     prefix = max(LEAST_PREFIX, math.ceil(math.log2(max(n, 1) / BLOCK)))
-    masks = F.array(*(F.lit(m) for m in range(1 << prefix) if m.bit_count() <= errors))
+    near = [m for m in range(1 << prefix) if m.bit_count() <= errors]
+    masks, masks_n = F.array(*map(F.lit, near)), len(near)
     own = F.shiftrightunsigned(F.col("fp"), 64 - prefix)
     dealt = distinct.select("fp", own.alias("own"), F.explode(masks).alias("mask")).select(
         "fp", F.least("own", F.col("own").bitwiseXOR(F.col("mask"))).alias("left"), F.greatest("own", F.col("own").bitwiseXOR(F.col("mask"))).alias("right")
@@ -219,7 +224,8 @@ def near_links(distinct: DataFrame, n: int, errors: int = 3) -> DataFrame:
         u, v = join_blocks(prints, middle, prefix, (left ^ right).bit_count(), errors)
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    return dealt.groupBy("left", "right").applyInPandas(run, "u long, v long")
+    blocks = min((masks_n + 1 << prefix) // 2, MOST_PARTITIONS)
+    return dealt.repartition(blocks, "left", "right").groupBy("left", "right").applyInPandas(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, errors: int = 3, seed: int = 42) -> DataFrame:
@@ -242,7 +248,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 
 #: Similarity stage: lanes of its fingerprints, tables of 32 of their bits, and differing bits of a table that a candidate may have.
-LANES, TABLES, TABLE_BITS, TABLE_ERRORS = 4, 16, 32, 3
+LANES, TABLES, TABLE_BITS, TABLE_ERRORS = 4, 32, 32, 2
 #: Vertices of a block of a table's trie.
 TABLE_BLOCK = 1 << 21
 
@@ -265,7 +271,7 @@ class NearTrie(TrieJoin):
     def __init__(self, tops: np.ndarray, full: np.ndarray, limit: int) -> None:
         self.full, self.limit = full, limit
         self.labels = np.arange(len(tops))
-        self.prints, self.errors, self.depth = tops, TABLE_ERRORS, TABLE_BITS
+        self.prints, self.errors, self.leaf_errors, self.depth = tops, TABLE_ERRORS, TABLE_ERRORS + 3, TABLE_BITS  # leaves that meet anyway are judged by all bits
         near = np.flatnonzero(self.close(np.arange(len(tops) - 1), np.arange(1, len(tops)))) if len(tops) > 1 else np.zeros(0, np.int64)
         self.link(near, near + 1)
 
@@ -282,26 +288,29 @@ def similar_links(prints: DataFrame, n: int, limit: int) -> DataFrame:
     lanes = [f"f{k}" for k in range(LANES)]
     places = table_bits()
 
+    def tops_of(full: np.ndarray, t: int) -> np.ndarray:
+        bits = np.unpackbits(np.ascontiguousarray(full).view(np.uint8).reshape(len(full), -1), axis=1, bitorder="little")
+        return np.ascontiguousarray(np.packbits(bits[:, places[t]], axis=1)).view(">u4").reshape(-1).astype(np.int64)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, 5000):
+                batch = whole.slice(at, 5000)
                 full = np.stack([batch.column(f).to_numpy() for f in lanes], axis=1)
-                bits = np.unpackbits(np.ascontiguousarray(full).view(np.uint8).reshape(len(full), -1), axis=1, bitorder="little")
                 for t in range(TABLES):
-                    tops = np.ascontiguousarray(np.packbits(bits[:, places[t]], axis=1)).view(">u4").reshape(-1).astype(np.int64)
-                    own = tops >> (TABLE_BITS - prefix)
+                    own = tops_of(full, t) >> (TABLE_BITS - prefix)
                     for m in masks:
                         other = own ^ m
-                        columns = [np.full(len(own), t), np.minimum(own, other), np.maximum(own, other), tops]
-                        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), batch.column("vertex"), *map(batch.column, lanes)], names=["t", "left", "right", "top", "vertex", *lanes])
+                        block = (t << (2 * prefix)) | (np.minimum(own, other) << prefix) | np.maximum(own, other)
+                        yield pa.RecordBatch.from_arrays([pa.array(block), batch.column("vertex"), *map(batch.column, lanes)], names=["block", "vertex", *lanes])
 
-    dealt = prints.select("vertex", *lanes).mapInArrow(deal, "t long, left long, right long, top long, vertex long, " + ", ".join(f"{f} long" for f in lanes))
+    dealt = prints.select("vertex", *lanes).mapInArrow(deal, "block long, vertex long, " + ", ".join(f"{f} long" for f in lanes))
 
     def run(rows: pa.Table) -> pa.Table:
-        left, right = rows.column("left")[0].as_py(), rows.column("right")[0].as_py()
-        vertex, tops = rows.column("vertex").to_numpy(), rows.column("top").to_numpy().astype(np.uint64) << np.uint64(64 - TABLE_BITS)
-        full = np.stack([rows.column(f).to_numpy() for f in lanes], axis=1).view(np.uint64)
+        block = rows.column("block")[0].as_py()
+        left, right = block >> prefix & ((1 << prefix) - 1), block & ((1 << prefix) - 1)
+        vertex, full = rows.column("vertex").to_numpy(), np.stack([rows.column(f).to_numpy() for f in lanes], axis=1).view(np.uint64)
+        tops = tops_of(full, block >> (2 * prefix)).astype(np.uint64) << np.uint64(64 - TABLE_BITS)
         order = np.lexsort((*full.T, tops))
         vertex, tops, full = vertex[order], tops[order], full[order]
         trie = NearTrie(tops, full, limit)
@@ -314,7 +323,8 @@ def similar_links(prints: DataFrame, n: int, limit: int) -> DataFrame:
         child = np.flatnonzero(trie.labels != np.arange(len(tops)))
         return pa.table({"u": vertex[child], "v": vertex[trie.labels[child]]})
 
-    return dealt.groupBy("t", "left", "right").applyInArrow(run, "u long, v long")
+    # as many partitions as blocks: their rows are few, but their work is not, so they are not to be coalesced
+    return dealt.repartition(min(TABLES * (len(masks) + 1 << prefix) // 2, MOST_PARTITIONS), "block").groupBy("block").applyInArrow(run, "u long, v long")
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
@@ -332,7 +342,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column("_key").cast(pa.int64()), *(pa.array(np.ascontiguousarray(got[:, k])) for k in range(LANES))], names=["doc", *lanes])
 
     rows = docs.filter(F.col(key).isNotNull()).selectExpr(f"`{key}` AS _key", f"`{text}` AS _text")
-    prints = saved(rows.mapInArrow(run, "doc long, " + ", ".join(f"{f} long" for f in lanes)).withColumn("fp", F.xxhash64(*lanes)), "prints")
+    prints = saved(bounded_batches(rows).mapInArrow(run, "doc long, " + ", ".join(f"{f} long" for f in lanes)).withColumn("fp", F.xxhash64(*lanes)), "prints")
     groups = saved(prints.groupBy("fp", *lanes).agg(F.min("doc").alias("vertex"), F.count("*").alias("n")), "vertices")
     sizes = groups.agg(F.count("*").alias("distinct"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
     roots = components(similar_links(groups, sizes["distinct"], differing_bits(similarity)))

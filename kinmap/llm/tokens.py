@@ -12,7 +12,7 @@ from kinmap.llm.words import Words, listed, words_of
 
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker keeps; when full, all go.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 600_000
 #: New words that are encoded as one string, with a separator between them.
 JOINED = 64
 

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmap.llm.common import prefix_sum, saved, scratch_path, skew_join, slices
+from kinmap.llm.common import bounded_batches, prefix_sum, saved, scratch_path, skew_join, slices
 from kinmap.llm.files import create, open_file
 from kinmap.llm.tokens import encoder, tokenizer_path
 from kinmap.llm.words import text_column
@@ -253,7 +253,7 @@ def write_store(docs: DataFrame, key: str = "doc_id", text: str = "text", end_id
             )
 
     columns = f"kind int, {key} {kind}, n_tokens long, root binary, keys array<binary>, after array<long>, chunk binary"
-    cut_rows = docs.selectExpr(f"`{key}` AS _key", f"`{text}` AS _text").mapInArrow(cut, f"{columns}, data binary")
+    cut_rows = bounded_batches(docs.selectExpr(f"`{key}` AS _key", f"`{text}` AS _text")).mapInArrow(cut, f"{columns}, data binary")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -302,7 +302,7 @@ def write_store(docs: DataFrame, key: str = "doc_id", text: str = "text", end_id
             file.close()
 
     met = cut_rows.repartition(F.xxhash64("chunk", "root", key))
-    met.mapInArrow(store, f"{columns}, pack string, frame long, frame_bytes long, at long, n long").write.partitionBy("kind").parquet(f"{path}/index")
+    bounded_batches(met).mapInArrow(store, f"{columns}, pack string, frame long, frame_bytes long, at long, n long").write.partitionBy("kind").parquet(f"{path}/index")
     written = Store(spark, path, width, key, kind)
     rows = written._rows().filter("kind = 0").select(key, "n_tokens", "root", "keys", "after")
     parts = max(1, math.ceil(rows.count() / PART))

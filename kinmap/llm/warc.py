@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmap.llm.common import saved, scratch_path, skew_join, slices
+from kinmap.llm.common import bounded_batches, saved, scratch_path, skew_join, slices
 from kinmap.llm.files import create, open_file
 
 FRAME_BYTES = 1 << 18
@@ -255,5 +255,5 @@ def write_archive(pages: DataFrame, key: str = "page_id", url: str = "url", html
             bundle.close()
 
     chosen = rows.select("page_id", "url", "html", "last", "revisit")
-    chosen.mapInArrow(run, f"page_id {kind}, bundle string, frame long, offset long, length long").write.parquet(f"{path}/index")
+    bounded_batches(chosen).mapInArrow(run, f"page_id {kind}, bundle string, frame long, offset long, length long").write.parquet(f"{path}/index")
     return Archive(spark, path, kind)
