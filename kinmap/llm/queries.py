@@ -120,6 +120,17 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9 on web pages: visible text, the html element's declaration, the address's host and suffix."""
+    from kinmap.llm.html_text import extract_text
+    from kinmap.llm.langid import host_of, identify, markup_language
+
+    pages = table(spark, sf_dir, "pages")
+    named = pages.select("page_id", markup_language(F.col("html")).alias("lang"), host_of(F.col("url")).alias("host"))
+    found = identify(extract_text(pages).join(named, "page_id"), key="page_id", host="host")
+    return found.withColumn("posterior", F.round("posterior", 6))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
@@ -131,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_language_id": op9_language_id,
     "op10_token_store": op10_token_store,
+    "pages_language": pages_language,
 }
 OP7_SQL = r"""
 WITH d AS (

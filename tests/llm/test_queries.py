@@ -28,6 +28,14 @@ def test_each_operator_has_its_query():
     assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in queries.QUERIES)] == []
 
 
+def test_pages_language(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    out = {r["page_id"]: r for r in queries.pages_language(spark, SF).collect()}
+    assert len(out) == pages.count()
+    declared = {r["page_id"]: r["html"].split('lang="')[1][:2] for r in pages.collect()}
+    assert sum(out[k]["language"] == v for k, v in declared.items()) >= 0.95 * len(out)
+
+
 def test_pipeline_stages(spark):
     passage = "the quick brown fox jumps over the lazy dog and then it rests for a long while"
     base = spark.read.parquet(f"{SF}/documents.parquet")
