@@ -115,9 +115,9 @@ def prefix_sum(df: DataFrame, order: str, ties: list[str], value: str, name: str
     )
 
 
-def bounded_batches(df: DataFrame) -> DataFrame:
+def bounded_batches(df: DataFrame, n_bytes: int = BATCH_BYTES) -> DataFrame:
     """``df``, with the session's Arrow batches bounded in bytes, so that long texts do not fill the executors' memory on either side."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(n_bytes))
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df
 

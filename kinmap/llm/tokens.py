@@ -11,7 +11,7 @@ import pyarrow as pa
 from kinmap.llm.words import Words, listed, words_of
 
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker keeps; when full, all go.
+#: Words whose ids a worker keeps (some 200 bytes each); when full, all go.
 CACHE_WORDS = 600_000
 #: New words that are encoded as one string, with a separator between them.
 JOINED = 64
@@ -30,7 +30,8 @@ class Encoder:
     ``word_bpe_49k.json``: there the ids of a text are the ids of its words, one after the other.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache_words: int | None = None) -> None:
+        self.cache_words = cache_words or CACHE_WORDS
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -78,7 +79,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets (one more than texts) and ids (uint32) of all texts."""
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > self.cache_words:
             self.clear()
         words: Words = words_of(texts)
         place = self.places(listed(words.vocabulary))
@@ -92,8 +93,9 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_words: int | None = None) -> Encoder:
     """One for each worker process and file."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].cache_words = cache_words or CACHE_WORDS
     return _encoders[path]

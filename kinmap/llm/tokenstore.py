@@ -28,6 +28,8 @@ from kinmap.llm.words import text_column
 
 #: Ids of a chunk: at least, on average beyond that, at most; and ids that the rolling hash sees.
 LEAST, AVERAGE, MOST, WINDOW = 64, 256, 1024, 8
+#: Text that is encoded at a time, and words whose ids a worker keeps meanwhile: the more, the fewer words are looked up or encoded anew.
+TEXT_BYTES, CACHE_WORDS = 12_000_000, 1_000_000
 FRAME_BYTES = 1 << 17
 PACK_BYTES = 1 << 26
 #: Documents of a part of the recipes.
@@ -213,8 +215,8 @@ def write_store(docs: DataFrame, key: str = "doc_id", text: str = "text", end_id
     kind = docs.schema[key].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen = encoder(tokenizer).encode, set()
-        for batch in slices(batches, "_text", 6_000_000):
+        encode, seen = encoder(tokenizer, CACHE_WORDS).encode, set()
+        for batch in slices(batches, "_text", TEXT_BYTES):
             ends, ids = encode(text_column(batch.column("_text")))
             if len(ids) and int(ids.max()) >> (8 * width):
                 raise ValueError("ids do not fit the store's width")
@@ -253,7 +255,7 @@ def write_store(docs: DataFrame, key: str = "doc_id", text: str = "text", end_id
             )
 
     columns = f"kind int, {key} {kind}, n_tokens long, root binary, keys array<binary>, after array<long>, chunk binary"
-    cut_rows = bounded_batches(docs.selectExpr(f"`{key}` AS _key", f"`{text}` AS _text")).mapInArrow(cut, f"{columns}, data binary")
+    cut_rows = bounded_batches(docs.selectExpr(f"`{key}` AS _key", f"`{text}` AS _text"), TEXT_BYTES).mapInArrow(cut, f"{columns}, data binary")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -302,7 +304,7 @@ def write_store(docs: DataFrame, key: str = "doc_id", text: str = "text", end_id
             file.close()
 
     met = cut_rows.repartition(F.xxhash64("chunk", "root", key))
-    bounded_batches(met).mapInArrow(store, f"{columns}, pack string, frame long, frame_bytes long, at long, n long").write.partitionBy("kind").parquet(f"{path}/index")
+    bounded_batches(met, TEXT_BYTES).mapInArrow(store, f"{columns}, pack string, frame long, frame_bytes long, at long, n long").write.partitionBy("kind").parquet(f"{path}/index")
     written = Store(spark, path, width, key, kind)
     rows = written._rows().filter("kind = 0").select(key, "n_tokens", "root", "keys", "after")
     parts = max(1, math.ceil(rows.count() / PART))
