@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kinmap.llm.common import bounded_batches, saved, skew_join, slices
 from kinmap.llm.components import components
+from kinmap.llm.jaccard import similar_documents  # noqa: F401
 from kinmap.llm.words import LOWER, listed, text_column, translated, words_of
 
 #: Fingerprints of a block of the trie: what one task of the join holds on either side.
@@ -247,22 +248,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return joined.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Similarity stage: lanes of its fingerprints, tables of 32 of their bits, and differing bits of a table that a candidate may have.
-LANES, TABLES, TABLE_BITS, TABLE_ERRORS = 4, 32, 32, 2
-#: Vertices of a block of a table's trie.
-TABLE_BLOCK = 1 << 21
-
-
-def differing_bits(similarity: float, bits: int = 64 * LANES) -> int:
-    """How many bits two texts of at least ``similarity`` (Jaccard, shingles once each) differ in, but for chance: the expected number
-    and one and a half deviations."""
-    share = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    return math.floor(bits * share + 1.5 * math.sqrt(bits * share * (1 - share)))
-
-
-def table_bits() -> np.ndarray:
-    """For each table the places of its bits in the fingerprint: fixed draws, without repeats inside a table."""
-    return np.stack([np.random.default_rng(1000 + t).permutation(64 * LANES)[:TABLE_BITS] for t in range(TABLES)])
+#: A table's bits of a wide fingerprint, and how many of them may differ in a candidate.
+TABLE_BITS, TABLE_ERRORS = 32, 2
 
 
 class NearTrie(TrieJoin):
@@ -277,75 +264,3 @@ class NearTrie(TrieJoin):
 
     def close(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         return np.bitwise_count(self.full[u] ^ self.full[v]).sum(axis=1) <= self.limit
-
-
-def similar_links(prints: DataFrame, n: int, limit: int) -> DataFrame:
-    """Links (u, v) that connect all rows of ``prints(vertex, f0, f1, ...)`` that differ in at most ``TABLE_ERRORS`` bits of some table and
-    in at most ``limit`` bits in all. Each table is joined with itself as a trie, block pair by block pair; a task hands on a spanning
-    forest."""
-    prefix = max(1, math.ceil(math.log2(max(n, 1) / TABLE_BLOCK)))
-    masks = [m for m in range(1 << prefix) if m.bit_count() <= TABLE_ERRORS]
-    lanes = [f"f{k}" for k in range(LANES)]
-    places = table_bits()
-
-    def tops_of(full: np.ndarray, t: int) -> np.ndarray:
-        bits = np.unpackbits(np.ascontiguousarray(full).view(np.uint8).reshape(len(full), -1), axis=1, bitorder="little")
-        return np.ascontiguousarray(np.packbits(bits[:, places[t]], axis=1)).view(">u4").reshape(-1).astype(np.int64)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 5000):
-                batch = whole.slice(at, 5000)
-                full = np.stack([batch.column(f).to_numpy() for f in lanes], axis=1)
-                for t in range(TABLES):
-                    own = tops_of(full, t) >> (TABLE_BITS - prefix)
-                    for m in masks:
-                        other = own ^ m
-                        block = (t << (2 * prefix)) | (np.minimum(own, other) << prefix) | np.maximum(own, other)
-                        yield pa.RecordBatch.from_arrays([pa.array(block), batch.column("vertex"), *map(batch.column, lanes)], names=["block", "vertex", *lanes])
-
-    dealt = prints.select("vertex", *lanes).mapInArrow(deal, "block long, vertex long, " + ", ".join(f"{f} long" for f in lanes))
-
-    def run(rows: pa.Table) -> pa.Table:
-        block = rows.column("block")[0].as_py()
-        left, right = block >> prefix & ((1 << prefix) - 1), block & ((1 << prefix) - 1)
-        vertex, full = rows.column("vertex").to_numpy(), np.stack([rows.column(f).to_numpy() for f in lanes], axis=1).view(np.uint64)
-        tops = tops_of(full, block >> (2 * prefix)).astype(np.uint64) << np.uint64(64 - TABLE_BITS)
-        order = np.lexsort((*full.T, tops))
-        vertex, tops, full = vertex[order], tops[order], full[order]
-        trie = NearTrie(tops, full, limit)
-        lo, hi = np.array([0]), np.array([len(tops)])
-        if left == right:
-            trie.run((lo, hi, lo, hi), prefix, np.array([0]))
-        else:
-            middle = np.searchsorted(tops, [np.uint64(right << (64 - prefix))])
-            trie.run((lo, middle, middle, hi), prefix, np.array([(left ^ right).bit_count()]))
-        child = np.flatnonzero(trie.labels != np.arange(len(tops)))
-        return pa.table({"u": vertex[child], "v": vertex[trie.labels[child]]})
-
-    # as many partitions as blocks: their rows are few, but their work is not, so they are not to be coalesced
-    return dealt.repartition(min(TABLES * (len(masks) + 1 << prefix) // 2, MOST_PARTITIONS), "block").groupBy("block").applyInArrow(run, "u long, v long")
-
-
-def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
-    """``key`` and component_id, the smallest key reachable over links of texts whose ``shingle``-word sets are ``similarity`` alike or more.
-
-    The likeness is read from 256-bit SimHashes; candidates come from ``TABLES`` joins of binary tries over 32 of their bits. Rows with
-    equal fingerprints are one vertex. Keys are integers that name a document; rows without a key get none. Null and empty texts are alike. An
-    empty table gives an empty result; extra columns are not read.
-    """
-    lanes = [f"f{k}" for k in range(LANES)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            got = fingerprints(text_column(batch.column("_text")), shingle, seed, LANES).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("_key").cast(pa.int64()), *(pa.array(np.ascontiguousarray(got[:, k])) for k in range(LANES))], names=["doc", *lanes])
-
-    rows = docs.filter(F.col(key).isNotNull()).selectExpr(f"`{key}` AS _key", f"`{text}` AS _text")
-    prints = saved(bounded_batches(rows).mapInArrow(run, "doc long, " + ", ".join(f"{f} long" for f in lanes)).withColumn("fp", F.xxhash64(*lanes)), "prints")
-    groups = saved(prints.groupBy("fp", *lanes).agg(F.min("doc").alias("vertex"), F.count("*").alias("n")), "vertices")
-    sizes = groups.agg(F.count("*").alias("distinct"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
-    roots = components(similar_links(groups, sizes["distinct"], differing_bits(similarity)))
-    named = groups.join(roots.withColumnRenamed("id", "vertex"), "vertex", "left").select("fp", F.coalesce("root", "vertex").alias("component_id"), "n")
-    final = saved(named.groupBy("fp").agg(F.min("component_id").alias("component_id"), F.sum("n").alias("n")), "roots")
-    return skew_join(prints.select("doc", "fp"), final, "fp", "n", sizes["rows"]).select(F.col("doc").cast(docs.schema[key].dataType).alias(key), "component_id")

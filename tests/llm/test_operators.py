@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import io
+import itertools
 import random
 
 import numpy as np
@@ -209,6 +210,28 @@ def test_similar_documents(spark, docs, empty):
     assert len(null) == sum(d is not None for d, _ in brute.CASES) and simhash.similar_documents(empty).count() == 0
 
 
+def alike_groups(cases, share=(4, 5)):
+    """Least id of each id's group, by all pairs."""
+    sets = {d: set(brute.shingles(t, 5)) for d, t in cases}
+    group = {d: d for d in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if (share[1] * both >= share[0] * (len(sets[a]) + len(sets[b]) - both)) and group[a] != group[b]:
+            low, high = sorted((group[a], group[b]))
+            group = {d: low if g == high else g for d, g in group.items()}
+    return group
+
+
+def test_repeated_lines_do_not_link(spark):
+    rng = random.Random(5)
+    line = " " + " ".join(f"line{i}" for i in range(10))
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))
+    own = text()
+    cases = [*((i, text() + line * 20) for i in range(12)), (20, own + line), (21, own + line * 20)]
+    out = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(brute.rows(spark, cases)).collect()}
+    assert out == alike_groups(cases) == {i: i for i in range(12)} | {20: 20, 21: 20}
+
+
 def test_large_leaves_are_joined_row_by_row():
     rng = np.random.default_rng(1)
     tops = np.zeros(600, np.uint64)
