@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from kinmap.llm import common, components, decontaminate, html_text, langid, packing, pii, quality, sharding, simhash, tokens, tokenstore, warc, words
+from kinmap.llm import common, components, decontaminate, html_text, jaccard, langid, packing, pii, quality, sharding, simhash, tokens, tokenstore, warc, words
 from pyspark.sql import functions as F
 
 from tests.llm import brute
@@ -232,6 +232,35 @@ def test_repeated_lines_do_not_link(spark):
     assert out == alike_groups(cases) == {i: i for i in range(12)} | {20: 20, 21: 20}
 
 
+def test_similar_documents_are_exact(spark, monkeypatch):
+    """Dense groups, a passage shared by unlike texts, short texts, and pairs on either side of the threshold: as by all pairs."""
+    rng = random.Random(7)
+    words = lambda n: [f"w{rng.randrange(10**5)}" for _ in range(n)]
+    texts = []
+    for n in (60, 150):
+        chain = words(n)
+        for _ in range(60):  # each near the one before, not near all
+            chain = list(chain)
+            chain[rng.randrange(n)] = words(1)[0]
+            texts.append(chain)
+    passage = words(12)
+    texts += [passage + words(rng.randint(1, 12)) for _ in range(80)]
+    for n in (*range(1, 12), 13, 22, 40):
+        base = words(n)
+        texts += [base, [*base, "x"], [*base, "x", "y"], base[1:], [*base[:-1], "z"]]
+    for n in range(20, 120, 4):
+        base = words(n)
+        texts += [base, *(base + words(round((n - 4) / 4) + d) for d in (-1, 0, 1))]
+    cases = list(enumerate(" ".join(t) for t in texts))
+    rng.shuffle(cases)
+    expected = alike_groups(cases)
+    for small, sample in ((8, 4000), (2, 1)):
+        monkeypatch.setattr(jaccard, "SMALL_GROUP", small)
+        monkeypatch.setattr(jaccard, "SAMPLE", sample)
+        out = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(brute.rows(spark, cases)).collect()}
+        assert out == expected
+
+
 def test_large_leaves_are_joined_row_by_row():
     rng = np.random.default_rng(1)
     tops = np.zeros(600, np.uint64)
