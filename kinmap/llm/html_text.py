@@ -157,7 +157,8 @@ class TreeBuilder:
         if tag in ("td", "th") and self.open[-1].tag in ("table", "tbody", "thead", "tfoot"):
             self.push(Node("tr"))
         self.open[-1].children.append(node)
-        if tag not in VOID:
+        between = tag == "form" and self.open[-1].tag in ("table", "tbody", "thead", "tfoot", "tr")  # such a form holds nothing
+        if tag not in VOID and not between:
             self.open.append(node)
             self.counts[tag] = self.counts.get(tag, 0) + 1
 
@@ -349,6 +350,29 @@ class Renderer:
                 stack.append(self.shown(child))
         return _SPACE.sub(" ", "".join(out)).strip(" ")
 
+    def row(self, node: Node, loose: list[str]) -> list[tuple[str, int]]:
+        """Text and span of a row's cells, also of those inside other elements; what is in no cell goes to ``loose``."""
+        cells, stack = [], [self.shown(node)]
+        loose.append(" ")
+        while stack:
+            child = next(stack[-1], None)
+            if child is None:
+                stack.pop()
+            elif isinstance(child, str):
+                loose.append(child)
+            elif child.tag in ("td", "th"):
+                cells.append((self.flat(child), number(child.attributes.get("colspan"), 1, 1, 1000)))
+                loose.append(" ")
+            elif child.tag == "table":
+                loose.append(" " + self.flat(child) + " ")
+            else:
+                if child.tag in BLOCKS or child.tag == "br":
+                    loose.append(" ")
+                if child.tag == "img":
+                    loose.append(child.attributes.get("alt", ""))
+                stack.append(self.shown(child))
+        return cells
+
     def table(self, node: Node) -> None:
         rows: list[list[tuple[str, int]]] = []
         stack = [self.shown(node)]
@@ -360,7 +384,7 @@ class Renderer:
             elif isinstance(child, str):
                 loose.append(child)
             elif child.tag == "tr":
-                rows.append([(self.flat(c), number(c.attributes.get("colspan"), 1, 1, 1000)) for c in self.shown(child) if not isinstance(c, str) and c.tag in ("td", "th")])
+                rows.append(self.row(child, loose))
             elif child.tag in ("thead", "tbody", "tfoot"):
                 stack.append(self.shown(child))
             elif child.tag == "caption":

@@ -360,6 +360,14 @@ def test_rendering_never_fails(html):
     html_text.page_text(html)
 
 
+def test_text_outside_cells_is_kept():
+    text = lambda html: html_text.page_text(html)[1].split()
+    assert html_text.page_text("<table><tr><form action=x><td>Name</td><td>Value</td></form></tr></table>")[1] == "Name  Value"
+    assert html_text.page_text("<table><form><tr><td>a</td><td>b</td></tr></form></table>")[1] == "a  b"
+    assert text("<table><tr>loose</tr></table>") == ["loose"] and text("<table><tr><div>block</div></tr></table>") == ["block"]
+    assert text("<table><tr>one<td>cell</td><div>two<td>inner</td></div></tr><tr><p hidden>no</p><td>last</td></tr></table>") == ["one", "two", "cell", "inner", "last"]
+
+
 def test_rendering_is_linear_enough():
     for html in ("<div>" * 30_000 + "x", "<ul><li>" * 3_000 + "x", '<a "' * 5_000, "<" * 50_000, "<p>a" * 30_000, "<table>" * 2_000 + "x"):
         html_text.page_text(html)
