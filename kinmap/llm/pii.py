@@ -33,7 +33,7 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?!
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _SECRETS = (
     (re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"), 0),
-    (re.compile(r"\b(?:[Tt]oken|[Ss]ecret|[Pp]assword|[Pp]asswd|[Aa]pi[_-]?[Kk]ey)\b\x20?[=:]\x20?\"?([^\"\s]{8,200})"), 1),
+    (re.compile(r"\b(?:[Tt]oken|[Ss]ecret|[Pp]assword|[Pp]asswd|[Aa]pi[_-]?[Kk]ey)\b\x20?[=:]\x20?\"?([^\"\s]{8,})"), 1),
     (re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"), 0),
 )
 

@@ -529,6 +529,13 @@ def test_find_pii(docs, empty):
     assert pii.find_pii(docs).count() == len(brute.CASES) and pii.find_pii(empty).count() == 0
 
 
+def test_long_secrets_are_whole():
+    value = "eyJhb" + "Ab0-_." * 166
+    text = f"api_key = {value} and more"
+    assert [s[:3] for s in pii.find_spans(text)] == [("secret", 10, 10 + len(value))]
+    assert pii.redacted(text, pii.find_spans(text)) == "api_key = <SECRET> and more"
+
+
 def test_long_runs_are_linear():
     for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1" + " " * 300_000, "a@" * 100_000, "1 " * 100_000, "AB12" * 60_000, "@" + "a" * 200_000):
         pii.find_spans(text)
