@@ -7,9 +7,10 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -81,38 +82,41 @@ def skew_join(rows: DataFrame, groups: DataFrame, key: str, n: str, total: int,
     return done.unionByName(rest)
 
 
-def value_bounds(df: DataFrame, column: str, parts: int) -> list:
-    """At most ``parts - 1`` rising values that cut a numeric column into parts of about equal size."""
-    if parts < 2:
-        return []
-    cuts = df.stat.approxQuantile(column, [i / parts for i in range(1, parts)], 0.25 / parts)
-    return sorted({int(x) for x in cuts})
+def ranged_sums(df: DataFrame, order: list[str], value: str, name: str, parts: int, path: str | None = None) -> DataFrame:
+    """A saved table (at ``path``, if given) of ``df`` cut into ``parts`` ranges of about equal numbers of rows in order of ``order``
+    (nulls first): adds ``part``, the range's number, and ``name``, the sum of ``value`` over the rows before this one in its range.
 
-
-def part_of(column: str, bounds: list) -> Column:
-    """Number of bounds at or below the value (null: 0), by binary search in a constant array."""
-    if not bounds:
-        return F.lit(0)
-    cuts = F.array(*(F.lit(x).cast("long") for x in bounds))
-    return F.coalesce(F.size(F.filter(cuts, lambda x: x <= F.col(column))), F.lit(0))
-
-
-def prefix_sum(df: DataFrame, order: str, ties: list[str], value: str, name: str, parts: int) -> DataFrame:
-    """Adds ``name``: the sum of ``value`` over all rows before this one in order of ``order``, then ``ties``.
-
-    The order column (a number) is cut into ``parts`` ranges; their sums, one row a range, are added up first, so no task
-    sees more than its range. ``df`` must be cheap to read again (a saved table).
+    Ranges are cut by all of ``order``, so that a run of one key may be many ranges; a range is one partition and one sorted file.
+    Rows are shuffled once.
     """
-    ranged = df.withColumn("_part", part_of(order, value_bounds(df, order, parts)))
-    sums = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))
-    before = sums.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))
-    inside = Window.partitionBy("_part").orderBy(F.col(order).asc_nulls_first(), *ties).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        ranged.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .join(F.broadcast(before), "_part")
-        .withColumn(name, (F.col("_in") + F.col("_before")).cast("long"))
-        .drop("_part", "_in", "_before")
-    )
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    keys = [F.col(f"`{c}`").asc_nulls_first() for c in order]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        before, part = 0, TaskContext.get().partitionId()
+        for batch in batches:
+            own = pc.fill_null(batch.column(value), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            upto = before + np.cumsum(own)
+            columns = [*batch.columns, pa.array(np.full(len(own), part, np.int64)), pa.array(upto - own)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "part", name])
+            before = int(upto[-1]) if len(upto) else before
+
+    placed = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(add, f"{ddl}, part long, `{name}` long")
+    if path is None:
+        return saved(placed, "ranged")
+    placed.write.parquet(path)
+    return df.sparkSession.read.schema(placed.schema).parquet(path)
+
+
+def prefix_sum(df: DataFrame, order: list[str], value: str, name: str, parts: int) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over all rows before this one in order of ``order`` (nulls first). The ranges' sums, a row
+    each, are added up apart; no task sees more than a range or those sums."""
+    ranged = ranged_sums(df, order, value, name, parts)
+    sums = ranged.groupBy("part").agg(F.sum(value).alias("_sum"))
+    before = sums.select("part", (F.sum("_sum").over(Window.orderBy("part")) - F.col("_sum")).alias("_before"))
+    return ranged.join(before, "part").withColumn(name, F.col(name) + F.col("_before")).drop("part", "_before")
 
 
 def bounded_batches(df: DataFrame, n_bytes: int = BATCH_BYTES) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Layout of a store, a folder: ``packs/*.ids`` hold Zstandard frames of chunks (little-endian ids of 2 or 4 bytes); ``index`` (Parquet)
 maps a chunk's key, the BLAKE2b-128 of its bytes, to pack, frame and place; ``recipes`` (Parquet, ascending by document) hold for each
-document its place in the stream, its chunk keys and the Merkle root over them; ``manifest`` (Parquet) has a root for each part of the
-recipes.
+document its part, its place there, its chunk keys and the Merkle root over them; ``manifest`` (Parquet) has each part's place in the
+stream, its number of documents and the Merkle root over theirs.
 """
 
 from __future__ import annotations
@@ -20,16 +20,17 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from kinmap.llm.common import bounded_batches, prefix_sum, saved, scratch_path, skew_join, slices
+from kinmap.llm.common import bounded_batches, ranged_sums, saved, scratch_path, skew_join, slices
 from kinmap.llm.files import create, open_file
 from kinmap.llm.tokens import encoder, tokenizer_path
 from kinmap.llm.words import text_column
 
 #: Ids of a chunk: at least, on average beyond that, at most; and ids that the rolling hash sees.
 LEAST, AVERAGE, MOST, WINDOW = 64, 256, 1024, 8
-#: Text that is encoded at a time, and words whose ids a worker keeps meanwhile: the more, the fewer words are looked up or encoded anew.
-TEXT_BYTES, CACHE_WORDS = 12_000_000, 1_000_000
+#: Text that is encoded at a time.
+TEXT_BYTES = 6_000_000
 FRAME_BYTES = 1 << 17
 PACK_BYTES = 1 << 26
 #: Documents of a part of the recipes.
@@ -82,6 +83,10 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+#: Columns of the index's files: a row is a document (kind 0) or a chunk (kind 1).
+_DOCUMENT, _CHUNK = "n_tokens long, root binary, keys array<binary>, after array<long>", "chunk binary, pack string, frame long, frame_bytes long, at long, n long"
+
+
 @dataclass(frozen=True)
 class Store:
     spark: SparkSession
@@ -91,21 +96,40 @@ class Store:
     kind: str
 
     def _rows(self) -> DataFrame:
-        columns = f"{self.key} {self.kind}, n_tokens long, root binary, keys array<binary>, after array<long>, chunk binary, pack string, frame long, frame_bytes long, at long, n long, kind int"
-        return self.spark.read.schema(columns).parquet(f"{self.path}/index")
+        return self.spark.read.schema(f"doc {self.kind}, {_DOCUMENT}, {_CHUNK}, kind int").parquet(f"{self.path}/index")
 
     @property
     def index(self) -> DataFrame:
         return self._rows().filter("kind = 1").select("chunk", "pack", "frame", "frame_bytes", "at", "n")
 
+    def _recipes(self) -> DataFrame:
+        return self.spark.read.schema(f"doc {self.kind}, {_DOCUMENT}, part long, inside long").parquet(f"{self.path}/recipes")
+
     @property
     def recipes(self) -> DataFrame:
-        columns = f"{self.key} {self.kind}, n_tokens long, root binary, keys array<binary>, after array<long>, start long"
-        return self.spark.read.schema(columns).parquet(f"{self.path}/recipes")
+        """``doc``, n_tokens, root, keys, after (ids of the document after each chunk), start, part."""
+        joined = self._recipes().join(self.manifest.select("part", "first"), "part")
+        return joined.select("doc", "n_tokens", "root", "keys", "after", (F.col("first") + F.col("inside")).alias("start"), "part")
 
     @property
     def manifest(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/manifest")
+        return self.spark.read.schema("part long, documents long, tokens long, root binary, first long").parquet(f"{self.path}/manifest")
+
+    def verify(self) -> None:
+        """Raises an error unless every document's Merkle root is that of its chunk keys, and every part's that of its documents."""
+
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for place, keys, root in zip(b.column("inside").to_pylist(), b.column("keys").to_pylist(), b.column("root").to_pylist()):
+                    if merkle_root(keys) != root:
+                        raise ValueError(f"the document at {place} of its part does not have its Merkle root")
+                yield b.drop_columns(["keys"])
+
+        own = self._recipes().select("part", "inside", "n_tokens", "root", "keys").mapInArrow(check, "part long, inside long, n_tokens long, root binary")
+        found, told = part_roots(own), self.manifest.drop("first")
+        odd = found.exceptAll(told).unionByName(told.exceptAll(found)).select("part").first()
+        if odd:
+            raise ValueError(f"part {odd[0]} of the recipes does not have its Merkle root in the manifest")
 
     def chunks(self, with_data: bool = False) -> DataFrame:
         """Every chunk as its pack has it: key, number of ids, crc32 of its ids as uint32, and, if asked for, its bytes. A chunk whose
@@ -140,8 +164,9 @@ class Store:
         return self.recipes.select("start", F.explode(F.arrays_zip("keys", "after")).alias("r")).select("start", F.col("r.keys").alias("chunk"), F.col("r.after").alias("after"))
 
     def read_digests(self) -> DataFrame:
-        """``key``, start, n_tokens, ids_crc32 of every document, from the files: chunks are read once, where they are; what is shuffled
-        is their lengths and checksums, which add up to those of documents."""
+        """``key``, start, n_tokens, ids_crc32 of every document, from the files, whose roots are verified first: chunks are read once,
+        where they are; what is shuffled is their lengths and checksums, which add up to those of documents."""
+        self.verify()
         refs = saved(self.references(), "references")
         counts = refs.groupBy("chunk").agg(F.count("*").alias("refs"))
         facts = saved(counts.join(self.chunks(), "chunk"), "facts")
@@ -154,18 +179,17 @@ class Store:
 
         found = placed.select("start", "n", "crc", "after").mapInArrow(run, "start long, n long, part long")
         summed = found.groupBy("start").agg(F.sum("n").alias("n_read"), F.bit_xor("part").alias("ids_crc32"))
-        joined = self.recipes.select(self.key, "start", "n_tokens").join(summed, "start", "left")
+        joined = self.recipes.select("doc", "start", "n_tokens").join(summed, "start", "left")
         ok = F.col("n_read").eqNullSafe(F.col("n_tokens"))
-        return joined.select(self.key, "start", F.when(ok, F.col("n_read")).otherwise(F.raise_error(F.lit("a document's chunks are missing"))).alias("n_tokens"), "ids_crc32")
+        return joined.select(F.col("doc").alias(self.key), "start", F.when(ok, F.col("n_read")).otherwise(F.raise_error(F.lit("a document's chunks are missing"))).alias("n_tokens"), "ids_crc32")
 
     def read_documents(self) -> DataFrame:
         """``key``, start and ids (array of ints) of every document, put together from its chunks and checked against its Merkle root."""
-        width, key = self.width, self.key
-        kind = self.kind
+        width, key, kind = self.width, self.key, self.kind
         refs = self.references()
         data = self.chunks(with_data=True).select("chunk", "data")
         parts = refs.join(data, "chunk").groupBy("start").agg(F.array_sort(F.collect_list(F.struct(-F.col("after"), "chunk", "data"))).alias("parts"))
-        joined = self.recipes.select(F.col(key).alias("_key"), "start", "root").join(parts, "start")
+        joined = self.recipes.select("doc", "start", "root").join(parts, "start")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -175,9 +199,9 @@ class Store:
                     if merkle_root([key_of(p[2]) for p in pieces]) != row["root"]:
                         raise ValueError(f"document at {row['start']} does not have its Merkle root")
                     out.append(np.frombuffer(b"".join(p[2] for p in pieces), f"<u{width}").astype(np.int32))
-                yield pa.RecordBatch.from_arrays([b.column("_key"), b.column("start"), pa.array(out, pa.list_(pa.int32()))], names=[key, "start", "ids"])
+                yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("start"), pa.array(out, pa.list_(pa.int32()))], names=["doc", "start", "ids"])
 
-        return joined.mapInArrow(run, f"{key} {kind}, start long, ids array<int>")
+        return joined.mapInArrow(run, f"doc {kind}, start long, ids array<int>").withColumnRenamed("doc", key)
 
 
 _POLY = np.uint32(0xEDB88320)
@@ -202,6 +226,18 @@ def shifted(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
     return out
 
 
+def part_roots(rows: DataFrame) -> DataFrame:
+    """part, documents, tokens, root of rows (part, inside, n_tokens, root): the Merkle root over a part's documents in order."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("inside")
+        root = merkle_root(group.column("root").to_pylist())
+        sums = pa.array([group.num_rows], pa.int64()), pa.array([pc.sum(group.column("n_tokens")).as_py()], pa.int64())
+        return pa.table({"part": group.column("part")[:1], "documents": sums[0], "tokens": sums[1], "root": pa.array([root], pa.binary())})
+
+    return rows.groupBy("part").applyInArrow(run, "part long, documents long, tokens long, root binary")
+
+
 def write_store(docs: DataFrame, key: str = "doc_id", text: str = "text", end_id: int = 2, tokenizer: str | None = None, width: int = 2, path: str | None = None) -> Store:
     """Encodes every whole text, ends it with ``end_id`` and writes the store, documents ascending by ``key`` (an integer).
 
@@ -213,9 +249,11 @@ def write_store(docs: DataFrame, key: str = "doc_id", text: str = "text", end_id
     spark, tokenizer = docs.sparkSession, tokenizer or tokenizer_path()
     path = path or scratch_path(spark, "tokens")
     kind = docs.schema[key].dataType.simpleString()
+    if key in ("start", "n_tokens", "ids_crc32", "ids"):
+        raise ValueError("the key may not have the name of a result")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen = encoder(tokenizer, CACHE_WORDS).encode, set()
+        encode, seen = encoder(tokenizer).encode, set()
         for batch in slices(batches, "_text", TEXT_BYTES):
             ends, ids = encode(text_column(batch.column("_text")))
             if len(ids) and int(ids.max()) >> (8 * width):
@@ -251,11 +289,11 @@ def write_store(docs: DataFrame, key: str = "doc_id", text: str = "text", end_id
                     pa.array([*[None] * n, *(k for k, _ in new)], pa.binary()),
                     pa.array([*[None] * n, *(d for _, d in new)], pa.binary()),
                 ],
-                names=["kind", key, "n_tokens", "root", "keys", "after", "chunk", "data"],
+                names=["kind", "doc", "n_tokens", "root", "keys", "after", "chunk", "data"],
             )
 
-    columns = f"kind int, {key} {kind}, n_tokens long, root binary, keys array<binary>, after array<long>, chunk binary"
-    cut_rows = bounded_batches(docs.selectExpr(f"`{key}` AS _key", f"`{text}` AS _text"), TEXT_BYTES).mapInArrow(cut, f"{columns}, data binary")
+    columns = f"kind int, doc {kind}, {_DOCUMENT}"
+    cut_rows = bounded_batches(docs.selectExpr(f"`{key}` AS _key", f"`{text}` AS _text"), TEXT_BYTES).mapInArrow(cut, f"{columns}, chunk binary, data binary")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -282,10 +320,10 @@ def write_store(docs: DataFrame, key: str = "doc_id", text: str = "text", end_id
                 file = None
             return rows
 
-        names = ["kind", key, "n_tokens", "root", "keys", "after", "chunk", "pack", "frame", "frame_bytes", "at", "n"]
+        names = ["kind", "doc", "n_tokens", "root", "keys", "after", "chunk", "pack", "frame", "frame_bytes", "at", "n"]
         size = 0
         for batch in batches:
-            key_type = batch.column(key).type
+            key_type = batch.column("doc").type
             rows = batch.filter(pc.equal(batch.column("kind"), 0)).drop_columns(["data"])
             n = rows.num_rows
             if n:
@@ -303,21 +341,12 @@ def write_store(docs: DataFrame, key: str = "doc_id", text: str = "text", end_id
         if file is not None:
             file.close()
 
-    met = cut_rows.repartition(F.xxhash64("chunk", "root", key))
-    bounded_batches(met, TEXT_BYTES).mapInArrow(store, f"{columns}, pack string, frame long, frame_bytes long, at long, n long").write.partitionBy("kind").parquet(f"{path}/index")
+    met = cut_rows.repartition(F.xxhash64("chunk", "root", "doc"))
+    bounded_batches(met, TEXT_BYTES).mapInArrow(store, f"{columns}, {_CHUNK}").write.partitionBy("kind").parquet(f"{path}/index")
     written = Store(spark, path, width, key, kind)
-    rows = written._rows().filter("kind = 0").select(key, "n_tokens", "root", "keys", "after")
+    rows = written._rows().filter("kind = 0").select("doc", "n_tokens", "root", "keys", "after")
     parts = max(1, math.ceil(rows.count() / PART))
-    placed = prefix_sum(rows, key, ["root"], "n_tokens", "start", parts)
-    placed.repartitionByRange(parts, "start").sortWithinPartitions("start").write.parquet(f"{path}/recipes")
-    recipes = written.recipes
-
-    def roots(group: pa.Table) -> pa.Table:
-        group = group.sort_by("start")
-        leaves = group.column("root").to_pylist()
-        return pa.table({"part": group.column("part")[:1], "first": group.column("start")[:1], "documents": pa.array([len(leaves)], pa.int64()), "root": pa.array([merkle_root(leaves)], pa.binary())})
-
-    total = recipes.agg(F.max("start")).first()[0] or 0
-    numbered = recipes.select("start", "root", F.expr(f"cast(start div {total // parts + 1} AS int)").alias("part"))
-    numbered.groupBy("part").applyInArrow(roots, "part int, first long, documents long, root binary").write.parquet(f"{path}/manifest")
+    ranged_sums(rows, ["doc", "root"], "n_tokens", "inside", parts, f"{path}/recipes")
+    sums = saved(part_roots(written._recipes().select("part", "inside", "n_tokens", "root")), "parts")
+    sums.withColumn("first", F.sum("tokens").over(Window.orderBy("part")) - F.col("tokens")).write.parquet(f"{path}/manifest")
     return written

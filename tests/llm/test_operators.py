@@ -123,7 +123,7 @@ def test_skew_join_loses_nothing(spark):
 
 def test_prefix_sum_over_parts(spark):
     rows = [(i % 17 if i % 9 else None, i, i % 5) for i in range(200)]
-    out = common.prefix_sum(spark.createDataFrame(rows, "k long, t long, v long").repartition(4), "k", ["t"], "v", "before", 6).collect()
+    out = common.prefix_sum(spark.createDataFrame(rows, "k long, t long, v long").repartition(4), ["k", "t"], "v", "before", 6).collect()
     expected, total = {}, 0
     for k, t, v in sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], r[1])):
         expected[t] = total
@@ -435,8 +435,11 @@ def test_packing(docs, empty, tokenizer):
     assert packing.pack_documents(empty).count() == 0
 
 
-@given(st.lists(st.text(max_size=40), max_size=6))
-@settings(max_examples=200, deadline=None)
+WORDY = st.lists(st.text(alphabet=st.sampled_from(list("aBzéÉßÄñ'’.,!|~$-–1٣ \n\u0301\u0130ſK日")), max_size=25), max_size=6)
+
+
+@given(WORDY | st.lists(st.text(max_size=40), max_size=6))
+@settings(max_examples=500, deadline=None)
 def test_ids_are_the_librarys(tokenizer, texts):
     offsets, ids = tokens.encoder(tokens.tokenizer_path()).encode(pa.array(texts, pa.string()))
     for i, t in enumerate(texts):
@@ -446,7 +449,7 @@ def test_ids_are_the_librarys(tokenizer, texts):
 def test_cache_overflow(tokenizer, monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_WORDS", 3)
     e = tokens.Encoder(tokens.tokenizer_path())
-    for t in ("alpha beta gamma delta", "epsilon alpha", "", "a|b ~ alpha <|endoftext|>"):
+    for t in ("alpha beta gamma delta", "epsilon alpha", "", "a|b ~ alpha <|endoftext|>", "<|EndOfText|> don't Stop's THE'S word|| word|. Épée, éPÉE"):
         offsets, ids = e.encode(pa.array([t, t]))
         assert ids[: offsets[1]].tolist() == ids[offsets[1] :].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
@@ -593,15 +596,24 @@ def test_store_round_trip(spark, docs, empty, tokenizer, monkeypatch):
     digests = {r["start"]: (r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in store.read_digests().collect()}
     assert digests == {s: (d, len(i), brute.crc(i)) for d, s, i in whole}
     assert store.index.count() == store.index.select("chunk").distinct().count() < store.references().count()
-    assert store.manifest.agg(F.sum("documents")).first()[0] == len(brute.CASES)
+    assert store.manifest.agg(F.sum("documents")).first()[0] == len(brute.CASES) and store.manifest.count() > 2
+    named = tokenstore.write_store(docs.selectExpr("doc_id AS kind", "text", "'x' AS root"), key="kind").read_digests()
+    assert named.columns == ["kind", "start", "n_tokens", "ids_crc32"] and named.count() == len(brute.CASES)
     nothing = tokenstore.write_store(empty)
     assert nothing.read_digests().count() == 0
 
 
+def rewritten(df, path):
+    """Replaces a table of a store."""
+    kept = common.saved(df, "kept")
+    kept.write.mode("overwrite").parquet(path)
+
+
 def test_damage_is_noticed(spark, docs):
     from urllib.parse import urlparse
 
-    store = tokenstore.write_store(docs.filter("doc_id = 8"))
+    plain = docs.filter("doc_id IN (6, 8)")
+    store = tokenstore.write_store(plain)
     pack = urlparse(store.index.first()["pack"]).path
     data = bytearray(open(pack, "rb").read())
     data[len(data) // 2] ^= 255
@@ -609,6 +621,22 @@ def test_damage_is_noticed(spark, docs):
     with pytest.raises(Exception):
         store.read_digests().collect()
 
+    swapped = tokenstore.write_store(plain)  # two chunk keys change places
+    rewritten(swapped._recipes().withColumn("keys", F.expr("concat(slice(keys, 2, 1), slice(keys, 1, 1), slice(keys, 3, size(keys)))")), f"{swapped.path}/recipes")
+    with pytest.raises(Exception, match="Merkle root"):
+        swapped.read_digests().collect()
+
+    replaced = tokenstore.write_store(plain)  # recipes whose roots fit, but not the manifest
+    other = tokenstore.write_store(docs.filter("doc_id IN (6, 12)"))
+    rewritten(other._recipes(), f"{replaced.path}/recipes")
+    with pytest.raises(Exception, match="manifest"):
+        replaced.read_digests().collect()
+
+    forged = tokenstore.write_store(plain)
+    rewritten(forged.manifest.withColumn("root", F.expr("unhex(repeat('00', 16))")), f"{forged.path}/manifest")
+    with pytest.raises(Exception, match="manifest"):
+        forged.read_digests().collect()
+
 
 @given(st.lists(st.integers(0, 3000), max_size=4), st.integers(0, 99))
 @settings(max_examples=60, deadline=None)
