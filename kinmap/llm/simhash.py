@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -14,32 +12,30 @@ from pyspark.sql import functions as F
 
 from kinmap.llm.common import bounded_batches, saved, skew_join, slices
 from kinmap.llm.components import components
-from kinmap.llm.jaccard import similar_documents  # noqa: F401
 from kinmap.llm.words import LOWER, listed, text_column, translated, words_of
 
-#: Fingerprints of a block of the trie: what one task of the join holds on either side.
-BLOCK = 1 << 19
-LEAST_PREFIX = 4
-#: Tasks of a join: one for a block pair, up to this.
-MOST_PARTITIONS = 20_000
+#: Fingerprints that a task of the join holds (about), and tasks at most.
+PART_ROWS, MOST_TASKS = 50_000, 50_000
+#: The largest subtrie that is not cut further, and bits that a part of a cut has at least.
+SUBTRIE, LEAST_SHARE = 1 << 19, 6
 #: Node pairs that the traversal expands at a time.
 FRONTIER = 1 << 17
 
 
-def mixed(hashes: np.ndarray, lanes: int) -> np.ndarray:
-    """``lanes`` independent 64-bit hashes of each hash, the first being the hash itself."""
-    out = [hashes]
-    for k in range(1, lanes):
-        x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
-        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # fixed values of the splitmix64 finaliser
-            x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
-        out.append(x ^ (x >> np.uint64(31)))
-    return np.stack(out, axis=1)
+def majority_bits(hashes: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
+    """An unsigned 64-bit number for each row: the bits that are set in over half of its hashes (``rows`` ascending); 0 without any."""
+    ones, sizes = np.zeros((n_rows, 64), np.int64), np.bincount(rows, minlength=n_rows)
+    for at in range(0, len(rows), 1 << 16):  # so that one very long text needs no more memory than many short ones
+        own = rows[at : at + (1 << 16)]
+        bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(len(own), -1), axis=1, bitorder="little")
+        begin = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))).tolist()
+        for a, b in zip(begin, [*begin[1:], len(own)]):
+            ones[own[a]] += bits[a:b].sum(axis=0, dtype=np.int32)
+    return np.packbits((2 * ones > sizes[:, None]).astype(np.uint8), axis=1, bitorder="little").view(np.uint64).reshape(n_rows)
 
 
-def fingerprints(texts: pa.Array, shingle: int = 3, seed: int = 42, lanes: int = 1) -> np.ndarray:
-    """SimHash of each text, a row of ``lanes`` unsigned 64-bit numbers: lower-cased A-Z, word shingles with repeats, XXH64 (mixed for
-    the lanes after the first); 0 without words."""
+def fingerprints(texts: pa.Array, shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """SimHash of each text: lower-cased A-Z, word shingles with repeats, XXH64; 0 without words."""
     words = words_of(translated(texts, LOWER))
     spelled = listed(words.vocabulary.cast(pa.binary()))
     flat = [spelled[c] for c in words.codes.tolist()]
@@ -52,24 +48,16 @@ def fingerprints(texts: pa.Array, shingle: int = 3, seed: int = 42, lanes: int =
     rows = np.repeat(np.arange(len(n)), per_row)
     first = words.offsets[rows] + (np.arange(len(rows)) - np.repeat(np.cumsum(per_row) - per_row, per_row))
     last = np.minimum(first + shingle, words.offsets[rows + 1]) - 1
-    ones = np.zeros((len(n), 64 * lanes), np.int64)
     digest = xxhash.xxh64_intdigest
-    for at in range(0, len(rows), 1 << 16):  # so that one very long text needs no more memory than many short ones
-        part = slice(at, at + (1 << 16))
-        own = rows[part]
-        hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[first[part]].tolist(), ends[last[part]].tolist())), np.uint64, len(own))
-        bits = np.unpackbits(mixed(hashes, lanes).view(np.uint8).reshape(len(own), -1), axis=1, bitorder="little")
-        begin = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))).tolist()
-        for a, b in zip(begin, [*begin[1:], len(own)]):
-            ones[own[a]] += bits[a:b].sum(axis=0, dtype=np.int32)
-    return np.packbits((2 * ones > per_row[:, None]).astype(np.uint8), axis=1, bitorder="little").view(np.uint64).reshape(len(n), lanes)
+    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[first].tolist(), ends[last].tolist())), np.uint64, len(rows))
+    return majority_bits(hashes, rows, len(n))
 
 
 def fingerprint_table(docs: DataFrame, key: str, text: str, shingle: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             got = fingerprints(text_column(batch.column("_text")), shingle, seed)
-            yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(got[:, 0].view(np.int64))], names=[key, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(got.view(np.int64))], names=[key, "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
     return bounded_batches(docs.selectExpr(f"`{key}` AS _key", f"`{text}` AS _text")).mapInArrow(run, f"{key} {kind}, fp long")
@@ -99,7 +87,7 @@ class TrieJoin:
     """
 
     def __init__(self, prints: np.ndarray, errors: int) -> None:
-        self.prints, self.errors, self.leaf_errors, self.depth = prints, errors, errors, 64
+        self.prints, self.errors = prints, errors
         self.labels = np.arange(len(prints))
         # neighbours in sorted order that are close already make up most of a dense group
         near = np.flatnonzero(self.close(np.arange(len(prints) - 1), np.arange(1, len(prints))))
@@ -134,7 +122,7 @@ class TrieJoin:
             lo1, hi1, lo2, hi2, spent = (x[keep] for x in (lo1, hi1, lo2, hi2, spent))
             open_ = ~self.settled(lo1, hi1, lo2, hi2)
             lo1, hi1, lo2, hi2, spent = (x[open_] for x in (lo1, hi1, lo2, hi2, spent))
-            small = ((hi1 - lo1) * (hi2 - lo2) <= 16) | (depth >= self.depth)
+            small = ((hi1 - lo1) * (hi2 - lo2) <= 16) | (depth >= 64)
             if small.any():
                 self.compare(*(x[small] for x in (lo1, hi1, lo2, hi2)))
             lo1, hi1, lo2, hi2, spent = (x[~small] for x in (lo1, hi1, lo2, hi2, spent))
@@ -158,16 +146,7 @@ class TrieJoin:
             )
 
     def compare(self, lo1: np.ndarray, hi1: np.ndarray, lo2: np.ndarray, hi2: np.ndarray) -> None:
-        """All pairs of two leaves' rows; a large pair of leaves row by row, as long as that can still join something."""
-        large = (hi1 - lo1) * (hi2 - lo2) > 1 << 16
-        for a, b, c, d in zip(*(x[large].tolist() for x in (lo1, hi1, lo2, hi2))):
-            others = np.arange(c, d)
-            for row in range(a, b):
-                open_ = others[self.labels[c:d] != self.labels[row]]
-                found = open_[self.close(np.full(len(open_), row), open_)] if len(open_) else open_
-                if len(found):
-                    self.link(np.full(len(found), row), found)
-        lo1, hi1, lo2, hi2 = (x[~large] for x in (lo1, hi1, lo2, hi2))
+        """All pairs of two small nodes' leaves."""
         upto = np.cumsum((hi1 - lo1) * (hi2 - lo2))
         at = 0
         while at < len(lo1):
@@ -179,54 +158,79 @@ class TrieJoin:
             which = np.repeat(np.arange(len(pairs)), pairs)
             k = np.arange(len(which)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
             u, v = a1[which] + k // n2[which], a2[which] + k % n2[which]
-            ok = np.bitwise_count(self.prints[u] ^ self.prints[v]) <= self.leaf_errors
+            ok = self.close(u, v)
             u, v = u[ok], v[ok]
             apart = self.labels[u] != self.labels[v]
-            u, v = u[apart], v[apart]
-            ok = self.close(u, v)
-            if ok.any():
-                self.link(u[ok], v[ok])
+            if apart.any():
+                self.link(u[apart], v[apart])
 
 
-def join_blocks(prints: np.ndarray, bounds: tuple[int, int] | None, prefix: int, spent: int, errors: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) that join up all fingerprints of ``prints`` (sorted, distinct, unsigned) within ``errors`` bits: of one block
-    with itself (``bounds`` None), or of the block before ``bounds`` with the one from it on, whose prefixes differ in
-    ``spent`` bits."""
+def join_subtries(prints: np.ndarray, depth: int, errors: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Links (places a, b in ``prints``: sorted, distinct, unsigned) that join up all fingerprints that share their ``depth`` highest bits
+    and differ in ``errors`` others at most."""
     if len(prints) < 2:
-        return prints[:0], prints[:0]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     trie = TrieJoin(prints, errors)
-    lo, hi, mid = (np.array([x]) for x in (0, len(prints), bounds[0] if bounds else 0))
-    nodes = (lo, hi, lo, hi) if bounds is None else (lo, mid, mid, hi)
-    trie.run(nodes, prefix, np.array([spent]))
+    top = prints >> np.uint64(64 - depth) if depth else np.zeros(len(prints), np.uint64)
+    lo = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1])))
+    hi = np.append(lo[1:], len(prints))
+    trie.run((lo, hi, lo, hi), depth, np.zeros(len(lo), np.int64))
     child = np.flatnonzero(trie.labels != np.arange(len(prints)))
-    return prints[child], prints[trie.labels[child]]
+    return child, trie.labels[child]
+
+
+def cut(rows: DataFrame, left: int, share: int, parts: int) -> DataFrame:
+    """Each row (fp, r, trie) ``parts`` times: the lowest ``left`` bits of r are turned so that another ``share`` of them is on top."""
+    mask = F.lit((1 << left) - 1 if left < 64 else -1)
+    low = F.col("r").bitwiseAND(mask)
+    turned = [F.shiftleft(low, i * share).bitwiseAND(mask).bitwiseOR(F.shiftrightunsigned(low, left - i * share)) for i in range(parts)]
+    each = [F.struct(F.col("r").bitwiseAND(F.bitwise_not(mask)).bitwiseOR(t).alias("r"), (F.col("trie") * parts + i).alias("trie")) for i, t in enumerate(turned)]
+    return rows.select("fp", F.explode(F.array(*each)).alias("x")).select("fp", "x.r", "x.trie")
+
+
+def joined(rows: DataFrame, n: int, depth: int, errors: int) -> DataFrame:
+    """Links (u, v) of the tries in ``rows`` (fp, r, trie), each joined with itself below its nodes at ``depth``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        fp, r, trie = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("fp", "r", "trie"))
+        r = r.view(np.uint64)
+        for one in np.unique(trie).tolist():
+            own = np.flatnonzero(trie == one)
+            own = own[np.argsort(r[own])]
+            u, v = join_subtries(r[own], depth, errors)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[own[u]]), pa.array(fp[own[v]])], names=["u", "v"])
+
+    tasks = min(max(8, n // PART_ROWS), MOST_TASKS)
+    return rows.repartition(tasks, "trie", F.shiftrightunsigned("r", 64 - depth)).mapInArrow(run, "u long, v long")
 
 
 def near_links(distinct: DataFrame, n: int, errors: int = 3) -> DataFrame:
     """Links (u, v) that connect all fingerprints of ``distinct(fp)`` within ``errors`` bits of each other.
 
-    The top bits cut the trie into blocks of about ``BLOCK`` leaves; a task takes a pair of blocks whose prefixes differ in at
-    most ``errors`` bits. Its links are those of a spanning forest: fewer than the block's rows, however dense its groups.
+    The 64 bits are cut into ``errors + 1`` parts, one of which two close fingerprints have in common. So a fingerprint goes into as many
+    tries, in each with another part at the top, and a trie is joined with itself below its nodes at that depth. These subtries are
+    dealt to tasks; those of more than ``SUBTRIE`` leaves are cut again, by the bits that their leaves do not share. A task's links
+    are those of a spanning forest: fewer than its rows, however dense its groups.
     """
-    prefix = max(LEAST_PREFIX, math.ceil(math.log2(max(n, 1) / BLOCK)))
-    near = [m for m in range(1 << prefix) if m.bit_count() <= errors]
-    masks, masks_n = F.array(*map(F.lit, near)), len(near)
-    own = F.shiftrightunsigned(F.col("fp"), 64 - prefix)
-    dealt = distinct.select("fp", own.alias("own"), F.explode(masks).alias("mask")).select(
-        "fp", F.least("own", F.col("own").bitwiseXOR(F.col("mask"))).alias("left"), F.greatest("own", F.col("own").bitwiseXOR(F.col("mask"))).alias("right")
-    )
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        prints = np.sort(rows["fp"].to_numpy().view(np.uint64))
-        left, right = int(key[0]), int(key[1])
-        middle = None if left == right else (int(np.searchsorted(prints, np.uint64(right << (64 - prefix)))),)
-        if middle and middle[0] in (0, len(prints)):
-            prints = prints[:0]
-        u, v = join_blocks(prints, middle, prefix, (left ^ right).bit_count(), errors)
-        return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
-
-    blocks = min((masks_n + 1 << prefix) // 2, MOST_PARTITIONS)
-    return dealt.repartition(blocks, "left", "right").groupBy("left", "right").applyInPandas(run, "u long, v long")
+    rows = distinct.select("fp", F.col("fp").alias("r"), F.lit(0).alias("trie"))
+    depth, left, links = 0, 64, None
+    while True:
+        share = left // (errors + 1)
+        rows, n, depth, left = cut(rows, left, share, errors + 1), n * (errors + 1), depth + share, left - share
+        large = None
+        if n > SUBTRIE and left // (errors + 1) >= LEAST_SHARE:
+            rows = rows.withColumn("top", F.shiftrightunsigned("r", 64 - depth))
+            large = saved(rows.groupBy("trie", "top").agg(F.count("*").alias("n")).filter(F.col("n") > SUBTRIE), "large")
+            n_large = large.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if not large or not n_large:
+            found = joined(rows.select("fp", "r", "trie"), n, depth, errors)
+            return links.unionByName(found) if links else found
+        found = joined(rows.join(large, ["trie", "top"], "left_anti").select("fp", "r", "trie"), n, depth, errors)
+        links = links.unionByName(found) if links else found
+        rows, n = rows.join(large, ["trie", "top"], "left_semi").select("fp", "r", "trie"), n_large
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, errors: int = 3, seed: int = 42) -> DataFrame:
@@ -246,21 +250,3 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     final = saved(skew_join(named, least, "root", "n_prints", sizes["distinct"]).select("fp", "n", "component_id"), "components")
     joined = skew_join(prints, final, "fp", "n", sizes["rows"])
     return joined.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-#: A table's bits of a wide fingerprint, and how many of them may differ in a candidate.
-TABLE_BITS, TABLE_ERRORS = 32, 2
-
-
-class NearTrie(TrieJoin):
-    """A trie over a table's bits, whose leaves may hold many fingerprints; candidates are compared by all their bits."""
-
-    def __init__(self, tops: np.ndarray, full: np.ndarray, limit: int) -> None:
-        self.full, self.limit = full, limit
-        self.labels = np.arange(len(tops))
-        self.prints, self.errors, self.leaf_errors, self.depth = tops, TABLE_ERRORS, TABLE_ERRORS + 3, TABLE_BITS  # leaves that meet anyway are judged by all bits
-        near = np.flatnonzero(self.close(np.arange(len(tops) - 1), np.arange(1, len(tops)))) if len(tops) > 1 else np.zeros(0, np.int64)
-        self.link(near, near + 1)
-
-    def close(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(self.full[u] ^ self.full[v]).sum(axis=1) <= self.limit

@@ -152,15 +152,20 @@ def test_trie_join(n, seed, flips):
     for _ in range(flips):
         prints = prints ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64))
     prints = np.unique(prints)
-    u, v = simhash.join_blocks(prints, None, 0, 0)
-    labels = simhash.labels_of(len(prints), np.searchsorted(prints, u), np.searchsorted(prints, v))
+    u, v = simhash.join_subtries(prints, 0)
+    labels = simhash.labels_of(len(prints), u, v)
     assert labels.tolist() == brute.components([int(p) for p in prints])
 
 
-def test_blocks_find_links_across_prefixes(spark):
+@pytest.mark.parametrize("subtrie", [1 << 19, 3])
+def test_links_are_found_wherever_the_bits_differ(spark, monkeypatch, subtrie):
+    """Also where subtries are cut two more times."""
+    monkeypatch.setattr(simhash, "SUBTRIE", subtrie)
     rng = np.random.default_rng(8)
-    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
-    prints = np.unique(np.concatenate([base, base ^ (np.uint64(7) << np.uint64(60)), base ^ np.uint64(15)]))
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    flips = [np.uint64(0), np.uint64(7) << np.uint64(61), np.uint64(15), np.uint64(1 << 63 | 1 << 40 | 1 << 2), np.uint64(1 << 17 | 1 << 33 | 1 << 50), np.uint64(1 << 20 | 1 << 30 | 1 << 31 | 1 << 60)]
+    dense = base[0] ^ np.arange(60, dtype=np.uint64) * np.uint64(0x1001)
+    prints = np.unique(np.concatenate([*(base ^ f for f in flips), dense, np.array([0, 2**64 - 1, 1 << 63], np.uint64)]))
     df = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "fp long").repartition(3)
     roots = {r["id"]: r["root"] for r in components.components(simhash.near_links(df, len(prints))).collect()}
     signed = prints.view(np.int64).tolist()
@@ -194,7 +199,7 @@ def test_similar_documents(spark, docs, empty):
     texts += [[*hub[:i], "edit", *hub[i + 1 :]] for i in range(0, 250, 2)]
     cases = list(enumerate(" ".join(t) for t in texts))
     rng.shuffle(cases)
-    out = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(brute.rows(spark, cases)).collect()}
+    out = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(brute.rows(spark, cases)).collect()}
     sets = {d: set(brute.shingles(t, 5)) for d, t in cases}
     found = wanted = 0
     for a in sets:
@@ -206,8 +211,8 @@ def test_similar_documents(spark, docs, empty):
             elif a < b and likeness < 0.1:
                 assert out[a] != out[b]
     assert wanted > 100 and found >= 0.98 * wanted
-    null = simhash.similar_documents(docs).collect()
-    assert len(null) == sum(d is not None for d, _ in brute.CASES) and simhash.similar_documents(empty).count() == 0
+    null = jaccard.similar_documents(docs).collect()
+    assert len(null) == sum(d is not None for d, _ in brute.CASES) and jaccard.similar_documents(empty).count() == 0
 
 
 def alike_groups(cases, share=(4, 5)):
@@ -228,7 +233,7 @@ def test_repeated_lines_do_not_link(spark):
     text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))
     own = text()
     cases = [*((i, text() + line * 20) for i in range(12)), (20, own + line), (21, own + line * 20)]
-    out = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(brute.rows(spark, cases)).collect()}
+    out = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(brute.rows(spark, cases)).collect()}
     assert out == alike_groups(cases) == {i: i for i in range(12)} | {20: 20, 21: 20}
 
 
@@ -257,19 +262,10 @@ def test_similar_documents_are_exact(spark, monkeypatch):
     for small, sample in ((8, 4000), (2, 1)):
         monkeypatch.setattr(jaccard, "SMALL_GROUP", small)
         monkeypatch.setattr(jaccard, "SAMPLE", sample)
-        out = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(brute.rows(spark, cases)).collect()}
+        out = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(brute.rows(spark, cases)).collect()}
         assert out == expected
 
 
-def test_large_leaves_are_joined_row_by_row():
-    rng = np.random.default_rng(1)
-    tops = np.zeros(600, np.uint64)
-    full = np.where(np.arange(600)[:, None] % 2, np.uint64(0), np.uint64(2**64 - 1)) ^ (np.uint64(1) << rng.integers(0, 64, (600, 4)).astype(np.uint64))
-    trie = simhash.NearTrie(tops, full, 20)
-    trie.run((np.array([0]), np.array([600]), np.array([0]), np.array([600])), 1, np.array([0]))
-    assert len(set(trie.labels.tolist())) == 2
-
-
 # 4
 
 

@@ -5,7 +5,7 @@ import os
 import corpus_pipeline
 import duckdb
 import pytest
-from kinmap.llm import queries, simhash
+from kinmap.llm import jaccard, queries
 from pyspark.sql import functions as F
 
 from tests.llm import brute
@@ -49,7 +49,7 @@ def test_pipeline_stages(spark):
     assert first.columns == columns and first.filter("doc_id = 900002").isEmpty() and first.count() >= base.count()
 
     second = corpus_pipeline.saved(steps["near_dedup"](spark, first.unionByName(first.filter("doc_id < 20")), SF), "t")
-    groups = simhash.similar_documents(first)
+    groups = jaccard.similar_documents(first)
     assert second.columns == columns
     assert sorted(r[0] for r in second.select("doc_id").collect()) == sorted(r[0] for r in groups.select("component_id").distinct().collect())
 
