@@ -9,8 +9,9 @@ from unicodedata import east_asian_width
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from kinmap.llm.common import bounded_batches, slices
+from kinmap.llm.common import Carried, bounded_batches, slices
 from kinmap.llm.words import text_column
 
 # Fixed element sets of HTML.
@@ -437,14 +438,15 @@ def page_text(source: str) -> tuple[str | None, str]:
     return builder.title, Renderer(Visibility(builder.styles)).run(root)
 
 
-def extract_text(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """One row a page: ``key``, title, text.
+def extract_text(pages: DataFrame, key: str = "page_id", html: str = "html", keep: list[str] | None = None) -> DataFrame:
+    """One row a page: the columns ``keep`` (``key`` alone by default), title, text.
 
     No shuffle; whole pages, in time about linear in their length. Null html has a null title and text, empty html an empty text; null
-    keys and repeated rows come back as they are; an empty table gives an empty result; extra columns are not read. Markup that
-    is broken never fails: ends are implied, and what cannot be a tag is text.
+    keys and repeated rows come back as they are; an empty table gives an empty result; further columns are not read, and ``keep``
+    may not name an added one. Markup that is broken never fails: ends are implied, and what cannot be a tag is text.
     """
-    kind = pages.schema[key].dataType.simpleString()
+    carried = Carried(pages, [key] if keep is None else keep)
+    own = carried.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_html"):
@@ -452,6 +454,7 @@ def extract_text(pages: DataFrame, key: str = "page_id", html: str = "html") ->
             got = [page_text(s) for s in text_column(column).to_pylist()]
             nulls = column.is_null().to_pylist()
             texts = [None if null else g[1] for g, null in zip(got, nulls)]
-            yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array([g[0] for g in got], pa.string()), pa.array(texts, pa.string())], names=[key, "title", "text"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, own), pa.array([g[0] for g in got], pa.string()), pa.array(texts, pa.string())], names=[*own, "title", "text"])
 
-    return bounded_batches(pages.selectExpr(f"`{key}` AS _key", f"`{html}` AS _html")).mapInArrow(run, f"{key} {kind}, title string, text string")
+    read = pages.select(*carried.columns, F.col(f"`{html}`").alias("_html"))
+    return bounded_batches(read).mapInArrow(run, f"{carried.ddl}, title string, text string").select(*carried.restored, "title", "text")

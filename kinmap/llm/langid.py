@@ -16,7 +16,7 @@ from kinmap.llm.words import text_column, translated
 
 LANGUAGES = ("de", "en", "es", "fr")
 UNKNOWN = "und"
-#: Labelled rows that the text model is fitted on, for each language (about: rows are chosen by hash).
+#: Labelled rows that the text model is fitted on, for each language, each text once (about: they are chosen by hash).
 SAMPLE = 500
 BUCKETS = 1 << 15
 #: Overlapping trigrams are no independent evidence: their log likelihoods count by this.
@@ -70,22 +70,25 @@ class TextModel:
 
 
 def declared_class(column: Column, languages: tuple[str, ...]) -> Column:
-    """Number of the declared language (``de``, ``de-AT``, any case); others and none share the last."""
-    short = F.lower(F.substring(F.trim(column), 1, 2))
+    """Number of the declared language (``de``, ``de-AT``, ``de_AT``, any case; the whole first subtag); others and none share the last."""
+    short = F.element_at(F.split(F.lower(F.trim(column)), "[-_]"), 1)
     out = F.lit(len(languages))
     for i, name in enumerate(languages):
         out = F.when(short == name, F.lit(i)).otherwise(out)
     return out
 
 
-def fit(docs: DataFrame, key: str, text: str, declared: str, languages: tuple[str, ...] = LANGUAGES, sample: int = SAMPLE) -> TextModel:
-    """Trigram counts of about ``sample`` rows of each declared language, chosen by the hash of their keys."""
-    named = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), declared_class(F.col(declared), languages).alias("_class")).filter(F.col("_class") < len(languages))
-    n = {r["_class"]: r["count"] for r in named.groupBy("_class").count().collect()}
+def fit(docs: DataFrame, text: str, declared: str, languages: tuple[str, ...] = LANGUAGES, sample: int = SAMPLE) -> TextModel:
+    """Trigram counts of about ``sample`` texts of each declared language, chosen by their hash; copies count once, so that neither equal
+    keys nor equal texts make the sample empty or large. All are taken where there are fewer."""
+    named = docs.select(F.col(f"`{text}`").alias("_text"), declared_class(F.col(declared), languages).alias("_class")).filter((F.col("_class") < len(languages)) & F.col("_text").isNotNull())
+    named = named.withColumn("_hash", F.xxhash64("_text"))
+    n = {r["_class"]: r["n"] for r in named.groupBy("_class").agg(F.approx_count_distinct("_hash").alias("n")).collect()}
     chosen = F.lit(False)
     for i in range(len(languages)):
-        step = max(1, n.get(i, 0) // sample)
-        chosen = chosen | ((F.col("_class") == i) & (F.pmod(F.xxhash64("_key"), F.lit(step)) == 0))
+        share = min(1.0, sample / max(n.get(i, 0), 1))
+        chosen = chosen | ((F.col("_class") == i) & (F.col("_hash") <= F.lit(int(-(2**63) + share * (2**64 - 1024))) if share < 1 else F.col("_class") == i))
+    rows = named.filter(chosen).groupBy("_class", "_hash").agg(F.first("_text").alias("_text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(len(languages) * BUCKETS, np.int64)
@@ -95,7 +98,7 @@ def fit(docs: DataFrame, key: str, text: str, declared: str, languages: tuple[st
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["cell", "n"])
 
-    cells = bounded_batches(named.filter(chosen).select("_text", "_class")).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    cells = bounded_batches(rows.select("_text", "_class")).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     counts = np.full(len(languages) * BUCKETS, 0.05)
     for cell in cells:
         counts[cell["cell"]] += cell["n"]
@@ -120,17 +123,24 @@ def evidence(rows: DataFrame, model: TextModel, world: list[float]) -> DataFrame
     return bounded_batches(rows.select("_host", "_suffix", "_declared", "_text")).mapInArrow(vote, "host string, suffix string, declared int, class int").groupBy("host", "suffix", "declared", "class").agg(F.count("*").alias("n"))
 
 
-def host_priors(votes: DataFrame, classes: int) -> DataFrame:
-    """(host, n, prior): a host's votes, smoothed by its suffix, whose votes are smoothed by all votes."""
+def host_priors(votes: DataFrame, classes: int, broadcast_rows: int = BROADCAST_HOSTS) -> DataFrame:
+    """(host, n, prior): a host's votes, smoothed by its suffix, whose votes are smoothed by all votes. Up to ``broadcast_rows`` suffixes are
+    broadcast; more are joined by shuffle, those of many hosts apart."""
     each = [F.sum(F.when(F.col("class") == i, F.col("n")).otherwise(0)).cast("double").alias(f"c{i}") for i in range(classes)]
     names = [f"c{i}" for i in range(classes)]
     world = votes.agg(*each).first()
     total = sum(world[c] or 0.0 for c in names)
     base = [((world[c] or 0.0) + SMOOTHING / classes) / (total + SMOOTHING) for c in names]
-    suffixes = votes.groupBy("suffix").agg(*each)
+    hosts = saved(votes.groupBy("host", "suffix").agg(*each, F.sum("n").alias("n")), "hosts")
+    suffixes = hosts.groupBy("suffix").agg(*(F.sum(c).alias(c) for c in names), F.count("*").alias("_hosts"))
     mass = sum((F.col(c) for c in names), F.lit(0.0))
-    suffixes = suffixes.select("suffix", F.array(*((F.col(c) + SMOOTHING * b) / (mass + SMOOTHING) for c, b in zip(names, base))).alias("above"))
-    hosts = votes.groupBy("host", "suffix").agg(*each, F.sum("n").alias("n")).join(suffixes, "suffix")
+    above = F.array(*((F.col(c) + SMOOTHING * b) / (mass + SMOOTHING) for c, b in zip(names, base)))
+    suffixes = saved(suffixes.select("suffix", "_hosts", above.alias("above")), "suffixes")
+    size = suffixes.agg(F.count("*").alias("suffixes"), F.coalesce(F.sum("_hosts"), F.lit(0)).alias("hosts")).first()
+    if size["suffixes"] <= broadcast_rows:
+        hosts = hosts.join(F.broadcast(suffixes.drop("_hosts")), "suffix")
+    else:
+        hosts = skew_join(hosts, suffixes, "suffix", "_hosts", size["hosts"])
     return hosts.select("host", "n", F.array(*((F.col(c) + SMOOTHING * F.col("above")[i]) / (mass + SMOOTHING) for i, c in enumerate(names))).alias("prior"))
 
 
@@ -170,7 +180,7 @@ def identify(
     added = ["language", "posterior", "text_language", "accepted"]
     if set(keep) & set(added):
         raise ValueError(f"columns {added} are added")
-    model = model or fit(docs, key, text, declared, languages)
+    model = model or fit(docs, text, declared, languages)
     names = (*model.languages, UNKNOWN)
     world = [(1 - UNKNOWN_PRIOR) / (len(names) - 1)] * (len(names) - 1) + [UNKNOWN_PRIOR]
     where = F.lower(F.coalesce(F.col(host), F.lit("")))
@@ -179,7 +189,7 @@ def identify(
     rows = docs.select(*carried.columns, F.col(text).alias("_text"), where.alias("_host"), suffix_of(where).alias("_suffix"), declared_class(F.col(declared), model.languages).alias("_declared"))
     votes = saved(evidence(rows, model, world), "votes")
     claims = np.log(declared_table(votes, len(names)))
-    priors = saved(host_priors(votes, len(names)).withColumnRenamed("host", "_host"), "priors")
+    priors = saved(host_priors(votes, len(names), broadcast_hosts).withColumnRenamed("host", "_host"), "priors")
     size = priors.agg(F.count("*").alias("hosts"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
     if size["hosts"] <= broadcast_hosts:
         joined = rows.join(F.broadcast(priors.drop("n")), "_host", "left")
@@ -208,7 +218,7 @@ def identify(
 
 def markup_language(html: Column) -> Column:
     """The language that a page's html element declares, or null."""
-    return F.nullif(F.regexp_extract(html, r"(?i)<html[^>]{0,500}?\blang\s*=\s*[\"']?([A-Za-z-]+)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(html, r"(?i)<html\b[^>]*?(?<![\w:-])lang\s*=\s*[\"']?([A-Za-z_-]+)", 1), F.lit(""))
 
 
 def host_of(url: Column) -> Column:

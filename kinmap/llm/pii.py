@@ -34,16 +34,19 @@ _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _SECRETS = (
     (re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"), 0),
     (re.compile(r"\b(?:[Tt]oken|[Ss]ecret|[Pp]assword|[Pp]asswd|[Aa]pi[_-]?[Kk]ey)\b\x20?[=:]\x20?\"?([^\"\s]{8,})"), 1),
-    (re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"), 0),
 )
+_KEY_BEGIN = re.compile(r"-----BEGIN [A-Z0-9\x20]*?PRIVATE KEY(?:\x20BLOCK)?-----")
+_KEY_END = re.compile(r"-----END [A-Z0-9\x20]*?PRIVATE KEY(?:\x20BLOCK)?-----")
+#: What follows a key's first line where its last is missing: header fields and runs of the key's alphabet.
+_KEY_BODY = re.compile(r"(?:(?:\s|\\n)*+(?:(?:Proc-Type|DEK-Info|Version|Comment):[^\n]*+|[A-Za-z0-9+/=]{16,}+))*+")
 
 #: Words that raise (or, after the bar, lower) the score of a kind.
 CONTEXT = {
-    "email": ("mail e-mail contact write", "example"),
-    "ip": ("ip address host server login", "version section chapter"),
-    "card": ("card visa mastercard amex credit debit payment", "order invoice isbn tracking serial"),
-    "phone": ("phone call tel mobile fax whatsapp", "order invoice serial"),
-    "iban": ("iban bank account transfer", "serial part"),
+    "email": ("mail e-mail contact write correo kontakt contacto", "example"),
+    "ip": ("ip address host server login adresse dirección", "version section chapter kapitel"),
+    "card": ("card visa mastercard amex credit debit payment karte tarjeta carte", "order invoice isbn tracking serial rechnung factura"),
+    "phone": ("phone call tel mobile fax whatsapp telefon teléfono téléphone handy", "order invoice serial rechnung factura"),
+    "iban": ("iban bank account transfer konto cuenta compte", "serial part"),
     "ssn": ("ssn social security taxpayer", "part serial order"),
     "secret": ("key token secret password credential", "example"),
 }
@@ -128,10 +131,19 @@ def numbers(text: str) -> Iterator[tuple[int, int]]:
             yield m.span()
 
 
+def private_keys(text: str) -> Iterator[tuple[int, int]]:
+    """Whole blocks, from the first line of a key to its last; without a last line before the next key, what looks like its body."""
+    begins = list(_KEY_BEGIN.finditer(text)) if "PRIVATE KEY" in text else []
+    for m, upto in zip(begins, [*(n.start() for n in begins[1:]), len(text)]):
+        last = _KEY_END.search(text, m.end(), upto)
+        yield m.start(), last.end() if last else _KEY_BODY.match(text, m.end(), upto).end()
+
+
 def secrets(text: str) -> Iterator[tuple[int, int]]:
     for pattern, group in _SECRETS:
         for m in pattern.finditer(text):
             yield m.span(group)
+    yield from private_keys(text)
 
 
 #: Score of a confirmed span before its context is seen.

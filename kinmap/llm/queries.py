@@ -126,8 +126,8 @@ def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinmap.llm.langid import host_of, identify, markup_language
 
     pages = table(spark, sf_dir, "pages")
-    named = pages.select("page_id", markup_language(F.col("html")).alias("lang"), host_of(F.col("url")).alias("host"))
-    found = identify(extract_text(pages).join(named, "page_id"), key="page_id", host="host")
+    named = pages.select("page_id", "html", markup_language(F.col("html")).alias("lang"), host_of(F.col("url")).alias("host"))
+    found = identify(extract_text(named, keep=["page_id", "lang", "host"]), key="page_id", host="host")
     return found.withColumn("posterior", F.round("posterior", 6))
 
 

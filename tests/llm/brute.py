@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -90,3 +91,52 @@ def components(prints, errors=3):
                 a, b = group[i], group[j]
                 group = [min(a, b) if g in (a, b) else g for g in group]
     return group
+
+
+def trigrams(text):
+    """Buckets of the byte trigrams of a text's letters, words held apart by single spaces; trigrams around a space's own middle, or with
+    two spaces in a row at an end, say nothing."""
+    data = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in (text or "").encode())
+    out = []
+    for a, b, c in zip(data, data[1:], data[2:]):
+        if b != 32 or (a != 32 and c != 32):
+            out.append((((a << 16 | b << 8 | c) * 0x9E3779B1) % 2**32) >> 17)
+    return out
+
+
+def language(cases, model, langid):
+    """key: (language, text language, accepted, posterior) for (key, text, declared, host)."""
+    names = (*model.languages, "und")
+    last = len(names) - 1
+    world = [(1 - langid.UNKNOWN_PRIOR) / last] * last + [langid.UNKNOWN_PRIOR]
+    rows, votes = [], []
+    for key, text, declared, host in cases:
+        grams = trigrams(text)
+        score = [langid.TEMPER * math.fsum(float(model.log_p[g, k]) for g in grams) for k in range(len(names))]
+        first = (declared or "").strip(" ").lower().replace("_", "-").split("-")[0]
+        claim = names.index(first) if first in names[:-1] else last
+        host = (host or "").lower()
+        suffix = host.rpartition(".")[2] if "." in host else ""
+        alone = max(range(len(names)), key=lambda k: score[k] + math.log(world[k])) if grams else last
+        rows.append((key, grams, score, claim, host, suffix, alone))
+        votes.append((host, suffix, claim, alone))
+
+    def prior(kept, above):
+        n = [sum(1 for v in votes if kept(v) and v[3] == k) for k in range(len(names))]
+        return [(x + langid.SMOOTHING * a) / (sum(n) + langid.SMOOTHING) for x, a in zip(n, above)]
+
+    base = prior(lambda v: True, [1 / len(names)] * len(names))
+    out = {}
+    for key, grams, score, claim, host, suffix, alone in rows:
+        near = prior(lambda v: v[0] == host, prior(lambda v: v[1] == suffix, base))
+        total = []
+        for k in range(len(names)):
+            own = [v for v in votes if v[3] == k]
+            assumed = langid.HONEST if claim == k else (1 - langid.HONEST) / (len(names) - 1)
+            told = (sum(v[2] == claim for v in own) + langid.SMOOTHING * assumed) / (len(own) + langid.SMOOTHING)
+            total.append(score[k] + math.log(told) + math.log(near[k]))
+        share = [math.exp(t - max(total)) for t in total]
+        best = share.index(max(share)) if grams else last
+        sure = max(share) / sum(share) if grams else 1.0
+        out[key] = (names[best], names[alone], best < last and sure >= 0.5, sure)
+    return out
