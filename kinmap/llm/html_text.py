@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 from unicodedata import east_asian_width
 
 import pyarrow as pa
@@ -43,22 +44,30 @@ IMPLIED_ENDS = {
 }
 #: Ends of inner elements do not reach beyond these.
 SCOPES = frozenset("table td th caption button object template".split())
-#: A cell is padded to the width of its column, but to no more than this.
-MOST_PADDING = 40
+#: Tables in tables up to this depth are laid out; deeper ones are text without a layout.
+NESTED = 40
+#: Width that the screen of a media query has, in pixels.
+SCREEN = 1280
 
 _TAG = re.compile(r"<(?:!--(?:.*?-->|.*\Z)|/([a-zA-Z][^\s/>]*)[^>]*>?|([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[!?/][^>]*>?)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)")
-_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
-_SELECTOR = re.compile(r"([a-z][a-z0-9]*)?((?:[.#][\w-]+)*)\Z")
+_DECLARED = re.compile(r"(?:^|[;{\s])(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_CSS = re.compile(r"[^{};]*+[{};]")
+_COMPOUND = re.compile(r"(\*|[a-z][\w-]*)?((?:[.#][\w-]+|\[[^\]\"']*(?:\"[^\"]*\"|'[^']*')?\s*\])*)", re.I)
+_PART = re.compile(r"([.#])([\w-]+)|\[\s*([\w-]+)\s*(?:(=)\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\]]*))\s*)?\]")
+_FEATURE = re.compile(r"\(\s*(min|max)-width\s*:\s*([0-9.]+)\s*(px|em|rem)\s*\)")
 
 
 class Node:
-    __slots__ = ("attributes", "children", "tag")
+    """``shown``: the element and what it holds have boxes; ``visible``: its own text is seen."""
+
+    __slots__ = ("attributes", "children", "shown", "tag", "visible")
 
     def __init__(self, tag: str, attributes: dict[str, str] | None = None) -> None:
         self.tag, self.attributes, self.children = tag, attributes or {}, []
+        self.shown = self.visible = True
 
 
 def attributes_of(source: str) -> dict[str, str]:
@@ -183,32 +192,142 @@ class TreeBuilder:
                     return
 
 
+def on_screen(query: str) -> bool:
+    """Whether a media query holds for a screen of ``SCREEN`` pixels; features other than its width hold for none."""
+    for one in query.lower().split(","):
+        words = one.split()
+        negated = words[:1] == ["not"]
+        media = [w for w in words if w not in ("not", "only", "and") and w[0].isalpha() and not w.endswith(")")]
+        holds = all(m in ("all", "screen") for m in media[:1])
+        features = re.findall(r"\([^()]*\)", one)
+        for f in features:
+            m = _FEATURE.fullmatch(f)
+            width = float(m[2].strip(".") or 0) * (1 if m[3] == "px" else 16) if m and m[2].count(".") < 2 else None
+            holds &= width is not None and (SCREEN >= width if m[1] == "min" else SCREEN <= width)
+        if holds != negated:
+            return True
+    return not query.strip()
+
+
+def css_rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of the rules that a screen applies, also inside the at-rules that hold for it."""
+    open_: list[bool] = []  # of the blocks around: whether their rules count
+    selectors = None
+    for m in _CSS.finditer(re.sub(r"/\*.*?(?:\*/|\Z)", " ", sheet, flags=re.S)):
+        text, end = m[0][:-1].strip(), m[0][-1]
+        if selectors is not None:
+            declared += m[0][: -1 if end == "}" else None]
+            if end == "}":
+                if all(open_):
+                    yield selectors, declared
+                selectors = None
+        elif end == "{" and text.startswith("@"):
+            name, _, rest = text[1:].partition(" ")
+            if name.lower() in ("media", "supports", "layer", "container"):
+                open_.append(on_screen(rest) if name.lower() == "media" else name.lower() != "container")
+            else:
+                selectors, declared = "", ""  # a block of declarations (or of frames) that no element has
+        elif end == "{":
+            selectors, declared = text, ""
+        elif end == "}" and open_:
+            open_.pop()
+
+
+class Step(NamedTuple):
+    """One compound of a selector: what an element must be, and how it stands to what the compound before it matched."""
+
+    tag: str | None
+    classes: frozenset[str]
+    ids: frozenset[str]
+    attributes: tuple[tuple[str, str | None], ...]
+    child: bool
+    first: bool
+    bit: int
+    rule: tuple | None  # of the last compound: (specificity, order, declarations)
+
+    def fits(self, node: Node, classes: set[str]) -> bool:
+        own = node.attributes
+        return (self.tag is None or self.tag == node.tag) and self.classes <= classes and self.ids <= {own.get("id")} and all(k in own and v in (None, own[k]) for k, v in self.attributes)
+
+
+def declarations(source: str) -> list[tuple[str, str, bool]]:
+    return [(m[1].lower(), m[2].lower(), bool(m[3])) for m in _DECLARED.finditer(source)]
+
+
 class Visibility:
-    """Hidden elements: by kind, by attribute, by their own style, and by simple rules (kind, classes, id) of style elements."""
+    """What is seen: by kind of element, by attribute, and by the cascade of display and visibility over style elements (tags, classes, ids,
+    attributes, descendants and children; other selectors match nothing) and style attributes."""
 
     def __init__(self, styles: list[str]) -> None:
-        self.rules: list[tuple[str | None, frozenset[str], frozenset[str]]] = []
-        for sheet in styles:
-            if not _UNSEEN.search(sheet.lower()):
-                continue
-            for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
-                if _UNSEEN.search(body.lower()):
+        self.steps: dict[str, list[Step]] = {}
+        self.bits = 0
+        order = 0
+        for sheet in styles if any(_HIDING.search(s) for s in styles) else ():
+            for selectors, body in css_rules(sheet):
+                if found := declarations(body):
                     for one in selectors.split(","):
-                        if (m := _SELECTOR.match(one.strip())) and m[0]:
-                            parts = re.findall(r"[.#][\w-]+", m[2] or "")
-                            self.rules.append((m[1], frozenset(p[1:] for p in parts if p[0] == "."), frozenset(p[1:] for p in parts if p[0] == "#")))
-
-    def hides(self, node: Node) -> bool:
-        own = node.attributes
-        if node.tag in HIDDEN or node.tag == "dialog" and "open" not in own:
-            return True
-        if self.rules:
+                        order += 1
+                        self.add(one.strip(), order, found)
+
+    def add(self, selector: str, order: int, found: list) -> None:
+        parts = re.findall(r">|(?:[^\s>\[]|\[[^\]]*\])+", selector)
+        steps, child = [], False
+        for part in parts:
+            if part == ">":
+                child = True
+                continue
+            m = _COMPOUND.fullmatch(part)
+            if not m or not part:
+                return
+            inner = _PART.findall(m[2] or "")
+            tag = m[1].lower() if m[1] and m[1] != "*" else None
+            named = {c: frozenset(x[1] for x in inner if x[0] == c) for c in ".#"}
+            attributes = tuple((x[2].lower(), (x[4] or x[5] or x[6]) if x[3] else None) for x in inner if x[2])
+            steps.append((tag, named["."], named["#"], attributes, child))
+            child = False
+        if not steps or child or steps[0][4]:
+            return
+        weight = (sum(len(s[2]) for s in steps), sum(len(s[1]) + len(s[3]) for s in steps), sum(s[0] is not None for s in steps))
+        for i, s in enumerate(steps):
+            last = i + 1 == len(steps)
+            key = "#" + min(s[2]) if s[2] else "." + min(s[1]) if s[1] else s[0] or "*"
+            self.steps.setdefault(key, []).append(Step(*s, first=i == 0, bit=self.bits, rule=(weight, order, found) if last else None))
+            self.bits += 1
+
+    def mark(self, root: Node) -> None:
+        """Sets ``shown`` and ``visible`` of all elements. With each element go the compounds that its parent, and that any element around
+        it, has matched so far."""
+        stack: list[tuple[Node, int, int]] = [(root, 0, 0)]
+        while stack:
+            node, around, above = stack.pop()
+            for child in node.children:
+                if isinstance(child, str):
+                    continue
+                matched = self.decide(child, node.visible, around, above)
+                if child.shown and child.children:
+                    stack.append((child, around | matched, matched))
+
+    def decide(self, node: Node, inherited: bool, around: int, above: int) -> int:
+        own, matched = node.attributes, 0
+        best: dict[str, tuple] = {}
+        if self.steps:
             classes = set(own.get("class", "").split())
-            if any((tag is None or tag == node.tag) and names <= classes and ids <= {own.get("id")} for tag, names, ids in self.rules):
-                return True
-        if not own:
-            return False
-        return "hidden" in own or "style" in own and bool(_UNSEEN.search(own["style"].lower()))
+            keys = [node.tag, "*", *("." + c for c in classes), *(["#" + own["id"]] if "id" in own else ())]
+            for step in (s for k in keys for s in self.steps.get(k, ())):
+                if (step.first or (above if step.child else around) >> (step.bit - 1) & 1) and step.fits(node, classes):
+                    if step.rule is None:
+                        matched |= 1 << step.bit
+                    else:
+                        for name, value, important in step.rule[2]:
+                            best[name] = max(best.get(name, ((),)), ((important, False, *step.rule[:2]), value))
+        if "style" in own:
+            for name, value, important in declarations(own["style"]):
+                best[name] = max(best.get(name, ((),)), ((important, True, (), 0), value))
+        display, visibility = (best[n][1] if n in best else None for n in ("display", "visibility"))
+        absent = node.tag in HIDDEN or (node.tag == "dialog" and "open" not in own) or ("hidden" in own and display is None)
+        node.shown = not absent and display != "none"
+        node.visible = inherited if visibility in (None, "inherit", "unset") else visibility not in ("hidden", "collapse")
+        return matched
 
 
 def width_of(text: str) -> int:
@@ -222,8 +341,8 @@ def number(value: str | None, default: int, least: int, most: int) -> int:
 class Renderer:
     """Lines of the visible text; blocks begin new lines, spaced ones also leave an empty line around them."""
 
-    def __init__(self, visibility: Visibility) -> None:
-        self.visibility = visibility
+    def __init__(self, nested: int = 0) -> None:
+        self.nested = nested
         self.lines: list[str] = []
         self.parts: list[str] = []  # of the current line
         self.space = False  # before the next text
@@ -303,7 +422,7 @@ class Renderer:
             self.indent.append("  ")
         elif tag in ("pre", "textarea"):
             self.pre += 1
-        elif tag == "img" and node.attributes.get("alt"):
+        elif tag == "img" and node.visible and node.attributes.get("alt"):
             self.words(node.attributes["alt"])
         return True
 
@@ -329,13 +448,13 @@ class Renderer:
         closed = node.tag == "details" and "open" not in node.attributes
         for child in node.children:
             if isinstance(child, str):
-                if not closed:
+                if not closed and node.visible:
                     yield child
-            elif not (closed and child.tag != "summary") and not self.visibility.hides(child):
+            elif child.shown and not (closed and child.tag != "summary"):
                 yield child
 
     def flat(self, node: Node) -> str:
-        """The text of a cell on one line; blocks and breaks inside it are spaces."""
+        """The text of an element on one line; blocks and breaks inside it are spaces."""
         out, stack = [], [self.shown(node)]
         while stack:
             child = next(stack[-1], None)
@@ -346,14 +465,20 @@ class Renderer:
             else:
                 if child.tag in BLOCKS or child.tag == "br":
                     out.append(" ")
-                if child.tag == "img":
+                if child.tag == "img" and child.visible:
                     out.append(child.attributes.get("alt", ""))
                 stack.append(self.shown(child))
         return _SPACE.sub(" ", "".join(out)).strip(" ")
 
-    def row(self, node: Node, loose: list[str]) -> list[tuple[str, int]]:
-        """Text and span of a row's cells, also of those inside other elements; what is in no cell goes to ``loose``."""
-        cells, stack = [], [self.shown(node)]
+    def inner(self, node: Node) -> list[str]:
+        """The lines of an element by itself, with its own blocks, lists and tables."""
+        if self.nested >= NESTED:
+            return [t] if (t := self.flat(node)) else []
+        return Renderer(self.nested + 1).lines_of(node)
+
+    def cells(self, row: Node, loose: list[str]) -> list[tuple[list[str], int, int]]:
+        """Lines, columns and rows of a row's cells, also of those inside other elements; what is in no cell goes to ``loose``."""
+        cells, stack = [], [self.shown(row)]
         loose.append(" ")
         while stack:
             child = next(stack[-1], None)
@@ -362,65 +487,98 @@ class Renderer:
             elif isinstance(child, str):
                 loose.append(child)
             elif child.tag in ("td", "th"):
-                cells.append((self.flat(child), number(child.attributes.get("colspan"), 1, 1, 1000)))
+                cells.append((self.inner(child), number(child.attributes.get("colspan"), 1, 1, 1000), number(child.attributes.get("rowspan"), 1, 0, 65534)))
                 loose.append(" ")
             elif child.tag == "table":
                 loose.append(" " + self.flat(child) + " ")
             else:
                 if child.tag in BLOCKS or child.tag == "br":
                     loose.append(" ")
-                if child.tag == "img":
+                if child.tag == "img" and child.visible:
                     loose.append(child.attributes.get("alt", ""))
                 stack.append(self.shown(child))
         return cells
 
     def table(self, node: Node) -> None:
-        rows: list[list[tuple[str, int]]] = []
-        stack = [self.shown(node)]
+        groups: dict[str, list[list[Node]]] = {"thead": [], "tbody": [], "tfoot": []}
+        plain: list[Node] | None = None  # rows outside any group, up to the next
+        before: list[str] = []
         loose: list[str] = []
-        while stack:
-            child = next(stack[-1], None)
-            if child is None:
-                stack.pop()
-            elif isinstance(child, str):
+        for child in self.shown(node):
+            if isinstance(child, str):
                 loose.append(child)
-            elif child.tag == "tr":
-                rows.append(self.row(child, loose))
-            elif child.tag in ("thead", "tbody", "tfoot"):
-                stack.append(self.shown(child))
+                continue
+            if child.tag == "tr":
+                if plain is None:
+                    groups["tbody"].append(plain := [])
+                plain.append(child)
+                continue
+            if child.tag in groups:
+                plain = None
+                rows: list[Node] = []
+                stack = [self.shown(child)]
+                while stack:
+                    x = next(stack[-1], None)
+                    if x is None:
+                        stack.pop()
+                    elif isinstance(x, str):
+                        loose.append(x)
+                    elif x.tag == "tr":
+                        rows.append(x)
+                    elif x.tag in groups:
+                        stack.append(self.shown(x))
+                    else:
+                        loose.append(" " + self.flat(x))
+                groups[child.tag].append(rows)
             elif child.tag == "caption":
-                self.parts.append(self.flat(child))
-                self.line()
+                before += self.inner(child)
             else:
                 loose.append(" " + self.flat(child))
-        if before := _SPACE.sub(" ", "".join(loose)).strip(" "):
-            self.parts.append(before)
-            self.line()
-        widths: dict[int, int] = {}
-        for row in rows:
-            at = 0
-            for text, span in row:
-                if span == 1:
-                    widths[at] = max(widths.get(at, 0), min(width_of(text), MOST_PADDING))
-                at += span
-        for row in rows:
-            at, line = 0, []
-            for text, span in row:
-                room = sum(widths.get(c, 0) for c in range(at, at + span)) + 2 * (span - 1)
-                line.append(text + " " * max(0, room - width_of(text)))
-                at += span
-            self.parts.append("  ".join(line))
-            self.line()
+        grid = [row for kind in groups.values() for rows in kind for row in self.placed([self.cells(r, loose) for r in rows])]
+        text = _SPACE.sub(" ", "".join(loose)).strip(" ")
+        for line in [*before, *([text] if text else [])]:
+            self.parts.append(line)
+            self.line(True)
+        widths = column_widths(grid)
+        for row in grid:
+            for i in range(max((len(lines) for _, _, lines in row), default=0)):
+                line, done = [], 0  # of the row's columns
+                for at, span, lines in row:
+                    text = lines[i] if i < len(lines) else ""
+                    line.append(" " * (sum(widths.get(c, 0) + 2 for c in range(done, at))))
+                    room = sum(widths.get(c, 0) + 2 for c in range(at, at + span))
+                    line.append(text + " " * max(2 if text else 0, room - width_of(text)))
+                    done = at + span
+                self.parts.append("".join(line).rstrip(" "))
+                self.line(True)
         self.gap = 1 if self.lines else 0
 
-    def run(self, root: Node) -> str:
+    @staticmethod
+    def placed(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[int, int, list[str]]]]:
+        """(column, columns, lines) of the cells of one group's rows; columns that a cell from above reaches into are left free."""
+        out, taken = [], {}  # column: rows that are still taken
+        for i, row in enumerate(rows):
+            at, own = 0, []
+            for lines, span, down in row:
+                while taken.get(at, 0) > i:
+                    at += 1
+                own.append((at, span, lines))
+                if down != 1:
+                    for c in range(at, at + span):
+                        taken[c] = i + down if down else len(rows)
+                at += span
+            out.append(own)
+        return out
+
+    def lines_of(self, root: Node) -> list[str]:
         stack = [(root, self.shown(root))]
         while stack:
             node, children = stack[-1]
             child = next(children, None)
             if child is None:
                 stack.pop()
-                self.leave(node)
+                if node is not root:
+                    self.leave(node)
             elif isinstance(child, str):
                 self.words(child)
             elif self.enter(child):
@@ -428,14 +586,38 @@ class Renderer:
         self.line()
         while self.lines and not self.lines[-1]:
             self.lines.pop()
-        return "\n".join(self.lines)
+        return self.lines
+
+
+def column_widths(grid: list[list[tuple[int, int, list[str]]]]) -> dict[int, int]:
+    """The width of each column's widest cell. Where one wide cell among many rows would make the table's padding many times its text, the
+    column takes the widest width that does not."""
+    found: dict[int, list[int]] = {}
+    text = 0
+    for row in grid:
+        for at, span, lines in row:
+            own = [width_of(x) for x in lines]
+            text += sum(own)
+            if span == 1:
+                found.setdefault(at, []).extend(own)
+    room = 10_000 + 8 * text
+    out = {}
+    for at, widths in found.items():
+        widths.sort()
+        total, n = sum(widths), len(widths)
+        while n and widths[n - 1] * n - total > room // max(len(found), 1):
+            n -= 1
+            total -= widths[n]
+        out[at] = widths[n - 1] if n else 0
+    return out
 
 
 def page_text(source: str) -> tuple[str | None, str]:
     """Title and visible text."""
     builder = TreeBuilder()
     root = builder.build(source)
-    return builder.title, Renderer(Visibility(builder.styles)).run(root)
+    Visibility(builder.styles).mark(root)
+    return builder.title, "\n".join(Renderer().lines_of(root))
 
 
 def extract_text(pages: DataFrame, key: str = "page_id", html: str = "html", keep: list[str] | None = None) -> DataFrame:

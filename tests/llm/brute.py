@@ -140,3 +140,103 @@ def language(cases, model, langid):
         sure = max(share) / sum(share) if grams else 1.0
         out[key] = (names[best], names[alone], best < last and sure >= 0.5, sure)
     return out
+
+
+SPACED = {"p", "ul", "table"}
+
+
+def rendered(tree, visible=True):
+    """Lines of a tree (tag, attributes, children or text): what a browser's text shows, for a few well-formed elements. Events come first
+    (text, end of line, empty line), lines are then made of them."""
+    events = []
+
+    def walk(node, visible, depth):
+        if isinstance(node, str):
+            if visible:
+                events.append(("text", node))
+            return
+        tag, style, children = node
+        if style == "display:none":
+            return
+        visible = {"visibility:hidden": False, "visibility:visible": True}.get(style, visible)
+        if tag == "br":
+            events.append(("break",))
+            return
+        block = tag in ("div", "p", "ul", "li", "table")
+        edge = ("gap",) if tag in SPACED and not (tag == "ul" and depth) else ("end",)
+        if block:
+            events.append(edge)
+        if tag == "li":
+            events.append(("item", depth))
+        if tag == "table":
+            events.append(("rows", [[rendered(("cell", "", cell), visible) for cell in row] for row in children]))
+        else:
+            for c in children:
+                walk(c, visible, depth + (tag == "ul"))
+        if tag == "li":
+            events.append(("done",))
+        if block:
+            events.append(edge)
+
+    walk(tree, visible, 0)
+    lines, words, gap, indent, marker, spaces = [], "", False, [], "", False
+
+    def flush():
+        nonlocal words, gap, marker
+        text = re.sub("[ \\t\\n]+", " ", words).strip(" ")
+        words = ""
+        if text:
+            if gap and lines:
+                lines.append("")
+            gap = False
+            lines.append("".join(indent[:-1]) + "- " + text if marker else "".join(indent) + text)
+            marker = ""
+
+    for kind, *more in events:
+        if kind == "text":
+            words += more[0]
+        elif kind == "break":
+            if words.strip():
+                flush()
+            elif lines and not gap:
+                lines.append("")
+            words = ""
+        elif kind == "rows":
+            flush()
+            wide = [max((len(x) for row in more[0] for x in (row[c] if c < len(row) else ())), default=0) for c in range(max(map(len, more[0]), default=0))]
+            for row in more[0]:
+                for i in range(max(map(len, row), default=0)):
+                    if gap and lines:
+                        lines.append("")
+                    gap = False
+                    line = "".join((cell[i] if i < len(cell) else "").ljust(wide[c] + 2) for c, cell in enumerate(row)).rstrip(" ")
+                    lines.append(("".join(indent[:-1]) + "- " + line if marker else "".join(indent) + line).rstrip())
+                    marker = ""
+            gap = bool(lines)
+        else:
+            flush()
+            gap = gap or (kind == "gap" and bool(lines))
+            if kind == "item":
+                indent.append("  ")
+                marker = "- "
+            elif kind == "done":
+                marker = ""
+                indent.pop()
+    flush()
+    while lines and not lines[-1]:
+        lines.pop()
+    return lines
+
+
+def markup(node):
+    if isinstance(node, str):
+        return node
+    tag, style, children = node
+    own = f' style="{style}"' if style else ""
+    if tag == "br":
+        return "<br>"
+    if tag == "table":
+        inner = "".join("<tr>" + "".join("<td>" + "".join(map(markup, cell)) + "</td>" for cell in row) + "</tr>" for row in children)
+    else:
+        inner = "".join(map(markup, children))
+    return f"<{tag}{own}>{inner}</{tag}>"

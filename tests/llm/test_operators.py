@@ -325,7 +325,7 @@ PAGES = {
     "<ul><li>a<li>b<ul><li>c</ul><li>d</ul>": "- a\n- b\n  - c\n- d",
     "<ol start=3><li>x<li>y</ol>": "3. x\n4. y",
     "<table><tr><td>name<td>n<tr><td>x<td>10</table>": "name  n\nx     10",
-    "<table><tr><th>a<td>b<p>c<tr><td colspan=2>wide</table>": "a  b c\nwide",
+    "<table><tr><th>a<td>b<p>c<tr><td colspan=2>wide</table>": "a  b\n\n   c\nwide",
     "a<br>b": "a\nb",
     "a  \n b <b> c</b>d": "a b cd",
     "<pre>x\n  y</pre>": "x\n  y",
@@ -350,6 +350,49 @@ def test_rendering(html):
     assert html_text.page_text(html)[1] == PAGES[html]
 
 
+STYLES = st.sampled_from(["", "", "", "display:none", "visibility:hidden", "visibility:visible"])
+TREES = st.recursive(
+    st.sampled_from(["one", " two ", "three\n", "x", " "]) | st.just(("br", "", [])),
+    lambda inner: st.tuples(st.sampled_from(["div", "span", "b"]), STYLES, st.lists(inner, max_size=4))
+    | st.tuples(st.just("ul"), STYLES, st.lists(st.tuples(st.just("li"), STYLES, st.lists(inner, max_size=3)), max_size=3))
+    | st.tuples(st.just("table"), STYLES, st.lists(st.lists(st.lists(inner, max_size=2), min_size=1, max_size=3), max_size=3)),
+    max_leaves=14,
+)
+
+
+@given(st.lists(TREES, max_size=4))
+@settings(max_examples=600, deadline=None)
+def test_rendering_against_brute_force(nodes):
+    assert html_text.page_text("".join(map(brute.markup, nodes)))[1].split("\n") == (brute.rendered(("page", "", nodes)) or [""])
+
+
+SHEETS = {
+    "<style>@media print {.n{display:none}} @media (max-width:600px){.w{display:none}}</style><p class=n>menu<p class=w>wide": "menu\n\nwide",
+    "<style>@media screen and (min-width:600px){.g{display:none}}</style><p class=g>gone<p>kept": "kept",
+    "<style>@media not print{.g{display:none}} @supports (x:y){.h{display:none}}</style><i class=g>no</i><i class=h>no</i>yes": "yes",
+    "<style>.m{display:none} .m{display:block}</style><p class=m>seen": "seen",
+    "<style>p.m{display:none} .m{display:block}</style><p class=m>no</p>yes": "yes",
+    "<style>p{display:none!important}</style><p style='display:block'>no</p>yes": "yes",
+    "<style>.a .x{display:none} .b > .x{display:none}</style><div class=a><p><i class=x>no</i></div><div class=b><i class=x>no</i><u><i class=x>yes</i></u></div>": "yes",
+    "<style>#q.r[lang='de x']{display:none} [data-k]{display:none}</style><b id=q class=r lang='de x'>no</b><b data-k=1>no</b>yes": "yes",
+    "<style>.x:hover{display:none} .x::before{display:none}</style><b class=x>yes</b>": "yes",
+    "<style>@font-face{display:none} @keyframes k{from{display:none}} .y{color:red}</style>yes": "yes",
+    "<style>/* .a{display:none} */ .b{display:none}</style><i class=a>yes</i><i class=b>no</i>": "yes",
+    "<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no</div>": "yes",
+    "<p hidden>no<p hidden style='display:block'>yes": "yes",
+    "<table><tr><td rowspan=2>A<td>b<td>c<tr><td>d<td>e<tr><td>f</table>": "A  b  c\n   d  e\nf",
+    "<table><tr><td rowspan=0>A<td>b<tr><td>c<tbody><tr><td>d<td>e</table>": "A  b\n   c\nd  e",
+    "<table><tfoot><tr><td>z</tfoot><thead><tr><td>h</thead><tr><td>m</table>": "h\nm\nz",
+    "<table><tr><td><p>Para one.</p><p>Para two.</p><ul><li>a<li>b</ul></td><td>r</table>": "Para one.  r\n\nPara two.\n\n- a\n- b",
+    f"<table><tr><td>{'w' * 60}<td>b<tr><td>s<td>c</table>": "w" * 60 + "  b\ns" + " " * 61 + "c",
+}
+
+
+@pytest.mark.parametrize("html", SHEETS)
+def test_visibility_and_tables(html):
+    assert html_text.page_text(html)[1] == SHEETS[html]
+
+
 @given(st.text(alphabet=st.sampled_from(list("<>/ap \"'=!-&;tdrliu")), max_size=80))
 @settings(max_examples=400, deadline=None)
 def test_rendering_never_fails(html):
@@ -365,8 +408,10 @@ def test_text_outside_cells_is_kept():
 
 
 def test_rendering_is_linear_enough():
-    for html in ("<div>" * 30_000 + "x", "<ul><li>" * 3_000 + "x", '<a "' * 5_000, "<" * 50_000, "<p>a" * 30_000, "<table>" * 2_000 + "x"):
+    for html in ("<div>" * 30_000 + "x", "<ul><li>" * 3_000 + "x", '<a "' * 5_000, "<" * 50_000, "<p>a" * 30_000, "<table>" * 2_000 + "x", "<table><tr><td>" * 2_000 + "x", "<style>" + "".join(f".a{i} .b{i} i{{display:none}}" for i in range(2_000)) + "</style>" + "<div class='a1 b1'>" * 3_000, "<style>a{display:none}" + "{" * 50_000):
         html_text.page_text(html)
+    wide = html_text.page_text("<table><tr><td>" + "w" * 1_000_000 + "<td>x" + "<tr><td>a<td>b" * 3_000 + "</table>")[1]
+    assert len(wide) < 12_000_000 and wide.count("b") == 3_000
 
 
 def test_extract_text(spark):
