@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinmap.llm.common import bounded_batches, saved, skew_join, slices
-from kinmap.llm.components import components
+from kinmap.llm.components import components, labels_of
 from kinmap.llm.words import LOWER, listed, text_column, translated, words_of
 
 #: Fingerprints that a task of the join holds (about), and tasks at most.
@@ -63,20 +63,6 @@ def fingerprint_table(docs: DataFrame, key: str, text: str, shingle: int, seed:
     return bounded_batches(docs.selectExpr(f"`{key}` AS _key", f"`{text}` AS _text")).mapInArrow(run, f"{key} {kind}, fp long")
 
 
-def labels_of(n: int, u: np.ndarray, v: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
-    """Smallest index in each index's component under the links (u, v), joined to the components in ``labels``."""
-    lab = np.arange(n) if labels is None else labels
-    while True:
-        a, b = lab[u], lab[v]
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        differ = low != high
-        if not differ.any():
-            return lab
-        np.minimum.at(lab, high[differ], low[differ])
-        while (jumped := lab[lab]).tobytes() != lab.tobytes():
-            lab = jumped
-
-
 class TrieJoin:
     """The join of a binary trie over sorted fingerprints with itself.
 

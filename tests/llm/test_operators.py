@@ -153,7 +153,7 @@ def test_trie_join(n, seed, flips):
         prints = prints ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64))
     prints = np.unique(prints)
     u, v = simhash.join_subtries(prints, 0)
-    labels = simhash.labels_of(len(prints), u, v)
+    labels = components.labels_of(len(prints), u, v)
     assert labels.tolist() == brute.components([int(p) for p in prints])
 
 
@@ -178,10 +178,29 @@ def test_links_are_found_wherever_the_bits_differ(spark, monkeypatch, subtrie):
 def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(200, 200), (7, 6)]
     out = {r["id"]: r["root"] for r in components.components(spark.createDataFrame(path, "u long, v long")).collect()}
-    assert out == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
+    assert out == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 160)}
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
+def test_components_of_any_graph(spark, monkeypatch, broadcast_rows):
+    """Long paths in a random order, a hub with the largest id and one with the smallest, random graphs, over many tasks."""
+    monkeypatch.setattr(components, "BROADCAST_ROWS", broadcast_rows)
+    rng = random.Random(broadcast_rows)
+    names = [rng.randrange(-(2**62), 2**62) for _ in range(700)]
+    chain = names[:300]
+    edges = list(itertools.pairwise(chain)) + [(max(names), x) for x in names[300:380]] + [(min(names[380:450]), x) for x in names[380:450]]
+    edges += [tuple(rng.sample(names[450:600], 2)) for _ in range(110)]
+    rng.shuffle(edges)
+    group = {x: x for x in names}
+    for a, b in edges:
+        low, high = sorted((group[a], group[b]))
+        group = {x: low if g == high else g for x, g in group.items()}
+    least = {g: min(x for x in names if group[x] == g) for g in set(group.values())}
+    out = {r["id"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long").repartition(9)).collect()}
+    assert out == {x: least[g] for x, g in group.items() if least[g] != x}
+
+
 def test_similar_documents(spark, docs, empty):
     """All pairs at 0.8 or more meet; nothing under 0.5 does."""
     rng = random.Random(3)
