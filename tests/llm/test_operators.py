@@ -278,9 +278,11 @@ def test_similar_documents_are_exact(spark, monkeypatch):
     cases = list(enumerate(" ".join(t) for t in texts))
     rng.shuffle(cases)
     expected = alike_groups(cases)
-    for small, sample in ((8, 4000), (2, 1)):
+    for small, sample, part, crowd in ((8, 4000, 400_000, 10_000), (2, 1, 400, 40)):
         monkeypatch.setattr(jaccard, "SMALL_GROUP", small)
         monkeypatch.setattr(jaccard, "SAMPLE", sample)
+        monkeypatch.setattr(jaccard, "PART_ROWS", part)
+        monkeypatch.setattr(jaccard, "CROWD_ROWS", crowd)
         out = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(brute.rows(spark, cases)).collect()}
         assert out == expected
 
