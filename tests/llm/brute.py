@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import xxhash
@@ -54,6 +55,18 @@ def fingerprint(text, k=3):
     return sum((2 * o > n) << b for b, o in enumerate(ones)) if n else 0
 
 
+def alike_groups(cases, share=(4, 5)):
+    """Least id of each id's group, by all pairs."""
+    sets = {d: set(shingles(t, 5)) for d, t in cases}
+    group = {d: d for d in sets}
+    for a, b in combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if (share[1] * both >= share[0] * (len(sets[a]) + len(sets[b]) - both)) and group[a] != group[b]:
+            low, high = sorted((group[a], group[b]))
+            group = {d: low if g == high else g for d, g in group.items()}
+    return group
+
+
 def quality(text):
     t = text or ""
     w = WORD.findall(t)

@@ -234,18 +234,6 @@ def test_similar_documents(spark, docs, empty):
     assert len(null) == sum(d is not None for d, _ in brute.CASES) and jaccard.similar_documents(empty).count() == 0
 
 
-def alike_groups(cases, share=(4, 5)):
-    """Least id of each id's group, by all pairs."""
-    sets = {d: set(brute.shingles(t, 5)) for d, t in cases}
-    group = {d: d for d in sets}
-    for a, b in itertools.combinations(sorted(sets), 2):
-        both = len(sets[a] & sets[b])
-        if (share[1] * both >= share[0] * (len(sets[a]) + len(sets[b]) - both)) and group[a] != group[b]:
-            low, high = sorted((group[a], group[b]))
-            group = {d: low if g == high else g for d, g in group.items()}
-    return group
-
-
 def test_repeated_lines_do_not_link(spark):
     rng = random.Random(5)
     line = " " + " ".join(f"line{i}" for i in range(10))
@@ -253,7 +241,7 @@ def test_repeated_lines_do_not_link(spark):
     own = text()
     cases = [*((i, text() + line * 20) for i in range(12)), (20, own + line), (21, own + line * 20)]
     out = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(brute.rows(spark, cases)).collect()}
-    assert out == alike_groups(cases) == {i: i for i in range(12)} | {20: 20, 21: 20}
+    assert out == brute.alike_groups(cases) == {i: i for i in range(12)} | {20: 20, 21: 20}
 
 
 def test_similar_documents_are_exact(spark, monkeypatch):
@@ -277,7 +265,7 @@ def test_similar_documents_are_exact(spark, monkeypatch):
         texts += [base, *(base + words(round((n - 4) / 4) + d) for d in (-1, 0, 1))]
     cases = list(enumerate(" ".join(t) for t in texts))
     rng.shuffle(cases)
-    expected = alike_groups(cases)
+    expected = brute.alike_groups(cases)
     for small, sample, part, crowd in ((8, 4000, 400_000, 10_000), (2, 1, 400, 40)):
         monkeypatch.setattr(jaccard, "SMALL_GROUP", small)
         monkeypatch.setattr(jaccard, "SAMPLE", sample)

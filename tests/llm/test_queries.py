@@ -1,11 +1,12 @@
 """The registered queries against DuckDB where SQL can express them, and the pipeline against its parts."""
 
 import os
+import random
 
 import corpus_pipeline
 import duckdb
 import pytest
-from kinmap.llm import jaccard, queries
+from kinmap.llm import queries
 from pyspark.sql import functions as F
 
 from tests.llm import brute
@@ -49,9 +50,9 @@ def test_pipeline_stages(spark):
     assert first.columns == columns and first.filter("doc_id = 900002").isEmpty() and first.count() >= base.count()
 
     second = corpus_pipeline.saved(steps["near_dedup"](spark, first.unionByName(first.filter("doc_id < 20")), SF), "t")
-    groups = jaccard.similar_documents(first)
+    groups = brute.alike_groups([(r["doc_id"], r["text"]) for r in first.select("doc_id", "text").collect()])
     assert second.columns == columns
-    assert sorted(r[0] for r in second.select("doc_id").collect()) == sorted(r[0] for r in groups.select("component_id").distinct().collect())
+    assert sorted(r[0] for r in second.select("doc_id").collect()) == sorted(set(groups.values()))
 
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     third = corpus_pipeline.saved(steps["decontaminate"](spark, second, SF), "t")
@@ -67,6 +68,23 @@ def test_pipeline_stages(spark):
     assert sorted({r[0] for r in fifth.select("doc_id").collect()}) == clean
 
 
+def test_near_dedup_removes_only_copies(spark):
+    """Rows that share a doc_id, repeat, have no doc_id, or have columns named like the stage's own."""
+    rng = random.Random(2)
+    text = {k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for k in "abcd"}
+    near = {k: t.rsplit(" ", 1)[0] + " changed" for k, t in text.items()}
+    rows = [(1, text["a"]), (5, near["a"]), (5, text["b"]), (8, near["b"]), (7, text["c"]), (7, text["d"]), (7, text["d"]), (None, near["c"]), (None, "alone here"), (None, "alone here"), (9, None), (9, "")]
+    docs = spark.createDataFrame([(d, t, "x", i % 2) for i, (d, t) in enumerate(rows)], "doc_id long, text string, _again string, id long").repartition(3)
+    out = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert out.columns == docs.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr)
+    wanted = [(1, text["a"]), (5, text["b"]), (7, text["c"]), (7, text["d"]), (None, "alone here")]
+    assert sorted(((d, t) for d, t in kept if d != 9), key=repr) == sorted(wanted, key=repr)
+    assert sum(d == 9 for d, _ in kept) == 1
+    plain = corpus_pipeline.redact_pii(spark, docs.filter("doc_id = 1"), SF)
+    assert plain.columns == docs.columns and plain.count() == 1
+
+
 def test_pipeline_of_nothing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter("false")
     for _, stage in corpus_pipeline.STAGES:
