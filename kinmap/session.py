@@ -8,11 +8,27 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, as in tests, a temporary folder serves, but
+    only while all tasks run on this machine."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not _local:
+        _local.append(f"file://{tempfile.mkdtemp(prefix='kinmap-')}")
+    return _local[0]
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df``, computed and written to the folder in spark.checkpoint.dir (where that is unset, as in tests, to a temporary one)."""
+    """``df``, computed and written to the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinmap-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
