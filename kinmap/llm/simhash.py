@@ -229,7 +229,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     prints = saved(fingerprint_table(docs, key, text, shingle, seed), "fingerprints")
     groups = saved(prints.groupBy("fp").agg(F.min(key).alias("first"), F.count("*").alias("n")), "groups")
     sizes = groups.agg(F.count("*").alias("distinct"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
-    roots = components(near_links(groups.select("fp"), sizes["distinct"], errors))
+    links = saved(near_links(groups.select("fp"), sizes["distinct"], errors), "links")  # a stage has one Python step, so one worker a task
+    roots = components(links)
     named = groups.join(roots.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = saved(named, "roots")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n_prints"))
