@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kinmap.session import shared_folder
+
 #: Text bytes that a Python worker handles at a time.
 SLICE_BYTES = 2_000_000
 
@@ -24,12 +25,9 @@ _scratch: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; where that is unset (tests), a local one."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='kinmap-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    """The folder that driver and executors share, from spark.checkpoint.dir; where that is unset, a local one if all runs on this machine,
+    else an error."""
+    return shared_folder(spark).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:

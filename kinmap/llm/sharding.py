@@ -9,16 +9,15 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from kinmap.llm.common import saved, skew_join
+from kinmap.llm.common import prefix_sum, saved, skew_join
 
 #: Pallets (small bins that groups are packed into where they are) for each shard.
 PALLETS = 512
 #: Groups of a part that packs its pallets in one task, until there are so many parts; each may leave a pallet half empty.
 PART_GROUPS, MOST_PARTS = 4096, 32_768
-#: Rows of a bucket within which a shard's rows are numbered.
-BUCKET_ROWS = 100_000
+#: Rows of a range in which rows are numbered (about).
+RANGE_ROWS = 100_000
 
 
 class RoomTree:
@@ -214,8 +213,8 @@ def shard_rows(rows: DataFrame, group: str, size: str, shards: int = 8, order: l
 
     Rows with equal ``group`` (not null) share a shard. Groups go into pallets, pallets into shards, both by best fit decreasing; the
     capacity of a pallet is an even share's 1 / ``PALLETS``, so that shards differ by less than that unless a group is larger. A
-    group that is an even share or more has a shard to itself. An empty table gives an empty result. ``order`` are columns that
-    number the rows inside a bucket.
+    group that is an even share or more has a shard to itself. An empty table gives an empty result. A shard's rows are
+    numbered in order of the hash of the columns ``order``, range by range.
     """
     kept = saved(rows, "rows")
     total = kept.agg(F.coalesce(F.sum(size), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
@@ -223,13 +222,12 @@ def shard_rows(rows: DataFrame, group: str, size: str, shards: int = 8, order: l
     homes = even_shards([b for _, b in packed.pallets], shards)
     spark = rows.sparkSession
     mapped = spark.createDataFrame([(p, s) for (p, _), s in zip(packed.pallets, homes)], "pallet long, shard int")
-    placed = packed.rows.join(F.broadcast(mapped), "pallet").drop("pallet")
-    buckets = max(1, math.ceil(total["n"] / (shards * BUCKET_ROWS))) * 16
-    placed = saved(placed.withColumn("_bucket", F.pmod(F.xxhash64(*(order or [group])), F.lit(buckets))), "placed")
-    counts = placed.groupBy("shard", "_bucket").agg(F.count("*").alias("n"))
-    before = counts.select("shard", "_bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("_bucket")) - F.col("n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy(*(order or [group]))) - 1
-    return placed.withColumn("_in", inside).join(F.broadcast(before), ["shard", "_bucket"]).withColumn("slot", F.col("_in") + F.col("_before")).drop("_in", "_before", "_bucket")
+    placed = packed.rows.join(F.broadcast(mapped), "pallet").drop("pallet")  # pallets are bounded in number, see pack_pallets
+    parts = max(1, math.ceil(total["n"] / RANGE_ROWS))
+    ordered = placed.select("*", F.xxhash64(*(order or [group])).alias("_order"), F.lit(1).alias("_one"))
+    numbered = saved(prefix_sum(ordered, ["shard", "_order", *(order or [group])], "_one", "_at", parts), "numbered")
+    begins = numbered.groupBy("shard").agg(F.min("_at").alias("_first"))  # a row for each shard
+    return numbered.join(F.broadcast(begins), "shard").withColumn("slot", F.col("_at") - F.col("_first")).drop("_order", "_one", "_at", "_first")
 
 
 def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 8) -> DataFrame:

@@ -18,6 +18,8 @@ from kinmap.llm.files import create, open_file
 
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 26
+#: Pages that revisit another, up to this number, go to all tasks.
+BROADCAST_ROWS = 100_000
 #: Fixed values of the seekable format: a skippable frame that holds a size pair for each frame, then a footer of 9 bytes.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 #: Fixed header values of WARC 1.1.
@@ -202,12 +204,16 @@ class Archive:
                 got = []
                 for row in batch.to_pylist():
                     if uri != row["bundle"]:
+                        if bundle is not None:
+                            bundle.file.close()
                         uri, bundle, held = row["bundle"], BundleReader(open_file(row["bundle"])), None
                     if held != row["frame"]:
                         held, data = row["frame"], bundle.frame(row["frame"])
                     got.append(next(parse_records(data[row["offset"] : row["offset"] + row["length"]])))
                 kinds = [r.fields["WARC-Type"] for r in got]
                 yield pa.RecordBatch.from_arrays([pa.array([r.page_id for r in got], id_type), pa.array(kinds, pa.string()), pa.array([r.payload if k == "response" else None for r, k in zip(got, kinds)], pa.binary())], names=["page_id", "record_type", "payload"])
+            if bundle is not None:
+                bundle.file.close()
 
         return found.mapInArrow(run, f"page_id {self.kind}, record_type string, payload binary")
 
@@ -220,21 +226,31 @@ def write_archive(pages: DataFrame, key: str = "page_id", url: str = "url", html
     only null keys, all are responses. Null html is an empty payload, a null url gives no target field. An empty table gives an empty
     archive; extra columns are not read.
 
-    Payloads are grouped by SHA-256 with a partial aggregation, and only groups of two or more are joined back, hot ones by
-    broadcast, so that pages are shuffled at most once. A bundle belongs to the archive only if the index names it: what a failed
-    attempt of a task wrote is never read.
+    Payloads are hashed where they are read into slim rows (key, SHA-256), which are grouped with a partial aggregation. Only keys of
+    repeated payloads are joined back to the pages, by key and digest: broadcast up to ``BROADCAST_ROWS`` of them (some 60 bytes
+    each), else by shuffle. So pages that repeat nothing are not shuffled unless copies are more than that. A bundle belongs to the
+    archive only if the index names it: what a failed attempt of a task wrote is never read.
     """
     spark, path = pages.sparkSession, path or scratch_path(pages.sparkSession, "warc")
     kind = pages.schema[key].dataType.simpleString()
-    rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    rows = rows.withColumn("group", F.when(F.octet_length("html") >= revisit_bytes, F.sha2("html", 256)).otherwise(F.lit("")))
-    groups = saved(rows.filter("group <> ''").groupBy("group").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1"), "payloads")
+    html_column = F.coalesce(F.col(f"`{html}`"), F.lit(""))
+    rows = pages.select(F.col(f"`{key}`").alias("page_id"), F.col(f"`{url}`").alias("url"), html_column.alias("html"))
+    slim = saved(rows.filter(F.octet_length("html") >= revisit_bytes).select("page_id", F.unhex(F.sha2("html", 256)).alias("digest")), "digests")
+    groups = slim.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1 AND last IS NOT NULL")
+    groups = saved(groups, "payloads")
     total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if total:
-        rows = skew_join(rows, groups, "group", "n", total)
+        # only pages that revisit another: a row for each key and digest
+        copies = skew_join(slim, groups, "digest", "n", slim.count()).filter("last IS NOT NULL AND NOT page_id <=> last").distinct()
+        copies = saved(copies, "revisits")
+        named = copies.select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "last")
+        if copies.count() <= BROADCAST_ROWS:
+            named = F.broadcast(named)
+        own = F.when(F.octet_length("html") >= revisit_bytes, F.unhex(F.sha2("html", 256)))
+        rows = rows.withColumn("digest", own).join(named, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
     else:
         rows = rows.withColumn("last", F.lit(None).cast(kind))
-    rows = rows.withColumn("revisit", F.coalesce(~F.col("page_id").eqNullSafe(F.col("last")) & F.col("last").isNotNull(), F.lit(False)))
+    rows = rows.withColumn("revisit", F.col("last").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle, uri = None, None

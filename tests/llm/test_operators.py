@@ -101,8 +101,21 @@ def test_room_tree(steps):
             assert tree.tightest(size) == min((k for k in held if k[0] >= size), default=None)
 
 
+def test_shards_are_near_the_best_split():
+    """Against all assignments of a few sizes."""
+    rng = random.Random(3)
+    for _ in range(60):
+        sizes, shards = [rng.randint(1, 60) for _ in range(rng.randint(1, 8))], rng.randint(2, 3)
+        best = min(max(c) - min(c) for c in ([sum(s for s, h in zip(sizes, homes) if h == k) for k in range(shards)] for homes in itertools.product(range(shards), repeat=len(sizes))))
+        loads = [0] * shards
+        for s, h in zip(sizes, sharding.even_shards(sizes, shards)):
+            loads[h] += s
+        assert max(loads) - min(loads) <= best + max(sizes) // 3
+
+
 def test_sharding(docs, empty, monkeypatch):
     monkeypatch.setattr(sharding, "PART_GROUPS", 3)
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 4)
     out = sharding.shard_documents(docs).collect()
     assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in out), key=repr) == sorted(((d, len((t or "").encode()) + 1, brute.zlib.crc32((t or "").encode())) for d, t in brute.CASES), key=repr)
     home, slots = collections.defaultdict(set), collections.defaultdict(list)
@@ -278,12 +291,14 @@ def test_similar_documents_are_exact(spark, monkeypatch):
 # 4
 
 
-def test_warc_round_trip(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
+def test_warc_round_trip(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", broadcast_rows)
     monkeypatch.setattr(warc, "FRAME_BYTES", 300)
     monkeypatch.setattr(warc, "BUNDLE_BYTES", 400)
     html = ["<p>same</p>", None, "", "é" * 500, "<p>same</p>", "own\r\n\r\nWARC/1.1\r\n", "<p>same</p>", "z" * 5000]
     rows = [(i, f"http://x/{i}\r\nX: y" if i % 2 else None, h, "extra") for i, h in enumerate(html)] + [(6, None, "<p>same</p>", "x"), (None, "u", "lost", "x"), (None, "u", "<p>same</p>", "x")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string, last string").repartition(2)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, last string").repartition(3)
     archive = warc.write_archive(pages)
     groups = collections.defaultdict(list)
     for i, _, h, _ in rows:
