@@ -32,7 +32,7 @@ def image_ids(names: DataFrame, name: str) -> DataFrame:
 
 def sampled_files(files: DataFrame, name: str, train_size: int, per_file: int, seed: int = 42) -> DataFrame:
     """The ``train_size / per_file`` files with the least hash of name and seed: a sample that every run repeats."""
-    return files.orderBy(F.xxhash64(F.lit(seed), name), name).limit(train_size // per_file)
+    return files.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(name).cast("string"))), name).limit(train_size // per_file)
 
 
 def strongest(points: DataFrame, by: list[str], k: int, response: str = "response", tie: str = "kp_idx") -> DataFrame:
@@ -77,16 +77,86 @@ def folds(ranked: DataFrame, by: str, n: int) -> DataFrame:
 
 
 def find_by_prefix(ids: DataFrame, files: DataFrame) -> DataFrame:
-    """id, path: the first path whose base name begins with the id. Both sides meet on the name's first part, so it is an equi-join."""
-    keyed = files.withColumn("_key", F.regexp_extract(scalars.basename("path"), r"^([^.]*)", 1))
-    return ids.join(keyed, ids["id"] == keyed["_key"]).groupBy("id").agg(F.min("path").alias("path"))
+    """id, path: the first path whose base name begins with the id. Names are cut to each length that ids have (a few, and never more than
+    a name's), so the join is an equi-join."""
+    lengths = sorted(r[0] for r in ids.select(F.length("id")).distinct().collect() if r[0])
+    name = scalars.basename("path")
+    keyed = files.select("path", F.explode(F.array(*(F.when(F.length(name) >= n, F.substring(name, 1, n)) for n in lengths))).alias("_key") if lengths else F.lit(None).cast("string").alias("_key"))
+    return ids.distinct().join(keyed, F.col("id") == F.col("_key")).groupBy("id").agg(F.min("path").alias("path"))
+
+
+_REFERENCES = ("$resource", "$indirect")
+
+
+def _walk(node, path: str, found: list) -> None:
+    """Entries of the tree that are references, with their paths, before what lies deeper."""
+    if isinstance(node, dict):
+        if len(node) == 1 and (kind := next(iter(node))) in _REFERENCES and isinstance(node[kind], str):
+            found.append((path, node[kind], kind[1:]))
+            return
+        for name, child in node.items():
+            _walk(child, f"{path}.{name}" if path else name, found)
+    elif isinstance(node, list):
+        for i, child in enumerate(node):
+            _walk(child, f"{path}.{i}" if path else str(i), found)
 
 
 def references(tree: DataFrame, by: str, json: str) -> DataFrame:
-    """``by``, key, ref, kind: entries of JSON objects that refer to a resource ({"$resource": ..} or {"$indirect": ..})."""
-    entries = tree.select(by, F.explode(F.from_json(json, "map<string, map<string, string>>")).alias("key", "value"))
-    pairs = entries.select(by, "key", F.explode("value").alias("kind", "ref"))
-    return pairs.filter(F.col("kind").isin("$resource", "$indirect")).select(by, "key", "ref", F.substring("kind", 2, 20).alias("kind"))
+    """``by``, key, ref, kind: what refers to a resource ({"$resource": ..} or {"$indirect": ..}) in JSON trees, at any depth; key is the path
+    to it. Text that is no JSON refers to nothing."""
+    import json as parser
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[int] = []
+            found: list[tuple[str, str, str]] = []
+            for i, text in enumerate(batch.column("json").to_pylist()):
+                try:
+                    _walk(parser.loads(text or "null"), "", found)
+                except (ValueError, RecursionError):
+                    del found[len(rows) :]
+                rows += [i] * (len(found) - len(rows))
+            columns = [batch.column("by").take(pa.array(rows, pa.int64())), *(pa.array([f[k] for f in found], pa.string()) for k in range(3))]
+            yield pa.RecordBatch.from_arrays(columns, names=[by, "key", "ref", "kind"])
+
+    kind = tree.schema[by].dataType.simpleString()
+    return tree.select(F.col(by).alias("by"), F.col(json).alias("json")).mapInArrow(run, f"{by} {kind}, key string, ref string, kind string")
+
+
+def replace_references(tree: DataFrame, by: str, json: str, resources: DataFrame) -> DataFrame:
+    """``by``, json: the trees (one for each ``by``) with references to ``resources(ref, content)`` replaced by their content; other references stay.
+    References meet resources in a join, so no row holds more than what its own tree refers to. Keys come out sorted."""
+    import json as parser
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def rebuilt(node, known: dict):
+        if isinstance(node, dict):
+            if len(node) == 1 and (kind := next(iter(node))) in _REFERENCES and node[kind] in known:
+                return known[node[kind]]
+            return {k: rebuilt(v, known) for k, v in node.items()}
+        return [rebuilt(x, known) for x in node] if isinstance(node, list) else node
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, pairs in zip(batch.column("json").to_pylist(), batch.column("known").to_pylist()):
+                known = {p["ref"]: p["content"] for p in pairs or ()}
+                try:
+                    out.append(None if text is None else parser.dumps(rebuilt(parser.loads(text), known), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+                except (ValueError, RecursionError):
+                    out.append(text)  # no tree, no references
+            yield pa.RecordBatch.from_arrays([batch.column("by"), pa.array(out, pa.string())], names=[by, "json"])
+
+    wanted = references(tree, by, json).select(by, "ref").distinct().join(resources, "ref")
+    known = wanted.groupBy(by).agg(F.collect_list(F.struct("ref", "content")).alias("known"))
+    rows = tree.join(known, by, "left").select(F.col(by).alias("by"), F.col(json).alias("json"), "known")
+    kind = tree.schema[by].dataType.simpleString()
+    return rows.mapInArrow(run, f"{by} {kind}, json string")
 
 
 def batches(rows: DataFrame, key: str, ties: list[str], size: int) -> DataFrame:

@@ -146,11 +146,11 @@ def cluster_graph(cells: DataFrame, by: str) -> DataFrame:
     return cells.groupBy(by).applyInPandas(run, f"{by} long, src long, dst long")
 
 
-def kruskal_tree(cells: DataFrame, by: str, weight: str) -> DataFrame:
-    """``by``, src, dst, weight: the maximum spanning tree of each probe's images."""
+def kruskal_tree(cells: DataFrame, by: str, weight: str, absent: float = 0.0) -> DataFrame:
+    """``by``, src, dst, weight: the maximum spanning tree of each probe's images; cells that are not there have the weight ``absent``."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        nodes, cells_ = _dense(rows, weight, 0.0)
+        nodes, cells_ = _dense(rows, weight, absent)
         return pd.DataFrame([(rows[by].iloc[0], nodes[a], nodes[b], cells_[a, b]) for a, b in spanning_tree(cells_)], columns=[by, "src", "dst", "weight"])
 
     return cells.groupBy(by).applyInPandas(run, f"{by} long, src long, dst long, weight double")
@@ -184,14 +184,23 @@ def graph_json(nodes: DataFrame, links: DataFrame, by: str) -> DataFrame:
     return n.join(e, by, "left").select(by, F.to_json(F.struct(F.lit(True).alias("directed"), "nodes", F.coalesce("links", F.array()).alias("links"))).alias("graph"))
 
 
-def follow_chain(links: DataFrame, starts: DataFrame, most: int = 64) -> DataFrame:
-    """start, step, node: from each start along the first link (smallest target) of each node until there is none, or a node returns."""
+def follow_chain(links: DataFrame, starts: DataFrame) -> DataFrame:
+    """start, step, node: from each start along the first link (smallest target) of each node until there is none, or a node returns.
+
+    Each node has one way on, so chains are walked by doubling: after k rounds the table holds every node up to 2^k steps ahead of each
+    node that a chain can reach. Rounds end when no chain goes on or all that do have come back to a node of theirs.
+    """
     first = checkpointed(links.groupBy("source").agg(F.min("target").alias("target")))
-    seen = front = checkpointed(starts.select("start", F.lit(0).cast("long").alias("step"), F.col("start").alias("node")))
-    for step in range(1, most):
-        moved = front.join(first, front["node"] == first["source"]).select("start", F.lit(step).cast("long").alias("step"), F.col("target").alias("node"))
-        front = checkpointed(moved.join(seen.select("start", "node"), ["start", "node"], "left_anti").select("start", "step", "node"))
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return seen
+    jump = first.select(F.col("source").alias("node"), F.col("target").alias("far"))
+    seen = checkpointed(starts.select("start", F.lit(0).cast("long").alias("step"), F.col("start").alias("node")).distinct())
+    width = 1
+    while True:
+        # every known place and the place ``width`` steps ahead of it
+        ahead = seen.join(jump, "node").select("start", (F.col("step") + width).alias("step"), F.col("far").alias("node"))
+        both = seen.unionByName(ahead).groupBy("start", "node").agg(F.min("step").alias("step")).select("start", "step", "node")
+        grown = checkpointed(both)
+        if grown.count() == seen.count():
+            return seen
+        seen, width = grown, 2 * width
+        twice = jump.select("node", F.col("far").alias("via")).join(jump.select(F.col("node").alias("via"), "far"), "via")
+        jump = checkpointed(twice.select("node", "far"))

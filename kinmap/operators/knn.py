@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Queries that a pass over the base holds in each task; more are taken block by block.
-QUERY_BLOCK = 65_536
-#: Base vectors of a piece of an inverted list, so that a long list is more than one task.
-LIST_PIECE = 50_000
+#: Queries that go to all tasks; more meet the base block by block. Base vectors of such a block, and of a piece of an inverted list.
+QUERY_BLOCK, BASE_BLOCK = 65_536, 50_000
+#: Values of a model (centroids times dimensions, 4 bytes each) that go to all tasks; a larger one is searched block by block.
+MODEL_VALUES = 64_000_000
 #: Distances are compared after rounding, so that ties are ties in every engine; the smaller id wins.
 DIGITS = 9
 
@@ -57,63 +57,108 @@ def ranked(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def knn_exact(queries: DataFrame, base: DataFrame, k: int, query_block: int = QUERY_BLOCK) -> DataFrame:
+class Best:
+    """The k nearest hits of each query (by row) so far."""
+
+    def __init__(self, k: int) -> None:
+        self.k = k
+        self.rows, self.ids, self.dists = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, dists: np.ndarray) -> None:
+        r, b, d = np.concatenate((self.rows, rows)), np.concatenate((self.ids, ids)), np.concatenate((self.dists, dists))
+        order = np.lexsort((b, d, r))
+        r, b, d = r[order], b[order], d[order]
+        top = np.arange(len(r)) - np.searchsorted(r, r) < self.k
+        self.rows, self.ids, self.dists = r[top], b[top], d[top]
+
+
+_HITS = "q_id long, b_id long, dist double"
+
+
+def _no_hits() -> pa.Table:
+    return pa.table({"q_id": pa.array([], pa.int64()), "b_id": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
+
+
+def knn_exact(queries: DataFrame, base: DataFrame, k: int, query_block: int | None = None, base_block: int | None = None) -> DataFrame:
     """q_id, rank, b_id, dist: the k nearest rows of ``base(b_id, vec)`` for each of ``queries(q_id, vec)``.
 
-    Queries go to the tasks in blocks of bounded size; each pass keeps k rows for a query and task, and only those are shuffled.
-    Rows with a null vector are no neighbours and have none.
+    Up to a block of queries go to all tasks; the base is read once, where it is, and a task keeps k rows for a query. More queries and
+    the base are dealt into blocks by hash, every pair of blocks is a task, and its k rows for a query are merged: nothing passes
+    through the driver, and a task's size does not depend on either side's. Rows with a null vector are no neighbours and have none.
     """
-    spark = queries.sparkSession
-    queries, base = queries.filter("vec IS NOT NULL"), base.filter("vec IS NOT NULL")
+    query_block, base_block = query_block or QUERY_BLOCK, base_block or BASE_BLOCK
+    queries, base = queries.filter("vec IS NOT NULL").select("q_id", "vec"), base.filter("vec IS NOT NULL").select("b_id", "vec")
+    n = queries.count()
+    if n > query_block:
+        return ranked(_block_pairs(queries, base, k, math.ceil(n / query_block), max(1, math.ceil(base.count() / base_block))), k)
+    block = queries.collect()
+    held = queries.sparkSession.sparkContext.broadcast((np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], np.float64)))
 
-    def one_pass(block: list) -> DataFrame:
-        held = spark.sparkContext.broadcast((np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], np.float64)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids, q = held.value
+        best = Best(k)
+        for batch in batches:
+            best.add(*nearest(q, matrix(batch.column("vec")), batch.column("b_id").to_numpy(), k))
+        yield pa.RecordBatch.from_arrays([pa.array(q_ids[best.rows]), pa.array(best.ids), pa.array(best.dists)], names=["q_id", "b_id", "dist"])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q_ids, q = held.value
-            best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-            for batch in batches:
-                new = nearest(q, matrix(batch.column("vec")), batch.column("b_id").to_numpy(), k)
-                r, b, d = (np.concatenate(x) for x in zip(best, new))
-                order = np.lexsort((b, d, r))
-                r, b, d = r[order], b[order], d[order]
-                top = np.arange(len(r)) - np.searchsorted(r, r) < k
-                best = (r[top], b[top], d[top])
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["q_id", "b_id", "dist"])
+    return ranked(base.mapInArrow(run, _HITS), k)
 
-        return base.select("b_id", "vec").mapInArrow(run, "q_id long, b_id long, dist double")
 
-    return ranked(over_blocks(queries, query_block, one_pass), k)
+def _block_pairs(queries: DataFrame, base: DataFrame, k: int, q_blocks: int, b_blocks: int) -> DataFrame:
+    place = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumn("qb", place("q_id", q_blocks)).withColumn("bb", each(b_blocks))
+    right = base.withColumn("bb", place("b_id", b_blocks)).withColumn("qb", each(q_blocks))
 
+    def run(q: pa.Table, b: pa.Table) -> pa.Table:
+        if not q.num_rows or not b.num_rows:
+            return _no_hits()
+        q_ids, q_vecs = q.column("q_id").to_numpy(), matrix(q.column("vec").combine_chunks())
+        r, found, d = nearest(q_vecs, matrix(b.column("vec").combine_chunks()), b.column("b_id").to_numpy(), k)
+        return pa.table({"q_id": q_ids[r], "b_id": found, "dist": d})
 
-def over_blocks(queries: DataFrame, size: int, one_pass: Callable[[list], DataFrame]) -> DataFrame:
-    """The union of what ``one_pass`` makes of each block of about ``size`` queries (by hash of q_id), a block on the driver at a time."""
-    blocks = max(1, math.ceil(queries.count() / size))
-    out = None
-    for i in range(blocks):
-        own = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == i)
-        hits = one_pass(own.select("q_id", "vec").collect())
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    return left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInArrow(run, _HITS)
 
 
-def closest_lists(rows: DataFrame, centroids: DataFrame, id_column: str, k: int = 1) -> DataFrame:
-    """``id_column``, list_id, place (from 1), list_dist: the k lists of ``centroids(list_id, centroid)`` closest to each row's vec.
+def closest_lists(rows: DataFrame, centroids: DataFrame, id_column: str, k: int = 1, residuals: bool = False) -> DataFrame:
+    """``id_column``, list_id, place (from 1), list_dist: the k lists of ``centroids(list_id, centroid)`` closest to each row's vec, and, if
+    asked for, residual, the vector less the list's centroid.
 
-    Centroids are a model of bounded size and go to every task; rows are never shuffled.
+    The model's size is counted first: up to ``MODEL_VALUES`` it goes to every task and rows stay where they are; a larger one meets the
+    rows block by block, as in an exact search.
     """
-    model = centroids.select("list_id", "centroid").collect()
-    held = rows.sparkSession.sparkContext.broadcast((np.array([r[0] for r in model], np.int64), np.array([r[1] for r in model], np.float64)))
     kind = rows.schema[id_column].dataType.simpleString()
+    rows, centroids = rows.select(id_column, "vec").filter("vec IS NOT NULL"), centroids.select("list_id", "centroid")
+    size = centroids.agg(F.count("*").alias("n"), F.max(F.size("centroid")).alias("d")).first()
+    more = ", residual array<double>" if residuals else ""
+    if size["n"] * (size["d"] or 0) > MODEL_VALUES:
+        found = knn_exact(rows.select(F.col(id_column).cast("long").alias("q_id"), "vec"), centroids.select(F.col("list_id").alias("b_id"), F.col("centroid").alias("vec")), k, 1)
+        out = found.select(F.col("q_id").cast(kind).alias(id_column), F.col("b_id").alias("list_id"), F.col("rank").cast("long").alias("place"), F.col("dist").alias("list_dist"))
+        if not residuals:
+            return out
+        return out.join(rows, id_column).join(centroids, "list_id").select(id_column, "list_id", "place", "list_dist", F.expr("zip_with(vec, centroid, (x, y) -> x - y)").alias("residual"))
+    model = centroids.collect()
+    held = rows.sparkSession.sparkContext.broadcast((np.array([r[0] for r in model], np.int64), np.array([r[1] for r in model], np.float64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists, centers = held.value
+        at = {x: i for i, x in enumerate(lists.tolist())}
         for batch in batches:
-            r, found, d = nearest(matrix(batch.column("vec")), centers, lists, k)
+            vecs = matrix(batch.column("vec"))
+            r, found, d = nearest(vecs, centers, lists, k)
             place = np.arange(len(r)) - np.searchsorted(r, r) + 1
-            yield pa.RecordBatch.from_arrays([batch.column(id_column).take(pa.array(r)), pa.array(found), pa.array(place), pa.array(d)], names=[id_column, "list_id", "place", "list_dist"])
+            columns = [batch.column(id_column).take(pa.array(r)), pa.array(found), pa.array(place), pa.array(d)]
+            if residuals:
+                left = vecs[r] - centers[[at[x] for x in found.tolist()]] if len(r) else np.zeros((0, 1))
+                columns.append(rows_of(left))
+            yield pa.RecordBatch.from_arrays(columns, names=[id_column, "list_id", "place", "list_dist", *["residual"] * residuals])
+
+    return rows.mapInArrow(run, f"{id_column} {kind}, list_id long, place long, list_dist double{more}")
 
-    return rows.select(id_column, "vec").filter("vec IS NOT NULL").mapInArrow(run, f"{id_column} {kind}, list_id long, place long, list_dist double")
+
+def rows_of(m: np.ndarray) -> pa.Array:
+    """A matrix as a list column."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(m.ravel()))
 
 
 def build_lists(base: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -121,43 +166,55 @@ def build_lists(base: DataFrame, centroids: DataFrame) -> DataFrame:
     return base.select("b_id", "vec").join(closest_lists(base, centroids, "b_id").select("b_id", "list_id"), "b_id")
 
 
-def knn_ivf(queries: DataFrame, lists: DataFrame, centroids: DataFrame, k: int, nprobe: int) -> DataFrame:
-    """Like ``knn_exact``, but only over the ``nprobe`` lists closest to each query.
+def _in_lists(wanted: DataFrame, lists: DataFrame, column: str, payload: str, run, schema: str) -> DataFrame:
+    """``run`` on every list's probes (q_id, place, ``column``) and vectors (b_id, ``payload``), as co-groups. A list of more than
+    ``BASE_BLOCK`` vectors, or of as many probes, is cut into pieces by hash, and every piece of one side meets every piece of the other.
+    The pieces are a row for each list, of which there are as many as centroids."""
+    pieces = lambda df, name: df.groupBy("list_id").agg(F.ceil(F.count("*") / BASE_BLOCK).cast("int").alias(name))
+    both = pieces(lists, "b_pieces").join(pieces(wanted, "q_pieces"), "list_id")
+    each = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    left = wanted.join(both, "list_id").withColumn("qp", F.expr("cast(pmod(xxhash64(q_id), q_pieces) AS int)")).withColumn("bp", each("b_pieces"))
+    right = lists.join(both, "list_id").withColumn("bp", F.expr("cast(pmod(xxhash64(b_id), b_pieces) AS int)")).withColumn("qp", each("q_pieces"))
+    key = ["list_id", "qp", "bp"]
+    return left.select(*key, "q_id", "place", column).groupBy(*key).cogroup(right.select(*key, "b_id", payload).groupBy(*key)).applyInArrow(run, schema)
 
-    An equi-join of probes and lists, as co-groups: a list of more than ``LIST_PIECE`` vectors is cut into pieces by hash, and its
-    probes go to each piece.
-    """
-    wanted = closest_lists(queries, centroids, "q_id", nprobe).select("q_id", "list_id").join(queries.select("q_id", "vec"), "q_id")
-    pieces = lists.groupBy("list_id").agg(F.ceil(F.count("*") / LIST_PIECE).cast("int").alias("pieces"))
-    cut = lists.join(F.broadcast(pieces), "list_id").withColumn("piece", F.expr("cast(pmod(xxhash64(b_id), pieces) AS int)"))
-    sent = wanted.join(F.broadcast(pieces), "list_id").withColumn("piece", F.explode(F.expr("sequence(0, pieces - 1)")))
+
+def ivf_hits(queries: DataFrame, lists: DataFrame, centroids: DataFrame, k: int, nprobe: int) -> DataFrame:
+    """q_id, place, b_id, dist: the k nearest of each of the ``nprobe`` lists closest to each query, and the list's place among them."""
+    wanted = closest_lists(queries, centroids, "q_id", nprobe).select("q_id", "list_id", "place").join(queries.select("q_id", "vec"), "q_id")
 
     def run(q: pa.Table, b: pa.Table) -> pa.Table:
         if not q.num_rows or not b.num_rows:
-            return pa.table({"q_id": pa.array([], pa.int64()), "b_id": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
-        q_ids, ids = q.column("q_id").to_numpy(), b.column("b_id").to_numpy()
+            return _no_hits().append_column("place", pa.array([], pa.int64()))
+        q_ids, ids, place = q.column("q_id").to_numpy(), b.column("b_id").to_numpy(), q.column("place").to_numpy()
         r, found, d = nearest(matrix(q.column("vec").combine_chunks()), matrix(b.column("vec").combine_chunks()), ids, k)
-        return pa.table({"q_id": q_ids[r], "b_id": found, "dist": d})
+        return pa.table({"q_id": q_ids[r], "b_id": found, "dist": d, "place": place[r]})
 
-    left = sent.select("list_id", "piece", "q_id", "vec").groupBy("list_id", "piece")
-    right = cut.select("list_id", "piece", "b_id", "vec").groupBy("list_id", "piece")
-    return ranked(left.cogroup(right).applyInArrow(run, "q_id long, b_id long, dist double"), k)
+    return _in_lists(wanted, lists, "vec", "vec", run, f"{_HITS}, place long")
 
 
-def pq_encode(rows: DataFrame, codebook: DataFrame, id_column: str, subs: int) -> DataFrame:
-    """``id_column``, codes: for each of ``subs`` sub-vectors the nearest code of ``codebook(sub, code, centroid)`` (ties: the smaller)."""
+def knn_ivf(queries: DataFrame, lists: DataFrame, centroids: DataFrame, k: int, nprobe: int) -> DataFrame:
+    """Like ``knn_exact``, but only over the ``nprobe`` lists closest to each query: an equi-join of probes and lists."""
+    return ranked(ivf_hits(queries, lists, centroids, k, nprobe).drop("place"), k)
+
+
+def pq_encode(rows: DataFrame, codebook: DataFrame, id_column: str, subs: int, keep: str | None = None) -> DataFrame:
+    """``id_column``, codes: for each of ``subs`` sub-vectors the nearest code of ``codebook(sub, code, centroid)`` (ties: the smaller); and
+    the column ``keep`` (its name and type), if given."""
     books = _books(codebook, subs)
     held = rows.sparkSession.sparkContext.broadcast(books)
     kind = rows.schema[id_column].dataType.simpleString()
+    kept = [keep.split()[0]] if keep else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = np.split(matrix(batch.column("vec")), subs, axis=1) if batch.num_rows else []
             codes = [nearest(p, b, np.arange(len(b)), 1)[1] for p, b in zip(parts, held.value)]
             table = np.stack(codes, axis=1) if codes else np.zeros((0, subs), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(id_column), pa.array(list(table.astype(np.int32)), pa.list_(pa.int32()))], names=[id_column, "codes"])
+            yield pa.RecordBatch.from_arrays([batch.column(id_column), *map(batch.column, kept), rows_of(table.astype(np.int32))], names=[id_column, *kept, "codes"])
 
-    return rows.select(id_column, "vec").filter("vec IS NOT NULL").mapInArrow(run, f"{id_column} {kind}, codes array<int>")
+    ddl = f"{id_column} {kind}, " + (f"{keep}, " if keep else "") + "codes array<int>"
+    return rows.select(id_column, *kept, "vec").filter("vec IS NOT NULL").mapInArrow(run, ddl)
 
 
 def _books(codebook: DataFrame, subs: int) -> list[np.ndarray]:
@@ -165,25 +222,72 @@ def _books(codebook: DataFrame, subs: int) -> list[np.ndarray]:
     return [np.array([c for s, _, c in rows if s == i], np.float64) for i in range(subs)]
 
 
-def adc_search(queries: DataFrame, encoded: DataFrame, codebook: DataFrame, k: int, subs: int, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """Like ``knn_exact`` on codes: the distance of a query to a code is that to the vector the code stands for, by table lookup."""
+def build_pq_lists(base: DataFrame, centroids: DataFrame, codebook: DataFrame, subs: int) -> DataFrame:
+    """b_id, list_id, codes: inverted lists of product-quantised residuals, every vector's offset from its list's centroid."""
+    near = closest_lists(base, centroids, "b_id", residuals=True).select("b_id", "list_id", F.col("residual").alias("vec"))
+    return pq_encode(near, codebook, "b_id", subs, keep="list_id bigint")
+
+
+def knn_ivfpq(queries: DataFrame, lists: DataFrame, centroids: DataFrame, codebook: DataFrame, k: int, nprobe: int, subs: int) -> DataFrame:
+    """q_id, rank, b_id, dist: over the ``nprobe`` lists closest to each query, the distance of the query's residual to the residual that a
+    code stands for, by table lookup."""
     books = _books(codebook, subs)
-    def one_pass(block: list) -> DataFrame:
-        q = np.array([r[1] for r in block], np.float64).reshape(len(block), -1)
-        tables = [((part[:, None, :] - book[None]) ** 2).sum(axis=2) for part, book in zip(np.split(q, subs, axis=1), books)]
-        held = queries.sparkSession.sparkContext.broadcast((np.array([r[0] for r in block], np.int64), tables))
+    held = queries.sparkSession.sparkContext.broadcast(books)
+    wanted = closest_lists(queries, centroids, "q_id", nprobe, residuals=True)
+
+    def run(q: pa.Table, b: pa.Table) -> pa.Table:
+        if not q.num_rows or not b.num_rows:
+            return _no_hits()
+        q_ids = q.column("q_id").to_numpy()
+        best = Best(k)
+        best.add(*nearest_codes(matrix(q.column("residual").combine_chunks()), held.value, b.column("b_id").to_numpy(), matrix(b.column("codes").combine_chunks()).astype(np.int64), k))
+        return pa.table({"q_id": q_ids[best.rows], "b_id": best.ids, "dist": best.dists})
+
+    return ranked(_in_lists(wanted, lists, "residual", "codes", run, _HITS), k)
+
+
+def reranked(hits: DataFrame, queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each query's hits (q_id, b_id) by the exact distance of their vectors."""
+    met = hits.select("q_id", "b_id").join(queries.select("q_id", F.col("vec").alias("_q")), "q_id").join(base.select("b_id", F.col("vec").alias("_b")), "b_id")
+    dist = F.expr(f"round(sqrt(aggregate(zip_with(_q, _b, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x)), {DIGITS})")
+    return ranked(met.select("q_id", "b_id", dist.alias("dist")), k)
+
+
+def nearest_codes(queries: np.ndarray, books: list[np.ndarray], ids: np.ndarray, codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, distance) of the k nearest codes of each query, ties to the smaller id."""
+    order = np.argsort(ids, kind="stable")
+    ids, codes = ids[order], codes[order]
+    rows, found, dists = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    step = max(1, 4_000_000 // max(len(ids), 1))
+    for at in range(0, len(queries) if len(ids) else 0, step):
+        parts = np.split(queries[at : at + step], len(books), axis=1)
+        lookup = [((part[:, None, :] - book[None]) ** 2).sum(axis=2) for part, book in zip(parts, books)]
+        d = np.round(np.sqrt(sum(t[:, codes[:, j]] for j, t in enumerate(lookup))), DIGITS)
+        top = np.argsort(d, axis=1, kind="stable")[:, :k]
+        rows.append(np.repeat(np.arange(at, at + len(d)), top.shape[1]))
+        found.append(ids[top].ravel())
+        dists.append(np.take_along_axis(d, top, 1).ravel())
+    return np.concatenate(rows), np.concatenate(found), np.concatenate(dists)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q_ids, lookup = held.value
-            for batch in batches:
-                ids, codes = batch.column("b_id").to_numpy(), matrix(batch.column("codes")).astype(np.int64)
-                order = np.argsort(ids, kind="stable")
-                for at in range(0, len(q_ids), 256):
-                    d = np.round(np.sqrt(sum(t[at : at + 256][:, codes[:, j]] for j, t in enumerate(lookup))), DIGITS)[:, order]
-                    top = np.argsort(d, axis=1, kind="stable")[:, :k]
-                    owner = np.repeat(q_ids[at : at + 256], top.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(ids[order][top].ravel()), pa.array(np.take_along_axis(d, top, 1).ravel())], names=["q_id", "b_id", "dist"])
 
-        return encoded.select("b_id", "codes").mapInArrow(run, "q_id long, b_id long, dist double")
+def adc_search(queries: DataFrame, encoded: DataFrame, codebook: DataFrame, k: int, subs: int, query_block: int | None = None) -> DataFrame:
+    """Like ``knn_exact`` on codes (b_id, codes) of whole vectors: the distance of a query to a code is that to the vector it stands for. A
+    block of queries goes to all tasks; a task keeps k rows for a query, whatever it reads. More queries are taken block by block."""
+    books, out = _books(codebook, subs), None
+    blocks = max(1, math.ceil(queries.count() / (query_block or QUERY_BLOCK)))
+    for i in range(blocks):
+        own = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == i)
+        block = own.select("q_id", "vec").filter("vec IS NOT NULL").collect()
+        held = queries.sparkSession.sparkContext.broadcast((np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], np.float64).reshape(len(block), -1), books))
 
-    return ranked(over_blocks(queries, query_block, one_pass), k)
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            q_ids, q, books = held.value
+            best = Best(k)
+            for batch in batches:
+                if len(q) and batch.num_rows:
+                    best.add(*nearest_codes(q, books, batch.column("b_id").to_numpy(), matrix(batch.column("codes")).astype(np.int64), k))
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[best.rows]), pa.array(best.ids), pa.array(best.dists)], names=["q_id", "b_id", "dist"])
+
+        hits = encoded.select("b_id", "codes").mapInArrow(run, _HITS)
+        out = hits if out is None else out.unionByName(hits)
+    return ranked(out, k)

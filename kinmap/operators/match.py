@@ -2,47 +2,73 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kinmap.operators.knn import matrix, nearest
 from kinmap.session import checkpointed
 
 RATIO = 0.8
-MAX_LEVELS = 50
 
 
-def oriented(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(i, j) with the image of more keypoints as the query side: i, j, query, train. Equal sizes keep i as the query."""
-    a, b = sizes.select(F.col("image_id").alias("i"), F.col("n").alias("ni")), sizes.select(F.col("image_id").alias("j"), F.col("n").alias("nj"))
-    swap = F.col("ni") < F.col("nj")
-    return pairs.join(a, "i").join(b, "j").select("i", "j", F.when(swap, F.col("j")).otherwise(F.col("i")).alias("query"), F.when(swap, F.col("i")).otherwise(F.col("j")).alias("train"))
+def keypoints_of_pairs(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """i, j, second, kp_idx, vec: the keypoints of both images of each pair. A pair's rows are as many as its keypoints, not as their product."""
+    side = lambda c, second: pairs.join(points.select(F.col("image_id").alias(c), "kp_idx", "vec"), c).select("i", "j", F.lit(second).alias("second"), "kp_idx", "vec")
+    return side("i", False).unionByName(side("j", True))
+
+
+def _by_pair(keypoints: DataFrame, find: Callable, schema: str) -> DataFrame:
+    """``find(query points, query vectors, train points, train vectors)`` for each pair, a distance block at a time: the image with more
+    keypoints is the query side, the first if they have as many. It returns columns that follow i, j and query."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("second", "ascending"), ("kp_idx", "ascending")])
+        names, vecs, second = rows.column("kp_idx").to_numpy(), matrix(rows.column("vec").combine_chunks()), rows.column("second").to_numpy()
+        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        sides = [(names[~second], vecs[~second], i), (names[second], vecs[second], j)]
+        if len(sides[0][0]) < len(sides[1][0]):
+            sides.reverse()
+        q, t = sides
+        found = find(*q[:2], *t[:2]) if len(t[0]) else {}
+        n = len(found["q_kp"]) if found else 0
+        columns = {"i": pa.array([i] * n, pa.int64()), "j": pa.array([j] * n, pa.int64()), "query": pa.array([q[2]] * n, pa.int64())}
+        kinds = {"q_kp": pa.int64(), "t_kp": pa.int64(), "dist": pa.float64()}
+        return pa.table(columns | {c: pa.array(found[c] if found else [], t) for c, t in kinds.items()})
+
+    return keypoints.groupBy("i", "j").applyInArrow(run, schema)
 
 
-def distances(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """i, j, query, train, q_kp, t_kp, dist for all keypoints of each pair: joins on image ids, then a JVM expression."""
-    q = points.select(F.col("image_id").alias("query"), F.col("kp_idx").alias("q_kp"), F.col("vec").alias("q_vec"))
-    t = points.select(F.col("image_id").alias("train"), F.col("kp_idx").alias("t_kp"), F.col("vec").alias("t_vec"))
-    dist = F.expr("round(sqrt(aggregate(zip_with(q_vec, t_vec, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x)), 9)")
-    return pairs.join(q, "query").join(t, "train").select("i", "j", "query", "train", "q_kp", "t_kp", dist.alias("dist"))
+_MATCHES = "i long, j long, query long, q_kp long, t_kp long, dist double"
 
 
-def ratio_test(dists: DataFrame, ratio: float = RATIO) -> DataFrame:
+def ratio_test(keypoints: DataFrame, ratio: float = RATIO) -> DataFrame:
     """i, j, query, q_kp, t_kp, dist: nearest keypoints whose distance is under ``ratio`` of the second nearest's. A keypoint without a
     second neighbour, or with one at distance 0, does not match."""
-    order = Window.partitionBy("i", "j", "q_kp").orderBy("dist", "t_kp")
-    best = dists.withColumn("r", F.row_number().over(order)).filter("r <= 2")
-    sides = best.groupBy("i", "j", "query", "q_kp").agg(
-        F.max(F.when(F.col("r") == 1, F.col("t_kp"))).alias("t_kp"), F.max(F.when(F.col("r") == 1, F.col("dist"))).alias("dist"), F.max(F.when(F.col("r") == 2, F.col("dist"))).alias("second")
-    )
-    return sides.filter((F.col("second") > 0) & (F.col("dist") / F.col("second") < ratio)).drop("second")
 
+    def find(q: np.ndarray, qv: np.ndarray, t: np.ndarray, tv: np.ndarray) -> dict:
+        r, found, d = nearest(qv, tv, t, 2)
+        at = np.flatnonzero(r[1:] == r[:-1])  # the first of each two
+        good = at[(d[at + 1] > 0) & (d[at] / np.where(d[at + 1] > 0, d[at + 1], 1) < ratio)]
+        return {"q_kp": q[r[good]], "t_kp": found[good], "dist": d[good]}
+
+    return _by_pair(keypoints, find, _MATCHES)
+
+
+def cross_check(keypoints: DataFrame) -> DataFrame:
+    """i, j, query, q_kp, t_kp, dist: pairs of keypoints that are each other's nearest."""
+
+    def find(q: np.ndarray, qv: np.ndarray, t: np.ndarray, tv: np.ndarray) -> dict:
+        r, forth, d = nearest(qv, tv, t, 1)
+        _, back, _ = nearest(tv, qv, q, 1)
+        good = np.flatnonzero(back[np.searchsorted(t, forth)] == q[r])
+        return {"q_kp": q[r[good]], "t_kp": forth[good], "dist": d[good]}
 
-def cross_check(dists: DataFrame) -> DataFrame:
-    """i, j, q_kp, t_kp, dist: pairs of keypoints that are each other's nearest."""
-    forth = dists.groupBy("i", "j", "q_kp").agg(F.min(F.struct("dist", "t_kp")).alias("m")).select("i", "j", "q_kp", "m.t_kp", "m.dist")
-    back = dists.groupBy("i", "j", "t_kp").agg(F.min(F.struct("dist", "q_kp")).alias("m")).select("i", "j", "t_kp", "m.q_kp")
-    return forth.join(back, ["i", "j", "q_kp", "t_kp"])
+    return _by_pair(keypoints, find, _MATCHES)
 
 
 def best_half(matches: DataFrame) -> DataFrame:
@@ -52,9 +78,10 @@ def best_half(matches: DataFrame) -> DataFrame:
     return placed.filter(F.col("r") <= F.rint(F.col("n") / 2)).drop("r", "n")
 
 
-def pair_stats(matches: DataFrame) -> DataFrame:
-    """i, j, kp_count, avg_dist."""
-    return matches.groupBy("i", "j").agg(F.count("*").alias("kp_count"), F.round(F.avg("dist"), 6).alias("avg_dist"))
+def pair_stats(matches: DataFrame, digits: int | None = 6) -> DataFrame:
+    """i, j, kp_count, avg_dist, rounded or not; the sum is exact, so its order does not matter."""
+    mean = F.sum(F.col("dist").cast("decimal(28,9)")).cast("double") / F.count("*")
+    return matches.groupBy("i", "j").agg(F.count("*").alias("kp_count"), (mean if digits is None else F.round(mean, digits)).alias("avg_dist"))
 
 
 def related(matches: DataFrame, points: DataFrame, width: int, height: int, least: int = 4, enough: int = 10, spread: float = 0.02) -> DataFrame:
@@ -67,20 +94,26 @@ def related(matches: DataFrame, points: DataFrame, width: int, height: int, leas
 
 
 def bfs_levels(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """start, node, level for all nodes that ``edges(u, v)`` (undirected) connect to each of ``starts(start)``.
+    """start, node, level for all nodes that ``edges(u, v)`` (undirected) connect to each of ``starts(start)``, however many levels away.
 
-    A join for each level; nodes already seen drop out by an anti-join. Lineage is cut by checkpoints, level by level.
+    A join for each level, until one is empty. A neighbour of a level lies in it, the one before or the next, so an anti-join with two
+    levels is enough to leave out what is known. Every level is a table of its own, so lineage stays short.
     """
     both = checkpointed(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    seen = checkpointed(starts.select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("level")))
-    front = seen
-    for level in range(1, MAX_LEVELS):
-        step = front.join(both, front["node"] == both["u"]).select("start", F.col("v").alias("node")).distinct()
-        front = checkpointed(step.join(seen, ["start", "node"], "left_anti").withColumn("level", F.lit(level).cast("long")))
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return seen
+    levels = [checkpointed(starts.select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("level")).distinct())]
+    while not levels[-1].isEmpty():
+        step = levels[-1].join(both, F.col("node") == F.col("u")).select("start", F.col("v").alias("node")).distinct()
+        for known in levels[-2:]:
+            step = step.join(known.select("start", "node"), ["start", "node"], "left_anti")
+        levels.append(checkpointed(step.withColumn("level", F.lit(len(levels)).cast("long"))))
+    return union_all(levels[:-1] or levels)
+
+
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    """Unions in a balanced tree, so that plans of many parts stay shallow."""
+    while len(parts) > 1:
+        parts = [parts[i].unionByName(parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0]
 
 
 def candidate_pairs(levels: DataFrame) -> DataFrame:

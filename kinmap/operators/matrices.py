@@ -8,13 +8,16 @@ from pyspark.sql.window import Window
 
 
 def min_max(cells: DataFrame, by: list[str], dissimilar: bool) -> DataFrame:
-    """``by``, i, j, norm. Of a dissimilarity the sign is turned and absent cells (-1) take no part; of a similarity absent cells (0) do.
-    Absent cells, and all if the range is empty, become -1."""
+    """``by``, i, j, norm of the cells that are there; the matrix is dense, so of a similarity its absent cells (0: the diagonal at least)
+    take part in the range. Of a dissimilarity the sign is turned and absent cells (-1) take no part. Absent cells, and all if the
+    range is empty, become -1."""
     value = -F.col("value") if dissimilar else F.col("value")
     absent = F.col("value") == (-1.0 if dissimilar else 0.0)
-    known = F.when(~absent, value) if dissimilar else value
     all_ = Window.partitionBy(*by)
-    ranged = cells.withColumn("_low", F.min(known).over(all_)).withColumn("_high", F.max(known).over(all_))
+    low, high = (f(F.when(~absent, value)).over(all_) for f in (F.min, F.max))
+    if not dissimilar:
+        low, high = F.least(low, F.lit(0.0)), F.greatest(high, F.lit(0.0))  # least and greatest skip nulls
+    ranged = cells.withColumn("_low", low).withColumn("_high", high)
     norm = F.when(absent | F.col("_low").isNull() | (F.col("_high") == F.col("_low")), -1.0).otherwise((value - F.col("_low")) / (F.col("_high") - F.col("_low")))
     return ranged.select(*by, "i", "j", F.round(norm, 6).alias("norm"))
 

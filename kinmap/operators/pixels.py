@@ -72,6 +72,15 @@ def match_histogram(pairs: DataFrame, pixels: DataFrame) -> DataFrame:
     return both.filter(inside | below).select("source", "template", F.col("sv").alias("v"), F.round(slope, PLACES).alias("matched"))
 
 
+def pair_similarity(pairs: DataFrame, pixels: DataFrame, bins: int = 256) -> DataFrame:
+    """i, j, mi, mse of ``pairs(i, j)`` of images of one size: the pixels (image, y, x, v) of the first, moved to the second's values by
+    ``match_histogram``, against those of the second. So the two directions of a pair differ."""
+    moved = match_histogram(pairs.select(F.col("i").alias("source"), F.col("j").alias("template")), pixels)
+    first = moved.join(pixels.withColumnRenamed("image", "source"), ["source", "v"]).select(F.col("source").alias("i"), F.col("template").alias("j"), "y", "x", F.col("matched").alias("a"))
+    both = first.join(pixels.select(F.col("image").alias("j"), "y", "x", F.col("v").alias("b")), ["j", "y", "x"])
+    return mutual_information(both, ["i", "j"], bins).join(mean_squared_error(both, ["i", "j"]), ["i", "j"])
+
+
 def histogram_intersection(pairs: DataFrame, counts: DataFrame, pixels: int) -> DataFrame:
     """a, b, score: the share of pixels that two histograms have in common."""
     left, right = (counts.select(F.col("image").alias(c), "bin", F.col("n").alias(f"n{c}")) for c in "ab")

@@ -48,42 +48,78 @@ def principal_axes(rows: DataFrame, dims: int, rotate_seed: int | None = None) -
     return mean, axes
 
 
+#: Training rows that a centroid needs at least.
+ROWS_A_CENTROID = 39
+
+
 def coarse_centroids(rows: DataFrame, k: int, seed: int = 1, iterations: int = 20) -> DataFrame:
-    """list_id, centroid by k-means. At least 39 training rows for a centroid are kept to, so fewer lists may come."""
-    n = rows.count()
-    k = max(1, min(k, n // 39 or 1))
+    """list_id, centroid by k-means. Too few training rows for ``k`` centroids are an error; ``most_lists`` tells how many they allow."""
+    if k > (most := most_lists(rows.count())):
+        raise ValueError(f"{k} lists need {ROWS_A_CENTROID} training rows each; these rows allow {most}")
     model = KMeans(k=k, seed=seed, maxIter=iterations, featuresCol="f").fit(rows.select(array_to_vector("vec").alias("f")))
     centers = [(i, c.tolist()) for i, c in enumerate(model.clusterCenters())]
     return rows.sparkSession.createDataFrame(centers, "list_id long, centroid array<double>")
 
 
+def most_lists(n: int) -> int:
+    return max(1, n // ROWS_A_CENTROID)
+
+
+def nearest_center(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return ((x * x).sum(axis=1)[:, None] - 2 * x @ centers.T + (centers * centers).sum(axis=1)).argmin(axis=1)
+
+
+def k_means(x: np.ndarray, k: int, seed: int, rounds: int = 20) -> np.ndarray:
+    """Centers of the rows of ``x``, from ``k`` distinct rows on; a center that no row is nearest to stays where it is."""
+    rng = np.random.default_rng(seed)
+    distinct = np.unique(x, axis=0)
+    centers = distinct[np.sort(rng.choice(len(distinct), min(k, len(distinct)), replace=False))]
+    for _ in range(rounds):
+        near = nearest_center(x, centers)
+        sums, counts = np.zeros_like(centers), np.bincount(near, minlength=len(centers))
+        np.add.at(sums, near, x)
+        moved = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centers)
+        if np.allclose(moved, centers):
+            break
+        centers = moved
+    return centers
+
+
+#: Rows that code books and rotations are fitted on at most; all rows are coded.
+TRAIN_ROWS = 50_000
+
+
+def training_rows(rows: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
+    """vec of the ``most`` rows with the least hash, a bounded sample that every run repeats."""
+    return rows.filter("vec IS NOT NULL").orderBy(F.xxhash64("vec")).limit(most).select("vec")
+
+
 def code_books(rows: DataFrame, subs: int, codes: int, seed: int = 1) -> DataFrame:
-    """sub, code, centroid by k-means on each slice of the vectors."""
+    """sub, code, centroid: k-means on each slice of the vectors of a bounded sample, a task for each slice."""
+    import pyarrow as pa
+
     width = len(rows.select("vec").first()[0]) // subs
-    out = None
-    for sub in range(subs):
-        own = coarse_centroids(rows.select(F.slice("vec", sub * width + 1, width).alias("vec")), codes, seed).select(F.lit(sub).alias("sub"), F.col("list_id").alias("code"), "centroid")
-        out = own if out is None else out.unionByName(own)
-    return out
+    slices = training_rows(rows).select("vec", F.explode(F.sequence(F.lit(0), F.lit(subs - 1))).alias("sub")).select("sub", F.expr(f"slice(vec, sub * {width} + 1, {width})").alias("vec"))
 
+    def run(group: pa.Table) -> pa.Table:
+        centers = k_means(matrix(group.column("vec").combine_chunks()), codes, seed)
+        return pa.table({"sub": pa.array([group.column("sub")[0].as_py()] * len(centers), pa.int32()), "code": np.arange(len(centers)), "centroid": pa.array(list(centers), pa.list_(pa.float64()))})
 
-def optimized_rotation(sample: np.ndarray, subs: int, codes: int, rounds: int = 10, seed: int = 1) -> np.ndarray:
-    """A rotation that lowers the error of product quantisation: quantise, then rotate the vectors onto their codes (Procrustes), and
-    again. Works on a bounded training sample."""
-    rng = np.random.default_rng(seed)
-    d = sample.shape[1]
-    rotation = np.eye(d)
+    return slices.groupBy("sub").applyInArrow(run, "sub int, code long, centroid array<double>")
+
+
+def optimized_rotation(rows: DataFrame, subs: int, codes: int, rounds: int = 8, seed: int = 1) -> np.ndarray:
+    """A rotation (columns are the new axes) that lowers the error of product quantisation: quantise a bounded sample, rotate the vectors
+    onto their codes (Procrustes), and again."""
+    sample = np.array([r["vec"] for r in training_rows(rows, TRAIN_ROWS // 5).collect()], np.float64)
+    rotation = np.eye(sample.shape[1])
     for _ in range(rounds):
         x = sample @ rotation
-        y = np.empty_like(x)
-        for part in np.split(np.arange(d), subs):
-            own = x[:, part]
-            centers = own[rng.choice(len(own), min(codes, len(own)), replace=False)]
-            for _ in range(4):
-                near = ((own[:, None] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
-                centers = np.array([own[near == c].mean(axis=0) if (near == c).any() else centers[c] for c in range(len(centers))])
-            y[:, part] = centers[((own[:, None] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)]
-        u, _, vt = np.linalg.svd(sample.T @ y)
+        coded = np.empty_like(x)
+        for part in np.split(np.arange(x.shape[1]), subs):
+            centers = k_means(x[:, part], codes, seed, 4)
+            coded[:, part] = centers[nearest_center(x[:, part], centers)]
+        u, _, vt = np.linalg.svd(sample.T @ coded)
         rotation = u @ vt
     return rotation
 

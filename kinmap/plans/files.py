@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kinmap.functions import scalars
-from kinmap.operators import catalogs, graphs
-from kinmap.plans import images, search
+from kinmap.operators import catalogs, graphs, match
+from kinmap.plans import images, matching, search
 from kinmap.plans.fixtures import SQL_D, SQL_E, descriptors, table, vectors
 
 _EXT = ("jpg", "PNG", "nef", "tif", "txt", "jpeg", "dng")
@@ -66,7 +66,7 @@ def rootsift(spark, sf):
 
 
 def bit_unpack(spark, sf):
-    own = vectors(spark, sf).select("vec_id", F.expr("transform(slice(e, 1, 4), x -> cast(floor((x + 1) * 127.5D) AS int))").alias("bytes"))
+    own = vectors(spark, sf).select("vec_id", F.expr("transform(e, x -> cast(floor((x + 1) * 127.5D) AS int))").alias("bytes"))
     return own.select("vec_id", F.posexplode(scalars.unpack_bits("bytes")).alias("i", "bit")).select("vec_id", F.col("i").cast("long").alias("i"), F.col("bit").cast("long").alias("bit"))
 
 
@@ -130,10 +130,9 @@ def topk_by_response(spark, sf):
 
 
 def training_sample(spark, sf):
-    """Rows of the sampled files: all that matters is how many there are, and that each is whole."""
+    """Every row of the sampled files."""
     chosen = catalogs.sampled_files(descriptors(spark, sf).select("image_id").distinct(), "image_id", 200, 20)
-    own = descriptors(spark, sf).join(chosen, "image_id", "left_semi").groupBy("image_id").agg(F.count("*").alias("n"), F.first("version").alias("version"))
-    return own.agg(F.count("*").alias("files"), F.sum((F.col("n") == 20 - 4 * F.col("version")).cast("long")).alias("whole"))
+    return descriptors(spark, sf).join(chosen, "image_id", "left_semi").select("image_id", "kp_idx", "vec_id")
 
 
 def world_index_scan(spark, sf):
@@ -177,14 +176,25 @@ def manifest_antijoin(spark, sf):
 
 
 def probe_prefix_lookup(spark, sf):
-    ids = table(spark, sf, "pages").filter("page_id % 4 = 0").select(F.expr("concat('p', page_id div 2)").alias("id")).distinct()
+    ids = table(spark, sf, "pages").select(F.expr("concat('p', page_id div 2)").alias("id")).distinct()
     files = table(spark, sf, "pages").select(F.expr("concat('world/p', page_id div 2, '.', page_id % 2, '.jpg')").alias("path"))
     return catalogs.find_by_prefix(ids, files)
 
 
+def _trees(spark, sf):
+    """Nested documents that refer to resources at several depths, one of them twice."""
+    tree = """concat('{"image":{"$resource":"r', page_id, '"},"parts":[{"mask":{"$indirect":"file:///m/', page_id, '"}},{"mask":{"$resource":"r', page_id, '"}}],"note":{"text":"$resource"},"n":', page_id, '}')"""
+    return table(spark, sf, "pages").select("page_id", F.expr(tree).alias("json"))
+
+
 def resource_references(spark, sf):
-    tree = table(spark, sf, "pages").select("page_id", F.expr("""concat('{"image":{"$resource":"r', page_id, '"},"mask":{"$indirect":"file:///m/', page_id, '"},"note":{"text":"n"}}')""").alias("json"))
-    return catalogs.references(tree, "page_id", "json")
+    return catalogs.references(_trees(spark, sf), "page_id", "json")
+
+
+def resource_replace(spark, sf):
+    """References with a known resource become its content; of every third page the resource is not known, and the reference stays."""
+    known = table(spark, sf, "pages").filter("page_id % 3 <> 0").select(F.expr("concat('r', page_id)").alias("ref"), F.expr("concat('content of ', page_id)").alias("content"))
+    return catalogs.replace_references(_trees(spark, sf), "page_id", "json", known)
 
 
 def query_matrix_ids(spark, sf):
@@ -196,7 +206,7 @@ def query_matrix_ids(spark, sf):
 
 def _tree(spark, sf):
     """A directed edge from each version to the next, weighted by matches."""
-    return images.cells(spark, sf).filter("i < j AND j = i + 1").select("family", F.col("i").alias("src"), F.col("j").alias("dst"), (F.col("kp") / 20).alias("weight"))
+    return images.links(spark, sf).filter("i < j AND j = i + 1").select("family", F.col("i").alias("src"), F.col("j").alias("dst"), (F.col("kp") / 20).alias("weight"))
 
 
 def graph_associations(spark, sf):
@@ -216,13 +226,13 @@ def graph_first_seen(spark, sf):
 
 def journal_chain(spark, sf):
     """Links from each image to later versions; the chain takes the smallest."""
-    links = images.cells(spark, sf).filter("i < j").select(F.col("i").alias("source"), F.col("j").alias("target"))
+    links = images.links(spark, sf).filter("i < j").select(F.col("i").alias("source"), F.col("j").alias("target"))
     return graphs.follow_chain(links, links.filter("source % 4 = 0").select(F.col("source").alias("start")).distinct())
 
 
 def originals_and_modified(spark, sf):
     """Links whose two ends are both indexed and differ."""
-    links = images.cells(spark, sf).select("i", "j")
+    links = images.links(spark, sf).select("i", "j")
     world = descriptors(spark, sf).filter("version <> 3").select(F.col("image_id").alias("node")).distinct()
     return links.join(world.withColumnRenamed("node", "i"), "i", "left_semi").join(world.withColumnRenamed("node", "j"), "j", "left_semi").filter("i <> j").select("i", "j")
 
@@ -238,7 +248,22 @@ def cluster_graph(spark, sf):
 
 
 def kruskal_tree(spark, sf):
-    return graphs.kruskal_tree(_probe_cells(spark, sf).withColumn("w", F.col("kp") + F.col("mi")), "probe_id", "w")
+    """Of the joined matrices of matches and mutual information, in which what is absent is poisoned."""
+    own = images.joined_cells(spark, sf).select(F.col("family").alias("probe_id"), (F.col("i") - 4 * F.col("family")).alias("i"), (F.col("j") - 4 * F.col("family")).alias("j"), "value")
+    return graphs.kruskal_tree(own, "probe_id", "value", absent=-0.5)
+
+
+def graph_query(spark, sf):
+    """The whole graph query: for each probe the images reached from it, the measures of their candidate pairs as matrices, the graph grown
+    from the probe, and its edges as associations between files."""
+    starts = matching.bfs_levels(spark, sf)
+    pairs = match.candidate_pairs(starts)
+    both = pairs.unionByName(pairs.select("start", F.col("j").alias("i"), F.col("i").alias("j")))
+    node = lambda c: F.when(F.col(c) == F.col("start"), 0).otherwise(F.col(c) + 1)  # noqa: E731  node 0 is the probe
+    measured = both.join(images.cells(spark, sf), ["i", "j"]).select(F.col("start").alias("probe_id"), node("i").alias("i"), node("j").alias("j"), "kp", "dist", F.col("mi_out").alias("mi"))
+    edges = graphs.cluster_graph(measured, "probe_id").withColumn("weight", F.lit(1.0))
+    named = starts.select(F.col("start").alias("probe_id"), node("node").alias("node"), F.concat(F.lit("world/"), "node", F.lit(".jpg")).alias("name"))
+    return graphs.associations(named, edges, "probe_id")
 
 
 def graph_json_text(spark, sf):
@@ -247,14 +272,14 @@ def graph_json_text(spark, sf):
     a, b = nodes.select("probe_id", F.col("node").alias("src"), F.col("number").alias("source")), nodes.select("probe_id", F.col("node").alias("dst"), F.col("number").alias("target"))
     links = edges.join(a, ["probe_id", "src"]).join(b, ["probe_id", "dst"]).select("probe_id", "source", "target", F.col("weight").alias("confidence"))
     named = nodes.select("probe_id", "number", F.concat(F.lit("world/"), "node", F.lit(".jpg")).alias("file"), F.col("node").cast("string").alias("fileid"), F.lit(1.0).alias("confidence"))
-    return graphs.graph_json(named, links, "probe_id")
+    return graphs.graph_json(named, links.withColumn("confidence", F.round("confidence", 3)), "probe_id")
 
 
 _ALL = (
     image_type_predicate, path_parts, mime_guess, directory_first_wins, rotation90_test, resize_plan, rootsift, bit_unpack, linear_transform, sanitize_vectors, feature_validity,
     keypoint_cap, keypoint_rescale, index_key_parse, ram_capacity, job_partition, feature_offsets, dense_image_ids, topk_by_response, training_sample, world_index_scan, nodes_explode,
     fold_builder, rank_file, manifest_lines, manifest_antijoin, probe_prefix_lookup, resource_references, query_matrix_ids, graph_associations, graph_node_renumber, graph_first_seen,
-    journal_chain, originals_and_modified, cluster_graph, kruskal_tree, graph_json_text,
+    journal_chain, originals_and_modified, cluster_graph, kruskal_tree, graph_json_text, resource_replace, graph_query,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -262,7 +287,20 @@ _LIST = lambda names: ", ".join(f"'{n}'" for n in names)
 _NAME = "regexp_extract(path, '([^/]*)$', 1)"
 _OWN = f"regexp_extract({_NAME}, '\\.([^.]+)$', 1)"
 _RANKED = f"{search.SQL_TALLY}, ranked AS (SELECT q_image, pos, image_id || '.v' || (image_id % 4) || '.jpg' AS name, votes AS score, image_id FROM pos WHERE pos <= 6)"
-_TREE = f"{images.SQL_CELLS}, tree AS (SELECT family, i AS src, j AS dst, kp / 20 AS weight FROM cells WHERE i < j AND j = i + 1)"
+_TREE = f"{images.SQL_LINKS}, tree AS (SELECT family, i AS src, j AS dst, kp / 20 AS weight FROM links WHERE i < j AND j = i + 1)"
+#: Kruskal's rounds: cells of the dense matrix from the heaviest on, and a label for each node; a cell joins two labels or is passed over.
+_KRUSKAL = f"""{images.SQL_JOINED}, pos AS (SELECT DISTINCT family, node FROM (SELECT family, i AS node FROM jn WHERE value > 0 UNION ALL SELECT family, j FROM jn WHERE value > 0)
+), cl AS (
+  SELECT a.family, a.node - 4 * a.family AS i, b.node - 4 * b.family AS j, coalesce(value, -0.5) AS w, row_number() OVER (PARTITION BY a.family ORDER BY coalesce(value, -0.5) DESC, a.node, b.node) AS k
+  FROM pos a JOIN pos b ON a.family = b.family LEFT JOIN jn ON jn.i = a.node AND jn.j = b.node
+), kr AS (
+  WITH RECURSIVE r(family, k, labels, picked) AS (
+    SELECT DISTINCT family, 0::BIGINT, [0, 1, 2, 3]::BIGINT[], []::BIGINT[] FROM cl
+    UNION ALL
+    SELECT r.family, cl.k, if(labels[i + 1] = labels[j + 1], labels, list_transform(labels, lambda x: if(x = labels[j + 1], labels[i + 1], x))), if(labels[i + 1] = labels[j + 1], picked, list_append(picked, cl.k))
+    FROM r JOIN cl ON cl.family = r.family AND cl.k = r.k + 1
+  ) SELECT family, unnest(arg_max(picked, k)) AS k FROM r GROUP BY family
+), tr AS (SELECT family AS probe_id, i AS src, j AS dst, w AS weight FROM kr JOIN cl USING (family, k))"""
 ORACLES = {
     "image_type_predicate": f"WITH {SQL_PATHS} SELECT page_id, lower({_OWN}) IN ({_LIST(scalars.IMAGE_EXTENSIONS)}) AS is_image, {_OWN} IN ({_LIST(scalars.RAW_EXTENSIONS)}) AS is_raw FROM paths",
     "path_parts": f"WITH {SQL_PATHS} SELECT page_id, {_NAME} AS name, lower({_OWN}) AS ext, regexp_replace({_NAME}, '(.)\\.[^.]*$', '\\1') AS stem, path[1:7] AS head FROM paths",
@@ -274,7 +312,7 @@ ORACLES = {
     SELECT vec_id, round_even(nh * w / h, 0)::BIGINT AS fit_w, round_even(nh, 0)::BIGINT AS fit_h, if(512 / w < 1, trunc(w * (512::DOUBLE / w)), w)::BIGINT AS cap_w, if(512 / w < 1, trunc(h * (512::DOUBLE / w)), h)::BIGINT AS cap_h,
       if(w * h > 2073600, round_even(sqrt(2073600 / ratio), 0), w)::BIGINT AS hd_w, if(w * h > 2073600, round_even(ratio * round_even(sqrt(2073600 / ratio), 0), 0), h)::BIGINT AS hd_h FROM p""",
     "rootsift": f"WITH {SQL_E}, a AS (SELECT vec_id, list_transform(e, lambda x: abs(x)) AS e FROM e) SELECT vec_id, i::BIGINT AS i, round(sqrt(e[i + 1] / (list_sum(e) + 1e-8::DOUBLE)), 9) AS v FROM a, (SELECT unnest(range(64)) AS i)",
-    "bit_unpack": f"WITH {SQL_E} SELECT vec_id, 8 * b + k AS i, (floor((e[b + 1] + 1) * 127.5::DOUBLE)::INT >> (7 - k)::INT & 1)::BIGINT AS bit FROM e, (SELECT unnest(range(4)) AS b), (SELECT unnest(range(8)) AS k)",
+    "bit_unpack": f"WITH {SQL_E} SELECT vec_id, 8 * b + k AS i, (floor((e[b + 1] + 1) * 127.5::DOUBLE)::INT >> (7 - k)::INT & 1)::BIGINT AS bit FROM e, (SELECT unnest(range(64)) AS b), (SELECT unnest(range(8)) AS k)",
     "linear_transform": f"""WITH {SQL_E} SELECT vec_id, r, round(list_sum(list_transform(range(64), lambda i: e[i + 1] * (((i * 7 + r * 3) % 11 - 5) / 10))) + [0.5, 0.0, -0.5, 1.0][r + 1]::DOUBLE, 9) AS v
     FROM e, (SELECT unnest(range(4)) AS r)""",
     "sanitize_vectors": f"WITH {SQL_E} SELECT vec_id, len(e) AS n, round(list_sum(list_transform(e, lambda x: x::FLOAT::DOUBLE)), 6) AS total FROM e",
@@ -287,7 +325,7 @@ ORACLES = {
     "feature_offsets": f"WITH {SQL_D}, f AS (SELECT 'img' || lpad(image_id::VARCHAR, 6, '0') AS name, count(*) AS n FROM d GROUP BY image_id) SELECT name, n, (sum(n) OVER (ORDER BY name) - n)::BIGINT AS before, (sum(n) OVER (ORDER BY name))::BIGINT AS upto FROM f",
     "dense_image_ids": f"WITH {SQL_PATHS} SELECT path AS name, row_number() OVER (ORDER BY path) - 1 AS image_id FROM (SELECT DISTINCT path FROM paths)",
     "topk_by_response": f"WITH {SQL_D} SELECT image_id, kp_idx, response FROM (SELECT image_id, kp_idx, round(vec[1], 9) AS response, row_number() OVER (PARTITION BY image_id ORDER BY round(vec[1], 9) DESC, kp_idx) AS r FROM d) WHERE r <= 5",
-    "training_sample": "SELECT 10::BIGINT AS files, 10::BIGINT AS whole",
+    "training_sample": f"WITH {SQL_D}, f AS (SELECT image_id FROM (SELECT DISTINCT image_id FROM d) ORDER BY md5('42:' || image_id), image_id LIMIT 10) SELECT image_id, kp_idx, vec_id FROM d WHERE image_id IN (FROM f)",
     "world_index_scan": f"""WITH {SQL_SIZES} SELECT 'provenance' AS "TaskID", md5(vec_id::VARCHAR) AS "WorldFileID", 'world/' || md5(vec_id::VARCHAR) || '.jpg' AS "WorldFileName", w::INT AS "WorldWidth", h::INT AS "WorldHeight", '/data/world/' || md5(vec_id::VARCHAR) || '.jpg' AS path FROM sizes""",
     "nodes_explode": f"{_RANKED} SELECT q_image, pos, 'world/' || name AS file, image_id || '.v' || (image_id % 4) AS fileid, score FROM ranked",
     "fold_builder": f"{_RANKED} SELECT q_image::VARCHAR AS fold_id, q_image, pos, name FROM ranked WHERE pos BETWEEN 2 AND 4",
@@ -295,8 +333,13 @@ ORACLES = {
     "manifest_lines": f"""WITH {SQL_D}, p AS (SELECT DISTINCT q_image AS q FROM probes) SELECT q::VARCHAR AS "ProvenanceProbeFileID", 1.0::DOUBLE AS "ConfidenceScore",
       if(q % 3 <> 0, 'json/' || q || '.json', '') AS "ProvenanceOutputFileName", if(q % 3 <> 0, 'Processed', 'NonProcessed') AS "ProvenanceProbeStatus" FROM p""",
     "manifest_antijoin": f"WITH {SQL_PATHS} SELECT path FROM paths WHERE path NOT IN (SELECT path FROM paths WHERE page_id % 5 IN (0, 1, 3))",
-    "probe_prefix_lookup": "SELECT 'p' || (page_id // 2) AS id, 'world/p' || (page_id // 2) || '.0.jpg' AS path FROM pages WHERE page_id % 4 = 0",
-    "resource_references": "SELECT page_id, 'image' AS key, 'r' || page_id AS ref, 'resource' AS kind FROM pages UNION ALL SELECT page_id, 'mask', 'file:///m/' || page_id, 'indirect' FROM pages",
+    "probe_prefix_lookup": """WITH i AS (SELECT DISTINCT 'p' || (page_id // 2) AS id FROM pages), f AS (SELECT 'p' || (page_id // 2) || '.' || (page_id % 2) || '.jpg' AS name FROM pages)
+    SELECT id, min('world/' || name) AS path FROM i JOIN f ON starts_with(name, id) GROUP BY id""",
+    "resource_references": """SELECT page_id, unnest(['image', 'parts.0.mask', 'parts.1.mask']) AS key, unnest(['r' || page_id, 'file:///m/' || page_id, 'r' || page_id]) AS ref, unnest(['resource', 'indirect', 'resource']) AS kind FROM pages""",
+    "resource_replace": """SELECT page_id, if(page_id % 3 <> 0,
+      '{"image":"content of ' || page_id || '","n":' || page_id || ',"note":{"text":"$resource"},"parts":[{"mask":{"$indirect":"file:///m/' || page_id || '"}},{"mask":"content of ' || page_id || '"}]}',
+      '{"image":{"$resource":"r' || page_id || '"},"n":' || page_id || ',"note":{"text":"$resource"},"parts":[{"mask":{"$indirect":"file:///m/' || page_id || '"}},{"mask":{"$resource":"r' || page_id || '"}}]}') AS json FROM pages""",
+    "kruskal_tree": f"{_KRUSKAL} SELECT * FROM tr",
     "query_matrix_ids": f"WITH {SQL_D} SELECT dense_rank() OVER (ORDER BY image_id) - 1 AS qid, kp_idx, row_number() OVER (ORDER BY image_id, kp_idx) - 1 AS row FROM d WHERE version = 1",
     "graph_associations": f"{_TREE} SELECT family, src || '.jpg' AS source, dst || '.jpg' AS target, weight AS score FROM tree WHERE src % 4 <> 2 AND dst % 4 <> 2",
     "graph_node_renumber": f"""{_TREE}, n AS (SELECT family, src AS node FROM tree UNION SELECT family, dst FROM tree UNION SELECT family, 0 FROM tree)
@@ -304,8 +347,8 @@ ORACLES = {
     "graph_first_seen": f"""{_TREE}, o AS (SELECT family, src, dst, row_number() OVER (PARTITION BY family ORDER BY dst DESC) - 1 AS pos FROM tree
     ), s AS (SELECT family, 'n' || src AS name, 2 * pos AS k FROM o UNION ALL SELECT family, 'n' || dst, 2 * pos + 1 FROM o), f AS (SELECT family, name, min(k) AS k FROM s GROUP BY ALL)
     SELECT family, name, row_number() OVER (PARTITION BY family ORDER BY k) - 1 AS number FROM f""",
-    "journal_chain": f"""{images.SQL_CELLS}, l AS (SELECT i AS source, min(j) AS target FROM cells WHERE i < j GROUP BY i
+    "journal_chain": f"""{images.SQL_LINKS}, l AS (SELECT i AS source, min(j) AS target FROM links WHERE i < j GROUP BY i
     ), c AS (WITH RECURSIVE w(start, step, node) AS (SELECT source, 0::BIGINT, source FROM l WHERE source % 4 = 0 UNION ALL SELECT start, step + 1, target FROM w JOIN l ON source = node) SELECT * FROM w)
     SELECT * FROM c""",
-    "originals_and_modified": f"{images.SQL_CELLS} SELECT i, j FROM cells WHERE i % 4 <> 3 AND j % 4 <> 3",
+    "originals_and_modified": f"{images.SQL_LINKS} SELECT i, j FROM links WHERE i % 4 <> 3 AND j % 4 <> 3",
 }

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinmap.operators import matrices, pixels
+from kinmap.operators import match, matrices, pixels
 from kinmap.plans import matching
-from kinmap.plans.fixtures import SQL_P, patches, vectors
+from kinmap.plans.fixtures import SQL_P, descriptors, patches, vectors
+from kinmap.session import checkpointed
 
 #: Neighbouring patches are compared: vec_id with the next of its family.
 SQL_PAIRS = SQL_P + ", pr AS (SELECT a.vec_id AS i, b.vec_id AS j, a.y, a.x, a.v AS a, b.v AS b FROM p a JOIN p b ON b.vec_id = a.vec_id + 1 AND a.vec_id % 20 < 19 AND a.y = b.y AND a.x = b.x)"
@@ -22,33 +23,85 @@ def id_pairs(spark, sf, a, b):
     return vectors(spark, sf).filter("vec_id % 20 < 19").select(F.col("vec_id").alias(a), (F.col("vec_id") + 1).alias(b))
 
 
+def links(spark, sf):
+    """Both directions of the matched pairs of a family's images: family, i, j, kp, dist."""
+    sym = match.symmetric(checkpointed(match.pair_stats(matching.ratio_test_matches(spark, sf), digits=None)))
+    return sym.filter("i div 4 = j div 4").select(F.expr("i div 4").alias("family"), "i", "j", F.col("kp_count").alias("kp"), F.col("avg_dist").alias("dist"))
+
+
+SQL_LINKS = matching.SQL_RATIO + """, st AS (SELECT i, j, count(*) AS kp, sum(dist::DECIMAL(28, 9))::DOUBLE / count(*) AS dist FROM m GROUP BY ALL
+), links AS (SELECT i // 4 AS family, i, j, kp, dist FROM (SELECT * FROM st UNION ALL SELECT j, i, kp, dist FROM st) WHERE i // 4 = j // 4)"""
+
+
+def thumbnails(spark, sf):
+    """8 x 8 gray values of each image: the vector of its last keypoint. image, y, x, v."""
+    rows = descriptors(spark, sf).filter("kp_idx = 19").select(F.col("image_id").alias("image"), F.posexplode("vec").alias("i", "c"))
+    return rows.select("image", F.expr("i div 8").alias("y"), F.expr("cast(i % 8 AS bigint)").alias("x"), F.expr("cast(least(255, greatest(0, floor((c + 1) * 127.5D))) AS double)").alias("v"))
+
+
+def pair_similarity(spark, sf):
+    """Mutual information (256 bins) and mean squared error of each linked pair, in both directions: the first image's values are moved to
+    the second's at the same quantiles."""
+    return pixels.pair_similarity(links(spark, sf).select("i", "j"), thumbnails(spark, sf))
+
+
+SQL_SIMILAR = SQL_LINKS + """, th AS (
+  SELECT image_id AS image, k // 8 AS y, k % 8 AS x, least(255, greatest(0, floor((vec[k + 1] + 1) * 127.5::DOUBLE)))::DOUBLE AS v FROM d, (SELECT unnest(range(64)) AS k) WHERE kp_idx = 19
+), tc AS (SELECT image, v, count(*) AS n FROM th GROUP BY ALL
+), tq AS (SELECT image, v, sum(n) OVER (PARTITION BY image ORDER BY v) / sum(n) OVER (PARTITION BY image) AS q FROM tc
+), tt AS (SELECT *, lead(q) OVER w AS nq, lead(v) OVER w AS nv, first_value(q) OVER w AS fq, first_value(v) OVER w AS fv FROM tq WINDOW w AS (PARTITION BY image ORDER BY v)
+), mv AS (
+  SELECT l.i, l.j, s.v, round(if((s.q < fq AND t.v = fv) OR nq IS NULL, t.v, t.v + (s.q - t.q) / (nq - t.q) * (nv - t.v)), 6) AS w
+  FROM links l JOIN tq s ON s.image = l.i JOIN tt t ON t.image = l.j WHERE (t.q <= s.q AND (nq IS NULL OR s.q < nq)) OR (s.q < fq AND t.v = fv)
+), pp AS (SELECT mv.i, mv.j, mv.w AS a, b.v AS b FROM mv JOIN th a ON a.image = mv.i AND a.v = mv.v JOIN th b ON b.image = mv.j AND b.y = a.y AND b.x = a.x
+), pr2 AS (SELECT *, min(a) OVER w AS la, max(a) OVER w AS ha, min(b) OVER w AS lb, max(b) OVER w AS hb FROM pp WINDOW w AS (PARTITION BY i, j)
+), pt AS (SELECT i, j, (ha - la) * (1 + 1.0::DOUBLE / 255) <= 1 OR (hb - lb) * (1 + 1.0::DOUBLE / 255) <= 1 AS flat,
+    least(floor((a - (la - 0.5::DOUBLE * (ha - la) / 255)) / (ha - la + 2 * (0.5::DOUBLE * (ha - la) / 255)) * 256), 255)::BIGINT AS ba,
+    least(floor((b - (lb - 0.5::DOUBLE * (hb - lb) / 255)) / (hb - lb + 2 * (0.5::DOUBLE * (hb - lb) / 255)) * 256), 255)::BIGINT AS bb FROM pr2
+), pj AS (SELECT i, j, flat, ba, bb, count(*) / 64 AS s FROM pt GROUP BY ALL
+), h1 AS (SELECT i, j, -sum(s * log2(s)) AS h FROM (SELECT i, j, ba, sum(s) AS s FROM pj GROUP BY ALL) GROUP BY ALL
+), h2 AS (SELECT i, j, -sum(s * log2(s)) AS h FROM (SELECT i, j, bb, sum(s) AS s FROM pj GROUP BY ALL) GROUP BY ALL
+), h3 AS (SELECT i, j, bool_or(flat) AS flat, -sum(s * log2(s)) AS h FROM pj GROUP BY ALL
+), se AS (SELECT i, j, round(avg((a - b) ^ 2), 6) AS mse FROM pp GROUP BY ALL
+), sim AS (SELECT i, j, round(if(flat, 0, h1.h + h2.h - h3.h), 6) AS mi, mse FROM h1 JOIN h2 USING (i, j) JOIN h3 USING (i, j) JOIN se USING (i, j))"""
+
+
 def cells(spark, sf):
-    """Both directions of the matched pairs as matrices of a family's images: family, i, j, kp, dist, mi_out, mi_in."""
-    sym = matching.symmetric_adjacency(spark, sf)
-    mi = lambda a, b: F.round(((F.col(a) * 7 + F.col(b) * 3) % 11) / 10, 6)  # noqa: E731  any directed measure serves
-    return sym.filter("i div 4 = j div 4").select(F.expr("i div 4").alias("family"), "i", "j", F.col("kp_count").alias("kp"), F.col("avg_dist").alias("dist"), mi("i", "j").alias("mi_out"), mi("j", "i").alias("mi_in"))
+    """The matrices of a family's images as rows: family, i, j, kp, dist, mi_out (i to j), mi_in, mse."""
+    own = links(spark, sf)
+    sim = checkpointed(pixels.pair_similarity(own.select("i", "j"), thumbnails(spark, sf)))
+    back = sim.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("mi").alias("mi_in"))
+    return own.join(sim.withColumnRenamed("mi", "mi_out"), ["i", "j"]).join(back, ["i", "j"]).select("family", "i", "j", "kp", "dist", "mi_out", "mi_in", "mse")
 
 
-SQL_CELLS = matching.SQL_RATIO + """, st AS (SELECT i, j, count(*) AS kp, round(avg(dist), 6) AS dist FROM m GROUP BY ALL
-), cells AS (
-  SELECT i // 4 AS family, i, j, kp, dist, round((i * 7 + j * 3) % 11 / 10, 6) AS mi_out, round((j * 7 + i * 3) % 11 / 10, 6) AS mi_in
-  FROM (SELECT * FROM st UNION ALL SELECT j, i, kp, dist FROM st) WHERE i // 4 = j // 4
+SQL_CELLS = SQL_SIMILAR + """, cells AS (
+  SELECT family, i, j, kp, dist, a.mi AS mi_out, b.mi AS mi_in, a.mse FROM links l JOIN sim a USING (i, j) JOIN sim b ON b.i = l.j AND b.j = l.i
 )"""
 
 
 def _norms(spark, sf):
-    own = cells(spark, sf)
-    kp = matrices.min_max(own.select("family", "i", "j", F.col("kp").cast("double").alias("value")), ["family"], False)
-    dist = matrices.min_max(own.select("family", "i", "j", F.col("dist").alias("value")), ["family"], True)
-    return kp.withColumn("kind", F.lit("kp")).unionByName(dist.withColumn("kind", F.lit("dist")))
-
-
-SQL_NORMS = SQL_CELLS + """, bo AS (
-  SELECT 'kp' AS kind, family, i, j, kp::DOUBLE AS s, kp = 0 AS absent, kp::DOUBLE AS known FROM cells
-  UNION ALL SELECT 'dist', family, i, j, -dist, dist = -1, if(dist = -1, NULL, -dist) FROM cells
+    """Four matrices of each family, normalised: kp, dist, mi, mse."""
+    own = checkpointed(cells(spark, sf))
+    each = {"kp": ("kp", False), "dist": ("dist", True), "mi": ("mi_out", False), "mse": ("mse", True)}
+    out = None
+    for kind, (column, dissimilar) in each.items():
+        norm = matrices.min_max(own.select("family", "i", "j", F.col(column).cast("double").alias("value")), ["family"], dissimilar).withColumn("kind", F.lit(kind))
+        out = norm if out is None else out.unionByName(norm)
+    return out
+
+
+#: From the dense matrices: n x n with n images of a family, 0 where a similarity is absent, -1 where a dissimilarity is.
+SQL_NORMS = SQL_CELLS + """, im AS (SELECT DISTINCT family, i AS image FROM cells
+), kinds AS (SELECT unnest(['kp', 'dist', 'mi', 'mse']) AS kind
+), dense AS (
+  SELECT kind, a.family, a.image AS i, b.image AS j, c.i IS NOT NULL AS there,
+    CASE kind WHEN 'kp' THEN coalesce(c.kp, 0) WHEN 'mi' THEN coalesce(c.mi_out, 0) WHEN 'dist' THEN -coalesce(c.dist, -1) ELSE -coalesce(c.mse, -1) END::DOUBLE AS s
+  FROM kinds, im a JOIN im b ON a.family = b.family LEFT JOIN cells c ON c.i = a.image AND c.j = b.image
+), rng AS (
+  SELECT kind, family, min(s) FILTER (kind IN ('kp', 'mi') OR s <> 1) AS lo, max(s) FILTER (kind IN ('kp', 'mi') OR s <> 1) AS hi FROM dense GROUP BY ALL
 ), norms AS (
-  SELECT kind, family, i, j, round(if(absent OR lo IS NULL OR hi = lo, -1, (s - lo) / (hi - lo)), 6) AS norm
-  FROM (SELECT *, min(known) OVER (PARTITION BY kind, family) AS lo, max(known) OVER (PARTITION BY kind, family) AS hi FROM bo)
+  SELECT kind, family, i, j, round(if((kind IN ('kp', 'mi') AND s = 0) OR (kind IN ('dist', 'mse') AND s = 1) OR lo IS NULL OR hi = lo, -1, (s - lo) / (hi - lo)), 6) AS norm
+  FROM dense JOIN rng USING (kind, family) WHERE there
 )"""
 
 
@@ -56,13 +109,21 @@ def matrix_minmax_norm(spark, sf):
     return _norms(spark, sf)
 
 
+def joined_cells(spark, sf):
+    """The mean of the normalised matrices of matches and mutual information."""
+    return matrices.join_matrices(_norms(spark, sf).filter("kind IN ('kp', 'mi')"), ["family"], 2)
+
+
+SQL_JOINED = SQL_NORMS + ", jn AS (SELECT family, i, j, if(bool_or(norm = -1), -1, sum(norm)) / 2 AS value FROM norms WHERE kind IN ('kp', 'mi') GROUP BY family, i, j)"
+
+
 def matrix_join_poison(spark, sf):
-    return matrices.join_matrices(_norms(spark, sf), ["family"], 2)
+    return matrices.join_matrices(_norms(spark, sf), ["family"], 4)
 
 
 def near_duplicate_stats(spark, sf):
     """Sets: versions 0 to 2 of each family; targets: version 3."""
-    own = cells(spark, sf)
+    own = links(spark, sf)
     sets = own.filter("i % 4 < 3").select(F.col("family").alias("set_id"), F.col("i").alias("node")).distinct()
     return matrices.near_duplicate_gate(sets, own.select("i", "j", "kp"), own.filter("j % 4 = 3").select(F.col("family").alias("set_id"), F.col("j").alias("target")).distinct())
 
@@ -134,20 +195,21 @@ def patch_extraction(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        matrix_minmax_norm, matrix_join_poison, near_duplicate_stats, strongest_link, histogram256, entropy, mutual_information, mse, histogram_match, histogram_intersection,
+        pair_similarity, matrix_minmax_norm, matrix_join_poison, near_duplicate_stats, strongest_link, histogram256, entropy, mutual_information, mse, histogram_match, histogram_intersection,
         psnr_decision, scale_image_sigma, scale_image_plain, otsu_threshold, mean_mask, flip_vertical, rotate_90, patch_extraction,
     )
 }
 _HIST = f"WITH {SQL_P}, h AS (SELECT vec_id, floor(v)::BIGINT AS bin, count(*) AS n FROM p GROUP BY ALL)"
 ORACLES = {
+    "pair_similarity": f"{SQL_SIMILAR} SELECT * FROM sim",
     "matrix_minmax_norm": f"{SQL_NORMS} SELECT * FROM norms",
-    "matrix_join_poison": f"{SQL_NORMS} SELECT family, i, j, if(bool_or(norm = -1), -1, sum(norm)) / 2 AS value FROM norms GROUP BY family, i, j",
-    "near_duplicate_stats": f"""{SQL_CELLS}, s AS (SELECT DISTINCT family, i AS node FROM cells WHERE i % 4 < 3), sz AS (SELECT family, count(*) AS size FROM s GROUP BY ALL
-    ), ins AS (SELECT a.family, coalesce(kp, 0) AS kp FROM s a JOIN s b ON a.family = b.family AND a.node < b.node LEFT JOIN cells c ON c.i = a.node AND c.j = b.node
+    "matrix_join_poison": f"{SQL_NORMS} SELECT family, i, j, if(bool_or(norm = -1), -1, sum(norm)) / 4 AS value FROM norms GROUP BY family, i, j",
+    "near_duplicate_stats": f"""{SQL_LINKS}, s AS (SELECT DISTINCT family, i AS node FROM links WHERE i % 4 < 3), sz AS (SELECT family, count(*) AS size FROM s GROUP BY ALL
+    ), ins AS (SELECT a.family, coalesce(kp, 0) AS kp FROM s a JOIN s b ON a.family = b.family AND a.node < b.node LEFT JOIN links c ON c.i = a.node AND c.j = b.node
     ), st2 AS (SELECT family, avg(kp) AS mean, stddev_pop(kp) AS std FROM ins GROUP BY ALL
-    ), tg AS (SELECT DISTINCT family, j AS target FROM cells WHERE j % 4 = 3
+    ), tg AS (SELECT DISTINCT family, j AS target FROM links WHERE j % 4 = 3
     ), o AS (SELECT tg.family, target, size, mean, std, count(*) FILTER (coalesce(kp, 0) < mean - std OR coalesce(kp, 0) > mean + std) AS outside
-      FROM tg JOIN s USING (family) JOIN sz USING (family) LEFT JOIN st2 USING (family) LEFT JOIN cells c ON c.i = s.node AND c.j = target GROUP BY ALL)
+      FROM tg JOIN s USING (family) JOIN sz USING (family) LEFT JOIN st2 USING (family) LEFT JOIN links c ON c.i = s.node AND c.j = target GROUP BY ALL)
     SELECT family AS set_id, target, round(mean, 6) AS mean, round(std, 6) AS std, outside, size <= 2 OR outside <= size / 2 AS passes FROM o""",
     "strongest_link": f"""{SQL_CELLS} SELECT family, i AS node, j AS best, CASE WHEN mi_out > mi_in THEN 0 WHEN mi_out < mi_in THEN 1 ELSE -1 END::BIGINT AS direction, kp
     FROM (SELECT *, row_number() OVER (PARTITION BY family, i ORDER BY kp DESC, greatest(mi_out, mi_in) DESC, j) AS r FROM cells

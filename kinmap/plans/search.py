@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from kinmap.operators import knn, votes
+from kinmap.operators import knn, training, votes
 from kinmap.operators.ordering import dense_ids
 from kinmap.plans.fixtures import SQL_D, SQL_E, base, descriptors, probes, vectors
+from kinmap.session import checkpointed
+from kinmap.streaming.ingest import merge_lists
 
 K = 10
 
@@ -97,15 +101,22 @@ def object_vote_tally(spark, sf):
     return votes.top_images(votes.tally(own, ["q_image", "object_id"]), ["q_image", "object_id"], 2).select("q_image", "object_id", "image_id", "votes")
 
 
+#: Neighbours of a probe's keypoint in the second search.
+K2 = 15
+
+
 def two_tier_filter(spark, sf):
-    """Tier 1: top 5 of each probe. Where its best normalised score is over the gate, tier 2 votes object by object without tier 1's
-    images, keeps the best two of each object, and is merged in; scores are then relative to the first."""
+    """Tier 1: top 5 of each probe. Where its best normalised score is over the gate, tier 2 searches again with each of the probe's objects,
+    deeper and without tier 1's images, and keeps the best two of each object; of objects that name one image the last counts, and
+    tier 2's score replaces tier 1's. Scores are then relative to the first."""
     found = hits(spark, sf)
     most = votes.max_vote(probes(spark, sf), ["q_image"], K)
     tier1 = votes.top_images(votes.tally(found, ["q_image"]), ["q_image"], 5)
     passed = tier1.filter("pos = 1").join(most, "q_image").filter("votes / max_vote > 0.03").select("q_image")
-    rest = votes.ignore(found.withColumn("object_id", F.expr("(q_id % 100) div 8")).join(passed, "q_image", "left_semi"), tier1, ["q_image", "image_id"])
-    tier2 = votes.top_images(votes.tally(rest, ["q_image", "object_id"]), ["q_image", "object_id"], 2).groupBy("q_image", "image_id").agg(F.max("votes").alias("votes"))
+    again = knn.knn_exact(probes(spark, sf).join(passed, "q_image", "left_semi"), base(spark, sf), K2)
+    second = again.select(F.expr("q_id div 100").alias("q_image"), F.expr("(q_id % 100) div 8").alias("object_id"), F.expr("b_id div 100").alias("image_id"), "rank")
+    rest = votes.ignore(second, tier1, ["q_image", "image_id"])
+    tier2 = votes.top_images(votes.tally(rest, ["q_image", "object_id"]), ["q_image", "object_id"], 2).groupBy("q_image", "image_id").agg(F.max_by("votes", "object_id").alias("votes"))
     merged = votes.positions(votes.merge_scores(tier1, tier2, ["q_image", "image_id"]), ["q_image"])
     return votes.normalize_by_first(merged, ["q_image"]).select("q_image", "image_id", F.col("pos").cast("long").alias("pos"), "norm")
 
@@ -136,7 +147,11 @@ def coarse_assign(spark, sf):
     return knn.closest_lists(base(spark, sf), centroids(spark, sf), "b_id").select("b_id", "list_id", "list_dist")
 
 
-def ivf_probe_search(spark, sf, nprobe=2):
+#: Lists that the registered search looks at, of ten; ``recall_at_k`` tells what it finds.
+NPROBE = 9
+
+
+def ivf_probe_search(spark, sf, nprobe=NPROBE):
     cs = centroids(spark, sf)
     found = knn.knn_ivf(probes(spark, sf), knn.build_lists(base(spark, sf), cs), cs, K, nprobe)
     return found.select("q_id", "b_id", "dist", F.col("rank").cast("long").alias("rank"))
@@ -150,45 +165,85 @@ SQL_IVF = f"""WITH {SQL_D}{SQL_CENTROIDS}, lists AS (
 
 
 def pq_codebook(spark, sf):
-    rows = vectors(spark, sf).filter("vec_id < 16").withColumn("sub", F.explode(F.expr("sequence(0, 7)")))
-    return rows.select("sub", F.col("vec_id").alias("code"), F.expr("slice(e, sub * 8 + 1, 8)").alias("centroid"))
+    """256 codes for each of 8 slices: the offsets of the first vectors from the centroids of their lists."""
+    near = knn.closest_lists(vectors(spark, sf).select("vec_id", F.col("e").alias("vec")).filter("vec_id < 256"), centroids(spark, sf), "vec_id", residuals=True)
+    rows = near.withColumn("sub", F.explode(F.expr("sequence(0, 7)")))
+    return rows.select("sub", F.col("vec_id").alias("code"), F.expr("slice(residual, sub * 8 + 1, 8)").alias("centroid"))
 
 
-SQL_PQ = f"""WITH {SQL_D}, book AS (SELECT sub, vec_id AS code, e[sub * 8 + 1 : sub * 8 + 8] AS centroid FROM e, (SELECT unnest(range(8)) AS sub) WHERE vec_id < 16
+SQL_PQ = SQL_IVF + """, off AS (
+  SELECT vec_id, list_transform(range(64), lambda i: e[i + 1] - centroid[i + 1]) AS res
+  FROM (SELECT vec_id, e, centroid, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_distance(e, centroid), 9), list_id) AS r FROM e, cs WHERE vec_id < 256) WHERE r = 1
+), book AS (SELECT sub, vec_id AS code, res[sub * 8 + 1 : sub * 8 + 8] AS centroid FROM off, (SELECT unnest(range(8)) AS sub)
+), left_ AS (SELECT b_id, list_id, list_transform(range(64), lambda i: vec[i + 1] - centroid[i + 1]) AS res FROM lists JOIN cs USING (list_id)
 ), coded AS (
-  SELECT b_id, sub, code FROM (SELECT b_id, sub, code, row_number() OVER (PARTITION BY b_id, sub ORDER BY round(list_distance(vec[sub * 8 + 1 : sub * 8 + 8], centroid), 9), code) AS r FROM base, book) WHERE r = 1
+  SELECT b_id, list_id, sub, code FROM (SELECT b_id, list_id, sub, code, row_number() OVER (PARTITION BY b_id, sub ORDER BY round(list_distance(res[sub * 8 + 1 : sub * 8 + 8], centroid), 9), code) AS r FROM left_, book) WHERE r = 1
 )"""
 
 
 def pq_encode(spark, sf):
-    coded = knn.pq_encode(base(spark, sf), pq_codebook(spark, sf), "b_id", 8)
-    return coded.select("b_id", F.posexplode("codes").alias("sub", "code")).select("b_id", F.col("sub").cast("long").alias("sub"), F.col("code").cast("long").alias("code"))
+    """Inverted lists of coded residuals."""
+    coded = knn.build_pq_lists(base(spark, sf), centroids(spark, sf), pq_codebook(spark, sf), 8)
+    return coded.select("b_id", "list_id", F.posexplode("codes").alias("sub", "code")).select("b_id", "list_id", F.col("sub").cast("long").alias("sub"), F.col("code").cast("long").alias("code"))
+
+
+def ivfpq_search(spark, sf):
+    """Search over the codes of the four closest lists."""
+    cs, book = centroids(spark, sf), pq_codebook(spark, sf)
+    found = knn.knn_ivfpq(probes(spark, sf), knn.build_pq_lists(base(spark, sf), cs, book, 8), cs, book, 5, 4, 8)
+    return found.select("q_id", "b_id", "dist", F.col("rank").cast("long").alias("rank"))
 
 
 def adc_search(spark, sf):
-    book = pq_codebook(spark, sf)
+    """Search over all codes, of whole vectors."""
+    book = vectors(spark, sf).filter("vec_id < 256").withColumn("sub", F.explode(F.expr("sequence(0, 7)"))).select("sub", F.col("vec_id").alias("code"), F.expr("slice(e, sub * 8 + 1, 8)").alias("centroid"))
     found = knn.adc_search(probes(spark, sf), knn.pq_encode(base(spark, sf), book, "b_id", 8), book, 5, 8)
     return found.select("q_id", "b_id", "dist", F.col("rank").cast("long").alias("rank"))
 
 
+def trained_index(spark, sf, lists=8, codes=256, subs=16):
+    """(rotated queries, rotated base, centroids, code books): an index whose rotation, lists and codes are trained on the world's vectors."""
+    rows = base(spark, sf)
+    codes, lists = min(codes, rows.count()), min(lists, training.most_lists(rows.count()))
+    rotation = training.optimized_rotation(rows, subs, codes, rounds=3)
+    turn = lambda df, key: training.transformed(df, key, np.zeros(len(rotation)), rotation.T)
+    q, b = turn(probes(spark, sf), "q_id"), turn(rows, "b_id")
+    cs = training.coarse_centroids(b, lists)
+    near = knn.closest_lists(b, cs, "b_id", residuals=True)
+    return q, b, cs, training.code_books(near.select(F.col("residual").alias("vec")), subs, codes)
+
+
+def ivfpq_recall(spark, sf):
+    """Share of the 10 exact neighbours that a trained index finds: 50 candidates by code from the closest lists, ranked anew by their
+    vectors."""
+    q, b, cs, books = trained_index(spark, sf)
+    exact = hits(spark, sf).select("q_id", "b_id")
+    total, out = exact.agg(F.count("*").alias("total")), None
+    lists = knn.build_pq_lists(b, cs, books, 16)
+    for nprobe in (2, 4, 8):
+        near = knn.reranked(knn.knn_ivfpq(q, lists, cs, books, 50, nprobe, 16), q, b, K)
+        own = near.join(exact, ["q_id", "b_id"]).agg(F.count("*").alias("found")).join(total).select(F.lit(nprobe).cast("long").alias("nprobe"), F.round(F.col("found") / F.col("total"), 6).alias("recall"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def invlist_merge_counts(spark, sf):
     """Lists of three index shards, merged list by list."""
-    cs, merged = centroids(spark, sf), None
-    for shard in range(3):
-        own = knn.closest_lists(base(spark, sf).filter(f"image_id % 3 = {shard}"), cs, "b_id").select("b_id", "list_id", F.lit(shard).alias("shard_id"))
-        merged = own if merged is None else merged.unionByName(own)
-    return merged.groupBy("list_id").agg(F.count("*").alias("n"), F.countDistinct("shard_id").alias("shards"), F.min("b_id").alias("first"), F.max("b_id").alias("last"))
+    cs = centroids(spark, sf)
+    shards = [knn.closest_lists(base(spark, sf).filter(f"image_id % 3 = {shard}"), cs, "b_id").select("b_id", "list_id", F.lit(shard).alias("shard_id")) for shard in range(3)]
+    return merge_lists(*shards).groupBy("list_id").agg(F.count("*").alias("n"), F.countDistinct("shard_id").alias("shards"), F.min("b_id").alias("first"), F.max("b_id").alias("last"))
 
 
 def recall_at_k(spark, sf):
-    """Share of the exact neighbours that a search over 1, 2 and 4 lists finds."""
+    """Share of the exact neighbours that a search over the closest 1, 2, 4 and 9 lists finds, from one search over nine."""
+    cs = centroids(spark, sf)
     exact = hits(spark, sf).select("q_id", "b_id")
-    out = None
-    for nprobe in (1, 2, 4):
-        own = ivf_probe_search(spark, sf, nprobe).select("q_id", "b_id").join(exact, ["q_id", "b_id"]).agg(F.count("*").alias("found"))
-        own = own.crossJoin(exact.agg(F.count("*").alias("total"))).select(F.lit(nprobe).cast("long").alias("nprobe"), F.round(F.col("found") / F.col("total"), 6).alias("recall"))
-        out = own if out is None else out.unionByName(own)
-    return out
+    found = checkpointed(knn.ivf_hits(probes(spark, sf), knn.build_lists(base(spark, sf), cs), cs, K, NPROBE))
+    each = found.withColumn("nprobe", F.explode(F.array(*(F.lit(n).cast("long") for n in (1, 2, 4, NPROBE))))).filter("place <= nprobe")
+    order = Window.partitionBy("nprobe", "q_id").orderBy("dist", "b_id")
+    top = each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= K)
+    total = exact.count()
+    return top.join(exact, ["q_id", "b_id"]).groupBy("nprobe").agg(F.round(F.count("*") / total, 6).alias("recall"))
 
 
 def rebatch(spark, sf):
@@ -201,7 +256,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         knn_exact_topk, vote_tally_weighted, vote_tally_unweighted, score_normalize_max, topn_before_name_join, score_normalize_first, pair_down, ignore_list_filter,
-        shard_merge_topk, heuristic_score_merge, object_vote_tally, two_tier_filter, flip_query_concat, knn_graph, coarse_assign, ivf_probe_search, pq_encode, adc_search,
+        shard_merge_topk, heuristic_score_merge, object_vote_tally, two_tier_filter, flip_query_concat, knn_graph, coarse_assign, ivf_probe_search, pq_encode, ivfpq_search, adc_search, ivfpq_recall,
         invlist_merge_counts, recall_at_k, rebatch,
     )
 }
@@ -228,9 +283,10 @@ ORACLES = {
     "two_tier_filter": f"""{SQL_TALLY}, m AS (SELECT q_image, count(*) * {_H!r}::DOUBLE AS max_vote FROM probes GROUP BY ALL
     ), tier1 AS (SELECT * FROM pos WHERE pos <= 5
     ), passed AS (SELECT q_image FROM tier1 JOIN m USING (q_image) WHERE pos = 1 AND votes / max_vote > 0.03
-    ), rest AS (SELECT q_image, q_id % 100 // 8 AS object_id, image_id, rank FROM hits h WHERE q_image IN (FROM passed) AND NOT EXISTS (FROM tier1 t WHERE t.q_image = h.q_image AND t.image_id = h.image_id)
-    ), t2 AS (SELECT q_image, object_id, image_id, round(sum(1.0::DOUBLE / rank), 6) AS votes FROM rest GROUP BY ALL
-    ), tier2 AS (SELECT q_image, image_id, max(votes) AS votes FROM (SELECT *, row_number() OVER (PARTITION BY q_image, object_id ORDER BY votes DESC, image_id DESC) AS r FROM t2) WHERE r <= 2 GROUP BY ALL
+    ), again AS (SELECT q_image, q_id % 100 // 8 AS object_id, image_id, rank FROM all_hits h WHERE rank <= {K2} AND q_image IN (FROM passed)
+      AND NOT EXISTS (FROM tier1 t WHERE t.q_image = h.q_image AND t.image_id = h.image_id)
+    ), t2 AS (SELECT q_image, object_id, image_id, round(sum(1.0::DOUBLE / rank), 6) AS votes FROM again GROUP BY ALL
+    ), tier2 AS (SELECT q_image, image_id, arg_max(votes, object_id) AS votes FROM (SELECT *, row_number() OVER (PARTITION BY q_image, object_id ORDER BY votes DESC, image_id DESC) AS r FROM t2) WHERE r <= 2 GROUP BY ALL
     ), merged AS (SELECT q_image, image_id, votes FROM tier1 UNION ALL SELECT q_image, image_id, votes FROM tier2
     ), final AS (SELECT *, row_number() OVER (PARTITION BY q_image ORDER BY votes DESC, image_id DESC) AS pos FROM merged)
     SELECT q_image, image_id, pos, round(votes / first_value(votes) OVER (PARTITION BY q_image ORDER BY pos), 6) AS norm FROM final""",
@@ -241,15 +297,22 @@ ORACLES = {
     SELECT q_id, b_id, dist, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, b_id) AS rank FROM r) WHERE rank <= 5""",
     "coarse_assign": f"""WITH {SQL_D}{SQL_CENTROIDS} SELECT b_id, list_id, list_dist FROM (
       SELECT b_id, list_id, list_dist, row_number() OVER (PARTITION BY b_id ORDER BY list_dist, list_id) AS r FROM (SELECT b_id, list_id, round(list_distance(vec, centroid), 9) AS list_dist FROM base, cs)) WHERE r = 1""",
-    "ivf_probe_search": f"""{SQL_IVF}, x AS (SELECT q_id, b_id, round(list_distance(w.vec, l.vec), 9) AS dist FROM wanted w JOIN lists l USING (list_id) WHERE r <= 2)
+    "ivf_probe_search": f"""{SQL_IVF}, x AS (SELECT q_id, b_id, round(list_distance(w.vec, l.vec), 9) AS dist FROM wanted w JOIN lists l USING (list_id) WHERE r <= {NPROBE})
     SELECT q_id, b_id, dist, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, b_id) AS rank FROM x) WHERE rank <= {K}""",
-    "pq_encode": f"{SQL_PQ} SELECT b_id, sub, code FROM coded",
-    "adc_search": f"""{SQL_PQ}, t AS (SELECT q_id, sub, code, list_distance(vec[sub * 8 + 1 : sub * 8 + 8], centroid) ^ 2 AS d FROM probes, book
+    "pq_encode": f"{SQL_PQ} SELECT b_id, list_id, sub, code FROM coded",
+    "ivfpq_search": f"""{SQL_PQ}, wr AS (SELECT q_id, list_id, list_transform(range(64), lambda i: vec[i + 1] - centroid[i + 1]) AS res FROM wanted JOIN cs USING (list_id) WHERE r <= 4
+    ), t AS (SELECT q_id, list_id, sub, code, list_distance(res[sub * 8 + 1 : sub * 8 + 8], centroid) ^ 2 AS d FROM wr, book
+    ), x AS (SELECT q_id, b_id, round(sqrt(sum(d)), 9) AS dist FROM coded JOIN t USING (list_id, sub, code) GROUP BY ALL)
+    SELECT q_id, b_id, dist, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, b_id) AS rank FROM x) WHERE rank <= 5""",
+    "adc_search": f"""WITH {SQL_D}, book AS (SELECT sub, vec_id AS code, e[sub * 8 + 1 : sub * 8 + 8] AS centroid FROM e, (SELECT unnest(range(8)) AS sub) WHERE vec_id < 256
+    ), coded AS (
+      SELECT b_id, sub, code FROM (SELECT b_id, sub, code, row_number() OVER (PARTITION BY b_id, sub ORDER BY round(list_distance(vec[sub * 8 + 1 : sub * 8 + 8], centroid), 9), code) AS r FROM base, book) WHERE r = 1
+    ), t AS (SELECT q_id, sub, code, list_distance(vec[sub * 8 + 1 : sub * 8 + 8], centroid) ^ 2 AS d FROM probes, book
     ), x AS (SELECT q_id, b_id, round(sqrt(sum(d)), 9) AS dist FROM coded JOIN t USING (sub, code) GROUP BY ALL)
     SELECT q_id, b_id, dist, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, b_id) AS rank FROM x) WHERE rank <= 5""",
     "invlist_merge_counts": f"{SQL_IVF} SELECT list_id, count(*) AS n, count(DISTINCT b_id // 100 % 3) AS shards, min(b_id) AS first, max(b_id) AS last FROM lists GROUP BY list_id",
     "recall_at_k": f"""{SQL_IVF}, ex AS (SELECT q_id, b_id FROM (SELECT q_id, b_id, row_number() OVER (PARTITION BY q_id ORDER BY round(list_distance(p.vec, b.vec), 9), b_id) AS k FROM probes p, base b) WHERE k <= {K}
-    ), x AS (SELECT n, q_id, b_id, round(list_distance(w.vec, l.vec), 9) AS dist FROM wanted w JOIN lists l USING (list_id), (SELECT unnest([1, 2, 4]) AS n) WHERE r <= n
+    ), x AS (SELECT n, q_id, b_id, round(list_distance(w.vec, l.vec), 9) AS dist FROM wanted w JOIN lists l USING (list_id), (SELECT unnest([1, 2, 4, {NPROBE}]) AS n) WHERE r <= n
     ), f AS (SELECT n, q_id, b_id FROM (SELECT *, row_number() OVER (PARTITION BY n, q_id ORDER BY dist, b_id) AS k FROM x) WHERE k <= {K})
     SELECT n::BIGINT AS nprobe, round(count(*) / (SELECT count(*) FROM ex), 6) AS recall FROM f JOIN ex USING (q_id, b_id) GROUP BY n""",
     "rebatch": f"""WITH {SQL_D} SELECT nr // 64 AS batch, count(*) AS n, min(image_id) AS first_image, max(image_id) AS last_image

@@ -91,10 +91,12 @@ def test_training(spark, tmp_path):
     assert np.allclose(np.abs(np.diag(axes)), 1, atol=0.1)
     turned = training.principal_axes(rows, 3, rotate_seed=1)[1]
     assert np.allclose(turned @ turned.T, np.eye(3)) and not np.allclose(turned, axes)
-    rotation = training.optimized_rotation(data - mean, 2, 8)
+    rotation = training.optimized_rotation(rows, 2, 8)
     assert np.allclose(rotation @ rotation.T, np.eye(6))
     cs, books = training.coarse_centroids(rows, 4), training.code_books(rows, 2, 4)
-    assert training.coarse_centroids(rows, 1000).count() == 10  # 39 rows for each at least
+    assert training.most_lists(400) == 10 and training.coarse_centroids(rows, 10).count() == 10
+    with pytest.raises(ValueError, match="39 training rows"):
+        training.coarse_centroids(rows, 11)
     training.save_model(spark, str(tmp_path / "m"), mean, axes, cs, books)
     m2, a2, c2, b2 = training.load_model(spark, str(tmp_path / "m"))
     assert np.allclose(m2, mean) and np.allclose(a2, axes) and c2.count() == cs.count() and b2.count() == 8
