@@ -158,7 +158,3 @@ def replace_references(tree: DataFrame, by: str, json: str, resources: DataFrame
     kind = tree.schema[by].dataType.simpleString()
     return rows.mapInArrow(run, f"{by} {kind}, json string")
 
-
-def batches(rows: DataFrame, key: str, ties: list[str], size: int) -> DataFrame:
-    """Adds batch: rows in order, ``size`` to a batch."""
-    return dense_ids(rows, key, ties, "_at").withColumn("batch", F.expr(f"_at div {size}")).drop("_at")

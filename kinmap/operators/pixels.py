@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 PLACES = 6
+#: Fixed values of the difference decision: the share of the possible difference that counts as a change, how many such shares under the
+#: largest one a pixel still is close to it, how many pixels must be, the signal's peak, and how near to the map's least a pixel counts.
+CHANGED, CLOSE, LEAST_PIXELS, PEAK, NEAR = 0.06, 3.5, 36, 255.0, 1.065
 
 
 def histogram(pixels: DataFrame, by: list[str]) -> DataFrame:
@@ -88,16 +91,16 @@ def histogram_intersection(pairs: DataFrame, counts: DataFrame, pixels: int) ->
     return pairs.join(met, ["a", "b"], "left").select("a", "b", F.round(F.coalesce("shared", F.lit(0)) / pixels, PLACES).alias("score"))
 
 
-def difference_decision(pairs: DataFrame, by: list[str], threshold: float = 0.06, least: int = 36) -> DataFrame:
+def difference_decision(pairs: DataFrame, by: list[str], threshold: float = CHANGED, least: int = LEAST_PIXELS) -> DataFrame:
     """``by``, modified, global_share: whether two images differ (their largest difference is 6 % of the possible one or more, and 36
     pixels or more come close to it), and the share of pixels near the least of the signal-to-noise map (-1 if not modified)."""
     d = F.abs(F.col("a") - F.col("b"))
     all_ = Window.partitionBy(*by)
     rows = pairs.select(*by, d.alias("d"), F.max(d).over(all_).alias("top"), F.greatest(F.abs(F.max("a").over(all_) - F.min("b").over(all_)), F.abs(F.max("b").over(all_) - F.min("a").over(all_))).alias("most"))
-    near = F.sum((F.col("d") > F.col("top") - F.col("most") * threshold * 3.5).cast("long")).over(all_)
-    level = F.round(10 * F.log10(65025.0 / (F.pow(F.when(F.col("top") != 0, F.col("d") / F.col("top")).otherwise(F.col("d")), 2) + 1)), 9)
+    near = F.sum((F.col("d") > F.col("top") - F.col("most") * threshold * CLOSE).cast("long")).over(all_)
+    level = F.round(10 * F.log10(PEAK**2 / (F.pow(F.when(F.col("top") != 0, F.col("d") / F.col("top")).otherwise(F.col("d")), 2) + 1)), 9)
     rows = rows.select(*by, "top", "most", near.alias("near"), level.alias("level")).withColumn("low", F.min("level").over(all_))
-    seen = rows.groupBy(*by).agg(F.first("top").alias("top"), F.first("most").alias("most"), F.first("near").alias("near"), F.avg((F.col("level") < F.col("low") * 1.065).cast("double")).alias("share"))
+    seen = rows.groupBy(*by).agg(F.first("top").alias("top"), F.first("most").alias("most"), F.first("near").alias("near"), F.avg((F.col("level") < F.col("low") * NEAR).cast("double")).alias("share"))
     modified = (F.col("top") >= F.col("most") * threshold) & (F.col("near") >= least)
     return seen.select(*by, modified.alias("modified"), F.round(F.when(modified, F.col("share")).otherwise(-1.0), PLACES).alias("global_share"))
 

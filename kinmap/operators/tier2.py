@@ -9,8 +9,10 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from kinmap.operators import geometry, masks
+from kinmap.operators import features, geometry, masks, pixels
 
 LEAST_CONDITION = 0.1
 Similarity = Callable[[np.ndarray, np.ndarray], float]
@@ -29,22 +31,18 @@ class Change(NamedTuple):
     share: float
 
 
-def difference_map(a: np.ndarray, b: np.ndarray, sigma: float = 5.0, threshold: float = 0.06, least: int = 36) -> Change:
-    """Where two gray images of one shape differ after a blur: 0 for most alike, 1 for most different. They count as unmodified if the
-    largest difference is under ``threshold`` of the possible one, or fewer than ``least`` pixels come close to it; as changed everywhere
-    if more than half of the map is near its least."""
+def difference_map(a: np.ndarray, b: np.ndarray, sigma: float = 5.0, threshold: float = pixels.CHANGED, least: int = pixels.LEAST_PIXELS) -> Change:
+    """Where two gray images of one shape differ after a blur: 0 for most alike, more for more different. They count as changed if their
+    largest gap is ``threshold`` of the possible one or more, and ``least`` pixels or more come close to it; as changed everywhere if more
+    than half of the signal-to-noise map lies near its least."""
     a, b = masks.blur(a, sigma), masks.blur(b, sigma)
-    d = np.abs(a - b)
-    most = max(abs(a.max() - b.min()), abs(b.max() - a.min()))
-    if d.max() < most * threshold or (d > d.max() - most * threshold * 3.5).sum() < least:
-        return Change(np.zeros_like(d), False, False, -1.0)
-    if d.max() != 0:
-        d = d / d.max()
-    level = 10 * np.log10(255.0**2 / (d**2 + 1))
-    share = float((level < level.min() * 1.065).mean())
-    low = min(0.0, level.min())
-    level = (level - low) / (level.max() - low) if level.max() != low else level / (level.max() or 1.0)
-    return Change(level.max() - level, True, share > 0.5, share)
+    gap, possible = np.abs(a - b), max(np.ptp(np.array([a.max(), b.min()])), np.ptp(np.array([b.max(), a.min()])))
+    close = gap > gap.max() - pixels.CLOSE * threshold * possible
+    if gap.max() < threshold * possible or close.sum() < least:
+        return Change(np.zeros_like(gap), False, False, -1.0)
+    signal = 10 * np.log10(pixels.PEAK**2 / (1 + (gap / gap.max()) ** 2))  # gap.max() > 0, as some pixels are close to it
+    share = float((signal < pixels.NEAR * signal.min()).mean())
+    return Change(1 - signal / signal.max(), True, share > 0.5, share)
 
 
 def normalised_map(level: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -133,7 +131,59 @@ def change_masks(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, "probe_id long, result_id long, rcond double, modified boolean, everywhere boolean, share double, mask binary")
 
 
+def by_condition(changes: DataFrame, least: float = LEAST_CONDITION) -> DataFrame:
+    """Adds pos (from 1): the results of each probe from the best conditioned map on; those under ``least`` are left out, ties go to the
+    smaller result."""
+    order = Window.partitionBy("probe_id").orderBy(F.col("rcond").desc(), "result_id")
+    return changes.filter(F.col("rcond") >= least).withColumn("pos", F.row_number().over(order))
+
+
 def uncovered(probe_mask: np.ndarray, used: np.ndarray, least: int = 50) -> np.ndarray | None:
     """A mask without what earlier objects cover; None if no more than ``least`` pixels are left."""
     left = probe_mask & ~used
     return left if math.floor(left.sum()) > least else None
+
+
+def objects_of(mask: np.ndarray, share: float = 0.16, least: int = 125 * 125) -> list[tuple[int, int, int, int]]:
+    """Boxes (x, y, w, h) of the parts of a change mask that may be an object: smaller than the image by more than ``share`` on both sides,
+    and of more than ``least`` pixels."""
+    h, w = mask.shape
+    boxes = masks.component_boxes(mask)[["x", "y", "w", "h"]].to_numpy().tolist() if mask.any() else []
+    return [b for b in map(tuple, boxes) if w - b[2] > share * w and h - b[3] > share * h and b[2] * b[3] > least]
+
+
+def object_features(probe: np.ndarray, results: list[tuple[int, np.ndarray, np.ndarray]], share: float = 0.16, least: int = 125 * 125) -> list[tuple]:
+    """(result id, object, "q" or "r", vec) of the objects in which ``results`` (id, image registered to the probe, change mask) differ from the
+    probe: features of the result in the object's mask, and of the probe where no earlier object has covered it."""
+    used, out = np.zeros(probe.shape, bool), []
+    for result, image, mask in results:
+        for k, (x, y, w, h) in enumerate(objects_of(mask, share, least)):
+            at = (slice(y, y + h), slice(x, x + w))
+            left = uncovered(mask[at], used[at])
+            used[at] |= mask[at]
+            sides = ([("q", probe[at], left)] if left is not None else []) + [("r", image[at], mask[at])]
+            for side, pixels_, inside in sides:
+                _, vecs = features.masked_surf(pixels_, inside, scaled=False)
+                out += [(result, k, side, v.tolist()) for v in vecs]
+    return out
+
+
+def second_tier_queries(pairs: DataFrame) -> DataFrame:
+    """probe_id, result_id, object_id, side, q, vec: what to search for in the second tier, from pairs as ``change_masks`` takes them. A probe
+    has some dozen results (its list is cut), which are taken together, the best conditioned first, as each object leaves less of the
+    probe to the next."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        probe = np.frombuffer(rows["probe"].iloc[0], np.uint8).reshape(rows["probe_height"].iloc[0], -1).astype(float)
+        found = []
+        for r in rows.itertuples():
+            result = np.frombuffer(r.result, np.uint8).reshape(r.result_height, -1).astype(float)
+            seen = compare(probe, result, np.c_[r.px, r.py], np.c_[r.rx, r.ry])
+            if seen["modified"]:
+                mask = np.unpackbits(np.frombuffer(seen["mask"], np.uint8), count=probe.size).reshape(probe.shape).astype(bool)
+                found.append((seen["rcond"], r.result_id, geometry.warp(result, geometry.affine(np.c_[r.rx, r.ry], np.c_[r.px, r.py]), *probe.shape), mask))
+        found.sort(key=lambda x: (-x[0], x[1]))
+        got = object_features(probe, [x[1:] for x in found])
+        return pd.DataFrame([(r.probe_id, result, k, side, i, v) for i, (result, k, side, v) in enumerate(got)], columns=["probe_id", "result_id", "object_id", "side", "q", "vec"])
+
+    return pairs.groupBy("probe_id").applyInPandas(run, "probe_id long, result_id long, object_id long, side string, q long, vec array<double>")

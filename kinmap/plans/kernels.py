@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinmap.operators import features, geometry, knn, masks, pixels, tier2, training
+from kinmap.operators import adjacency, features, geometry, graphs, knn, masks, pixels, tier2, training
 from kinmap.plans import matching
 from kinmap.plans.fixtures import base, patches, vectors
+from kinmap.session import checkpointed
 
 
 def _matched(spark, sf):
@@ -30,12 +31,62 @@ def affine_rcond(spark, sf):
     return geometry.affine_maps(_matched(spark, sf)).select("i", "j", F.expr("transform(m, x -> round(x, 4))").alias("m"), "rcond")
 
 
-def surf_features(spark, sf):
-    """Features of 40 x 40 images: each patch, every pixel five times wide."""
+def pictures(spark, sf):
+    """40 x 40 images: each patch, every pixel five times wide."""
     wide = F.expr("flatten(transform(sequence(0, 39), y -> transform(sequence(0, 39), x -> least(255, greatest(0, floor((e[cast((y div 5) * 8 + x div 5 AS int)] + 1) * 127.5D))))))")
     images = vectors(spark, sf).select(F.col("vec_id").alias("image_id"), F.lit(40).alias("height"), F.lit(40).alias("width"), F.lit(1).alias("channels"), wide.alias("pixels"))
-    images = images.withColumn("data", F.unhex(F.expr("concat_ws('', transform(pixels, p -> lpad(hex(cast(p AS bigint)), 2, '0')))")))
-    found = features.extract_features(images, "SURF", "SURF", spark.sparkContext.defaultParallelism)
+    return images.withColumn("data", F.unhex(F.expr("concat_ws('', transform(pixels, p -> lpad(hex(cast(p AS bigint)), 2, '0')))")))
+
+
+def scenes(spark, sf):
+    """120 x 120 images: nine pictures of a family side by side and blurred; of each family four versions, of which later ones are moved and
+    hold a change. image_id, height, width, channels, data."""
+    tiles = vectors(spark, sf).filter("vec_id % 20 < 9").select(F.expr("vec_id div 20").alias("family"), F.expr("cast(vec_id % 20 AS int)").alias("tile"), "e")
+
+    def run(rows):
+        import numpy as np
+        import pandas as pd
+
+        rows = rows.sort_values("tile")
+        patches = [np.kron((np.asarray(e).reshape(8, 8) + 1) * 127.5, np.ones((5, 5))) for e in rows["e"]]
+        whole = np.vstack([np.hstack(patches[k : k + 3]) for k in range(0, 9, 3)]) if len(patches) == 9 else np.zeros((120, 120))
+        out = []
+        for version in range(4):
+            image = np.roll(masks.blur((whole - whole.mean()) * 3 + 128, 2.0), (2 * version, 3 * version), axis=(0, 1))
+            if version == 3:
+                image[20:50, 60:95] = 255 - image[20:50, 60:95]
+            out.append((4 * int(rows["family"].iloc[0]) + version, 120, 120, 1, np.clip(image, 0, 255).astype(np.uint8).tobytes()))
+        return pd.DataFrame(out, columns=["image_id", "height", "width", "channels", "data"])
+
+    return tiles.groupBy("family").applyInPandas(run, "image_id long, height int, width int, channels int, data binary")
+
+
+def image_adjacency(spark, sf):
+    """Measures of the pairs of each family's scenes, from their pixels: features, matches, warps both ways, likeness of what is matched."""
+    images = checkpointed(scenes(spark, sf))
+    found = checkpointed(features.extract_features(images, "SURF4", "SURF", spark.sparkContext.defaultParallelism).select("image_id", "kp_idx", "x", "y", "vec"))
+    ids = images.select("image_id")
+    pairs = ids.select(F.col("image_id").alias("i"), F.explode(F.expr("sequence(image_id + 1, 4 * (image_id div 4) + 3)")).alias("j")).filter("i < j AND j div 4 = i div 4")
+    return adjacency.adjacency(pairs, images, found)
+
+
+def image_graph(spark, sf):
+    """From images to the edges of each family's graph, grown from its second version."""
+    cells = adjacency.as_cells(checkpointed(image_adjacency(spark, sf)))
+    node = lambda c: F.when(F.col(c) % 4 == 1, 0).otherwise(F.col(c) % 4 + 1)  # noqa: E731  node 0 is the probe
+    own = cells.select(F.expr("i div 4").alias("probe_id"), node("i").cast("long").alias("i"), node("j").cast("long").alias("j"), "kp", "dist", "mi")
+    return graphs.cluster_graph(own, "probe_id")
+
+
+def rcond_order(spark, sf):
+    """Maps of each query image in order of their condition."""
+    found = affine_rcond(spark, sf)
+    return tier2.by_condition(found.select(F.col("i").alias("probe_id"), F.col("j").alias("result_id"), "rcond")).withColumn("pos", F.col("pos").cast("long"))
+
+
+def surf_features(spark, sf):
+    images = pictures(spark, sf)
+    found = features.extract_features(images, "SURF3", "SURF", spark.sparkContext.defaultParallelism)
     return found.select("image_id", "kp_idx", "x", "y", "size", F.round("response", 3).alias("response"), F.size("vec").alias("dims"))
 
 
@@ -57,16 +108,20 @@ def kmeans_lists(spark, sf):
 
 
 
+def tier2_pairs(spark, sf):
+    """The first scene of each family with each other version, and the points that a shift by the version's known offset matches."""
+    images = checkpointed(scenes(spark, sf)).select("image_id", "height", "data")
+    left = images.filter("image_id % 4 = 0").select(F.col("image_id").alias("probe_id"), F.col("height").alias("probe_height"), F.col("data").alias("probe"))
+    right = images.filter("image_id % 4 > 0").select(F.expr("image_id - image_id % 4").alias("probe_id"), F.col("image_id").alias("result_id"), F.col("height").alias("result_height"), F.col("data").alias("result"), F.expr("image_id % 4").alias("v"))
+    xs, ys = (F.array(*(F.lit(float(a)) for a in own)) for own in ((20, 90, 20, 90, 55, 40), (20, 20, 90, 90, 60, 75)))
+    points = [xs.alias("px"), ys.alias("py"), F.transform(xs, lambda a: a + 3 * F.col("v")).alias("rx"), F.transform(ys, lambda a: a + 2 * F.col("v")).alias("ry")]
+    return left.join(right, "probe_id").select("probe_id", "result_id", "probe_height", "result_height", "probe", "result", *points)
+
 
 def tier2_masks(spark, sf):
-    """Each original's patch (40 x 40) compared with that of the next vector of its family, registered by the matched corners."""
-    wide = F.expr("flatten(transform(sequence(0, 39), y -> transform(sequence(0, 39), x -> least(255, greatest(0, floor((e[cast((y div 5) * 8 + x div 5 AS int)] + 1) * 127.5D))))))")
-    own = vectors(spark, sf).withColumn("pixels", wide).select("vec_id", F.unhex(F.expr("concat_ws('', transform(pixels, p -> lpad(hex(cast(p AS bigint)), 2, '0')))")).alias("data"))
-    left = own.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("probe_id"), F.col("data").alias("probe"), (F.col("vec_id") + 1).alias("result_id"))
-    points = {n: F.array(*(F.lit(float(v)) for v in vs)).alias(n) for n, vs in {"px": (2, 37, 2, 37, 20), "py": (2, 2, 37, 37, 20), "rx": (2, 37, 2, 37, 20), "ry": (2, 2, 37, 37, 20)}.items()}
-    pairs = left.join(own.select(F.col("vec_id").alias("result_id"), F.col("data").alias("result")), "result_id")
-    return tier2.change_masks(pairs.select("probe_id", "result_id", F.lit(40).alias("probe_height"), F.lit(40).alias("result_height"), "probe", "result", *points.values())).drop("mask")
+    """Where each version of a family differs from the first, registered to it."""
+    return tier2.change_masks(tier2_pairs(spark, sf)).drop("mask")
 
 
-QUERIES = {f.__name__: f for f in (geometric_consistency, homography_warp, affine_rcond, surf_features, mask_components, pca_transform, kmeans_lists, tier2_masks)}
+QUERIES = {f.__name__: f for f in (geometric_consistency, homography_warp, affine_rcond, rcond_order, surf_features, mask_components, pca_transform, kmeans_lists, tier2_masks, image_adjacency, image_graph)}
 ORACLES: dict[str, str] = {}

@@ -51,6 +51,47 @@ def explode_sets(files: DataFrame, key: str, content: str, kind: str = "set") ->
     return files.select(F.col(key).alias("k"), F.col(content).alias("c")).mapInArrow(run, f"{key} string, kp_idx long, vec array<double>, error string")
 
 
+#: Matrices of an adjacency archive in their order, and the value of a cell that is not there.
+MATRICES = {"kp": 0.0, "dist": -1.0, "mi": 0.0, "mse": -1.0}
+
+
+def matrix_archives(cells: DataFrame, by: str) -> DataFrame:
+    """``by``, content: for each probe an .npz archive of its matrices (arr_0, ...) from cells (i, j and ``MATRICES``), nodes numbered from 0. A probe
+    has some hundred nodes at most."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        i, j = (rows.column(c).to_numpy() for c in "ij")
+        n = int(max(i.max(), j.max())) + 1
+        arrays = []
+        for name, absent in MATRICES.items():
+            m = np.full((n, n), absent)
+            m[i, j] = rows.column(name).to_numpy()
+            arrays.append(m)
+        held = io.BytesIO()
+        np.savez(held, *arrays)
+        return pa.table({by: rows.column(by)[:1], "content": pa.array([held.getvalue()], pa.binary())})
+
+    kind = cells.schema[by].dataType.simpleString()
+    return cells.select(by, "i", "j", *(F.col(m).cast("double").alias(m) for m in MATRICES)).groupBy(by).applyInArrow(run, f"{by} {kind}, content binary")
+
+
+def explode_archives(files: DataFrame, by: str, content: str = "content") -> DataFrame:
+    """``by``, i, j and ``MATRICES`` from .npz archives: the cells in which any matrix has a value. Pickled objects are refused."""
+    kind = files.schema[by].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, data in enumerate(batch.column("c").to_pylist()):
+                held = np.load(io.BytesIO(data), allow_pickle=False)
+                arrays = [held[f"arr_{k}"] for k in range(len(MATRICES))]
+                i, j = np.nonzero(np.any([m != absent for m, absent in zip(arrays, MATRICES.values())], axis=0))
+                own = batch.column("k").take(pa.array([at] * len(i), pa.int64()))
+                yield pa.RecordBatch.from_arrays([own, pa.array(i), pa.array(j), *(pa.array(m[i, j].astype(float)) for m in arrays)], names=[by, "i", "j", *MATRICES])
+
+    schema = f"{by} {kind}, i long, j long, " + ", ".join(f"{m} double" for m in MATRICES)
+    return files.select(F.col(by).alias("k"), F.col(content).alias("c")).mapInArrow(run, schema)
+
+
 class VectorSource(DataSource):
     """``spark.read.format("vecs")``, option path: (vec_id, vec) of an .fvecs, .ivecs or .bvecs file, in byte ranges."""
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -41,5 +45,22 @@ def progress(query: StreamingQuery) -> dict:
     return {"batches": len(rows), "rows": sum(p["numInputRows"] for p in rows)}
 
 
-def batch_sizes(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("list_id").agg(F.count("*").alias("n"))
+def await_or_stop(query: StreamingQuery, seconds: float) -> bool:
+    """Waits for a stream to end; one that has not within ``seconds`` is stopped, and False returned. What it has committed stays."""
+    if query.awaitTermination(seconds):
+        return True
+    query.stop()
+    return False
+
+
+def within(spark: SparkSession, seconds: float, action: Callable):
+    """What ``action()`` returns; its jobs are cancelled, and it fails, if they take longer than ``seconds``."""
+    context, group = spark.sparkContext, f"within-{uuid.uuid4().hex}"
+    timer = threading.Timer(seconds, context.cancelJobGroup, [group])
+    context.setJobGroup(group, "limited in time", interruptOnCancel=True)
+    timer.start()
+    try:
+        return action()
+    finally:
+        timer.cancel()
+        context.setLocalProperty("spark.jobGroup.id", None)
