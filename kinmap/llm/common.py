@@ -118,7 +118,8 @@ def prefix_sum(df: DataFrame, order: list[str], value: str, name: str, parts: in
 
 
 def bounded_batches(df: DataFrame, n_bytes: int = BATCH_BYTES) -> DataFrame:
-    """``df``, with the session's Arrow batches bounded in bytes, so that long texts do not fill the executors' memory on either side."""
+    """``df``, with the session's Arrow batches bounded in bytes, so that long texts do not fill the executors' memory on either side. Plans
+    are made when they run, so the limits stay set in the session; all operators use the same ones."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(n_bytes))
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -118,6 +119,17 @@ class Index:
                             yield int(rows[at]), at, at + m, item
 
 
+_built: dict[str, Index] = {}
+
+
+def built_index(name: str, items: list[tuple[str, str]], k: int, span: int) -> Index:
+    """The index of a block of items, built once in each worker process; the worker keeps the last one."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Index(list(zip([n for n, _ in items], item_words(pa.array([w for _, w in items], pa.string())))), k, span) if items else Index([], k, span)
+    return _built[name]
+
+
 def item_words(column: pa.Array) -> list[list[str]]:
     words = words_of(translated(text_column(column), ALNUM))
     spelled = listed(words.vocabulary)
@@ -174,11 +186,10 @@ def find_contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", t
     blocks = item_blocks(items, item_key, item_text, block_words)
 
     def one_pass(docs: DataFrame, block: DataFrame, row: bool) -> DataFrame:
-        held = docs.sparkSession.sparkContext.broadcast([(name, words) for name, words in block.collect()])
+        held, name = docs.sparkSession.sparkContext.broadcast([(name, words) for name, words in block.collect()]), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names = [name for name, _ in held.value]
-            index = Index(list(zip(names, item_words(pa.array([w for _, w in held.value], pa.string())))), k, span) if names else Index([], k, span)
+            index = built_index(name, held.value, k, span)
             kinds = [pa.int64()] * 3 + [pa.list_(pa.string()), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))]
             for batch in slices(batches, "_text"):
                 got = judge(text_column(batch.column("_text")), iter([index]))
