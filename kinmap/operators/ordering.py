@@ -1,4 +1,4 @@
-"""Global order without a global sort in one task: ranges from a bounded sample, and prefix sums over ranges."""
+"""Global order without a global sort in one task: rows are cut into sorted ranges, whose sums are added up apart."""
 
 from __future__ import annotations
 
@@ -8,33 +8,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of a range (about), and keys that the cuts between ranges are chosen from (about).
-RANGE_ROWS = 200_000
-SAMPLE = 4_000
-
+from kinmap.session import checkpointed
 
-def range_of(df: DataFrame, key: str, n: int) -> Column:
-    """Number of the range that the row's key falls into; null keys come first. The cuts are literals, so every run agrees."""
-    ranges = math.ceil(n / RANGE_ROWS)
-    if ranges < 2:
-        return F.lit(0)
-    step = max(1, n // SAMPLE)
-    sample = sorted(r[0] for r in df.filter((F.pmod(F.xxhash64(key), F.lit(step)) == 0) & F.col(key).isNotNull()).select(key).distinct().collect())
-    cuts = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
-    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(key))), F.lit(0)) if cuts else F.lit(0)
+#: Rows of a range (about).
+RANGE_ROWS = 200_000
 
 
 def running_sum(df: DataFrame, key: str, ties: list[str], value: Column, name: str) -> DataFrame:
-    """Adds ``name``: the sum of ``value`` over all rows before this one in order of ``key``, then ``ties``.
+    """Adds ``name``: the sum of ``value`` over all rows before this one in order of ``key`` (nulls first), then ``ties``.
 
-    Sums of ranges, a row each, are added up first; within a range a window does the rest.
+    Ranges are cut by the key and the ties, so that a run of one key may be many ranges; they are written, so that every later step sees
+    the same ones. A window adds up within a range, and the ranges' sums, a row each, are added up first.
     """
-    ranged = df.withColumn("_value", value).withColumn("_range", range_of(df, key, df.count()))
-    sums = ranged.groupBy("_range").agg(F.sum("_value").alias("_sum"))
+    order = [F.col(key).asc_nulls_first(), *ties]
+    ranges = max(1, math.ceil(df.count() / RANGE_ROWS))
+    dealt = df.withColumn("_value", value).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    placed = checkpointed(dealt.withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_range", F.shiftright("_at", 33))  # the number of the partition
+    sums = placed.groupBy("_range").agg(F.sum("_value").alias("_sum"))
     before = sums.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_before"))
-    inside = Window.partitionBy("_range").orderBy(F.col(key).asc_nulls_first(), *ties).rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.withColumn("_in", F.coalesce(F.sum("_value").over(inside), F.lit(0))).join(F.broadcast(before), "_range")
-    return placed.withColumn(name, F.col("_in") + F.col("_before")).drop("_value", "_range", "_in", "_before")
+    inside = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    added = placed.withColumn("_in", F.coalesce(F.sum("_value").over(inside), F.lit(0))).join(before, "_range")
+    return added.withColumn(name, F.col("_in") + F.col("_before")).drop("_value", "_at", "_range", "_in", "_before")
 
 
 def dense_ids(df: DataFrame, key: str, ties: list[str], name: str) -> DataFrame:
