@@ -14,7 +14,7 @@ from kinmap.llm.words import LOWER, Words, listed, translated, words_of
 
 TOKENIZER = "word_bpe_49k.json"
 #: Strings whose ids a worker keeps (some 200 bytes each); when full, all go.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: New strings that are encoded as one, with a separator between them.
 JOINED = 64
 #: The split that ``LOWER_WORDS`` files make: contractions, runs of letters, single digits, runs of anything else.
