@@ -340,6 +340,12 @@ ORACLES = {
       '{"image":"content of ' || page_id || '","n":' || page_id || ',"note":{"text":"$resource"},"parts":[{"mask":{"$indirect":"file:///m/' || page_id || '"}},{"mask":"content of ' || page_id || '"}]}',
       '{"image":{"$resource":"r' || page_id || '"},"n":' || page_id || ',"note":{"text":"$resource"},"parts":[{"mask":{"$indirect":"file:///m/' || page_id || '"}},{"mask":{"$resource":"r' || page_id || '"}}]}') AS json FROM pages""",
     "kruskal_tree": f"{_KRUSKAL} SELECT * FROM tr",
+    "graph_json_text": f"""{_KRUSKAL}, nd AS (SELECT probe_id, node, row_number() OVER (PARTITION BY probe_id ORDER BY node) - 1 AS number FROM (
+      SELECT probe_id, src AS node FROM tr UNION SELECT probe_id, dst FROM tr UNION SELECT probe_id, 0 FROM tr)
+    ), ln AS (SELECT tr.probe_id, a.number AS source, b.number AS target, round(weight, 3) AS w FROM tr JOIN nd a ON a.probe_id = tr.probe_id AND a.node = src JOIN nd b ON b.probe_id = tr.probe_id AND b.node = dst
+    ), nj AS (SELECT probe_id, list({{'id': 'id' || number, 'file': 'world/' || node || '.jpg', 'fileid': node::VARCHAR, 'nodeConfidenceScore': 1.0::DOUBLE}} ORDER BY number) AS nodes FROM nd GROUP BY probe_id
+    ), lj AS (SELECT probe_id, list({{'source': source, 'target': target, 'relationshipConfidenceScore': w}} ORDER BY source, target) AS links FROM ln GROUP BY probe_id)
+    SELECT probe_id, to_json({{'directed': true, 'nodes': nodes, 'links': links}})::VARCHAR AS graph FROM nj JOIN lj USING (probe_id)""",
     "query_matrix_ids": f"WITH {SQL_D} SELECT dense_rank() OVER (ORDER BY image_id) - 1 AS qid, kp_idx, row_number() OVER (ORDER BY image_id, kp_idx) - 1 AS row FROM d WHERE version = 1",
     "graph_associations": f"{_TREE} SELECT family, src || '.jpg' AS source, dst || '.jpg' AS target, weight AS score FROM tree WHERE src % 4 <> 2 AND dst % 4 <> 2",
     "graph_node_renumber": f"""{_TREE}, n AS (SELECT family, src AS node FROM tree UNION SELECT family, dst FROM tree UNION SELECT family, 0 FROM tree)
