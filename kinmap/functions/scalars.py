@@ -23,6 +23,12 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def rounded(value: Column | str, places: int) -> Column:
+    """To decimal places as SQL engines round doubles: the nearest whole multiple (halves away from zero) of the product, divided again.
+    ``F.round`` rounds the shortest decimal instead, which differs next to halves."""
+    return F.round(_col(value) * float(10**places), 0) / float(10**places)
+
+
 def sanitize(vec: str) -> Column:
     """A vector of single precision."""
     return F.col(vec).cast("array<float>")

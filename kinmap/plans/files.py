@@ -272,7 +272,7 @@ def graph_json_text(spark, sf):
     a, b = nodes.select("probe_id", F.col("node").alias("src"), F.col("number").alias("source")), nodes.select("probe_id", F.col("node").alias("dst"), F.col("number").alias("target"))
     links = edges.join(a, ["probe_id", "src"]).join(b, ["probe_id", "dst"]).select("probe_id", "source", "target", F.col("weight").alias("confidence"))
     named = nodes.select("probe_id", "number", F.concat(F.lit("world/"), "node", F.lit(".jpg")).alias("file"), F.col("node").cast("string").alias("fileid"), F.lit(1.0).alias("confidence"))
-    return graphs.graph_json(named, links.withColumn("confidence", F.round("confidence", 3)), "probe_id")
+    return graphs.graph_json(named, links.withColumn("confidence", scalars.rounded("confidence", 3)), "probe_id")
 
 
 _ALL = (

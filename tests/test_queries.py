@@ -49,3 +49,14 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["q_image", "image_id", "pos", "norm"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_graph_json_rounds_as_its_sql(spark, con, monkeypatch):
+    from kinmap.plans import files
+
+    weights = [(0.710287 + 0.290713) / 2, 0.7484999999999999, 0.9984999999999999, 0.4995, 1.0, -0.5, -0.0005]
+    edges = spark.createDataFrame([(i, 0, 1, w) for i, w in enumerate(weights)], "probe_id long, src long, dst long, weight double")
+    monkeypatch.setattr(files, "kruskal_tree", lambda spark, sf: edges)
+    ours = {r["probe_id"]: r["graph"].split('"relationshipConfidenceScore":')[1] for r in files.graph_json_text(spark, SF).collect()}
+    theirs = con.execute("SELECT to_json({'w': round(unnest(?::DOUBLE[]), 3)})::VARCHAR", [weights]).fetchall()
+    assert [ours[i] for i in range(len(weights))] == [r[0].split('"w":')[1] + "]}" for r in theirs]
