@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 QUERY_BLOCK, BASE_BLOCK = 65_536, 50_000
 #: Values of a model (centroids times dimensions, 4 bytes each) that go to all tasks; a larger one is searched block by block.
 MODEL_VALUES = 64_000_000
+#: Hits of a task that ranks them.
+HIT_ROWS = 2_000_000
 #: Distances are compared after rounding, so that ties are ties in every engine; the smaller id wins.
 DIGITS = 9
 
@@ -25,29 +27,64 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def nearest(queries: np.ndarray, base: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, distance) of the k nearest base vectors of each query, in order: candidates by a matrix product, then exact."""
+#: Queries and base vectors of a block of the matrix product. Vectors with larger values than this are multiplied in double precision.
+PRODUCT_ROWS, PRODUCT_COLUMNS, SINGLE_VALUES = 512, 16_384, 1e15
+
+
+def first_of_each(rows: np.ndarray, ids: np.ndarray, dists: np.ndarray, k: int) -> np.ndarray:
+    """Indices of the k least distances of each row, in order; ties to the smaller id."""
+    order = np.lexsort((ids, dists, rows))
+    own = rows[order]
+    return order[np.arange(len(own)) - np.searchsorted(own, own) < k]
+
+
+def nearest(queries: np.ndarray, base: np.ndarray, ids: np.ndarray, k: int, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, distance) of the k nearest base vectors of each query, in order: candidates by a matrix product, then exact. ``within``:
+    a distance for each query that what is farther need not be found at.
+
+    The product is in single precision and the bound for candidates is wider by its largest error. After the first block of base vectors
+    the bound is the distance of the k-th so far.
+    """
     if not len(queries) or not len(base):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    if k >= len(base):
+        r, b = (x.ravel() for x in np.indices((len(queries), len(base))))
+        d = np.concatenate([np.round(np.sqrt(((q[:, None, :] - base[None]) ** 2).sum(axis=2)), DIGITS).ravel() for q in np.array_split(queries, 1 + queries.size * len(base) // 4_000_000)])
+        top = first_of_each(r, ids[b], d, k)
+        return r[top], ids[b[top]], d[top]
+    most = max(np.abs(queries).max(), np.abs(base).max())
+    kind = np.float32 if most < SINGLE_VALUES else np.float64
+    norms, turned = (base * base).sum(axis=1), np.ascontiguousarray(base.T, kind)
+    error = (base.shape[1] + 8) * float(np.finfo(kind).eps)
     rows, found, dists = [], [], []
-    norms = (base * base).sum(axis=1)
-    step = max(1, 4_000_000 // len(base))
-    for at in range(0, len(queries), step):
-        q = queries[at : at + step]
-        rough = (q * q).sum(axis=1)[:, None] + norms - 2 * (q @ base.T)
-        if k < len(base):
-            bound = np.partition(rough, k - 1, axis=1)[:, k - 1 : k]
-            r, b = np.nonzero(rough <= bound + 1e-8 * (1 + np.abs(bound)))
-        else:
-            r, b = np.nonzero(np.ones_like(rough, bool))
-        d = np.round(np.sqrt(((q[r] - base[b]) ** 2).sum(axis=1)), DIGITS)
-        order = np.lexsort((ids[b], d, r))
-        r, b, d = r[order], b[order], d[order]
-        place = np.arange(len(r)) - np.searchsorted(r, r)
-        top = place < k
-        rows.append(r[top] + at)
-        found.append(ids[b[top]])
-        dists.append(d[top])
+    for at in range(0, len(queries), PRODUCT_ROWS):
+        q = queries[at : at + PRODUCT_ROWS]
+        doubled, own = (-2 * q).astype(kind), (q * q).sum(axis=1)
+        far = np.full(len(q), np.inf) if within is None else within[at : at + PRODUCT_ROWS]
+        r, b, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for begin in range(0, len(base), PRODUCT_COLUMNS):
+            end = min(begin + PRODUCT_COLUMNS, len(base))
+            rough = doubled @ turned[:, begin:end]
+            rough += norms[begin:end].astype(kind)
+            finite = norms[begin:end][np.isfinite(norms[begin:end])]
+            slack = error * (own + finite.max(initial=0)) + 1e-8 * (1 + own)
+            bound = far * far * (1 + 1e-8) + 1e-8 - own + slack
+            if not np.isfinite(bound).all() and k < end - begin:
+                bound = np.fmin(bound, np.partition(rough, k - 1, axis=1)[:, k - 1].astype(np.float64) + 2 * slack + 1e-8 * (1 + own))
+            near_r, near_b = np.nonzero(rough <= np.nextafter(bound.astype(kind), kind(np.inf))[:, None])
+            if not len(near_r):
+                continue
+            near_b += begin
+            r, b = np.concatenate((r, near_r)), np.concatenate((b, near_b))
+            d = np.concatenate((d, np.round(np.sqrt(((q[near_r] - base[near_b]) ** 2).sum(axis=1)), DIGITS)))
+            top = first_of_each(r, ids[b], d, k)
+            r, b, d = r[top], b[top], d[top]
+            last = np.searchsorted(r, np.arange(len(q))) + k - 1
+            full = np.bincount(r, minlength=len(q)) == k
+            far = np.where(full, np.fmin(far, d[np.minimum(last, max(len(d) - 1, 0))]), far)
+        rows.append(r + at)
+        found.append(ids[b])
+        dists.append(d)
     return np.concatenate(rows), np.concatenate(found), np.concatenate(dists)
 
 
@@ -66,11 +103,16 @@ class Best:
 
     def add(self, rows: np.ndarray, ids: np.ndarray, dists: np.ndarray) -> None:
         r, b, d = np.concatenate((self.rows, rows)), np.concatenate((self.ids, ids)), np.concatenate((self.dists, dists))
-        order = np.lexsort((b, d, r))
-        r, b, d = r[order], b[order], d[order]
-        top = np.arange(len(r)) - np.searchsorted(r, r) < self.k
+        top = first_of_each(r, b, d, self.k)
         self.rows, self.ids, self.dists = r[top], b[top], d[top]
 
+    def within(self, n: int) -> np.ndarray:
+        """The distance of the k-th hit of each of ``n`` queries; infinite where there are fewer."""
+        full = np.bincount(self.rows, minlength=n) == self.k
+        out = np.full(n, np.inf)
+        out[full] = self.dists[(np.searchsorted(self.rows, np.arange(n)) + self.k - 1)[full]]
+        return out
+
 
 _HITS = "q_id long, b_id long, dist double"
 
@@ -98,7 +140,7 @@ def knn_exact(queries: DataFrame, base: DataFrame, k: int, query_block: int | No
         q_ids, q = held.value
         best = Best(k)
         for batch in batches:
-            best.add(*nearest(q, matrix(batch.column("vec")), batch.column("b_id").to_numpy(), k))
+            best.add(*nearest(q, matrix(batch.column("vec")), batch.column("b_id").to_numpy(), k, best.within(len(q))))
         yield pa.RecordBatch.from_arrays([pa.array(q_ids[best.rows]), pa.array(best.ids), pa.array(best.dists)], names=["q_id", "b_id", "dist"])
 
     return ranked(base.mapInArrow(run, _HITS), k)
@@ -200,11 +242,11 @@ def knn_ivf(queries: DataFrame, lists: DataFrame, centroids: DataFrame, k: int,
 
 def pq_encode(rows: DataFrame, codebook: DataFrame, id_column: str, subs: int, keep: str | None = None) -> DataFrame:
     """``id_column``, codes: for each of ``subs`` sub-vectors the nearest code of ``codebook(sub, code, centroid)`` (ties: the smaller); and
-    the column ``keep`` (its name and type), if given."""
+    the columns ``keep`` (their names and types), if given."""
     books = _books(codebook, subs)
     held = rows.sparkSession.sparkContext.broadcast(books)
     kind = rows.schema[id_column].dataType.simpleString()
-    kept = [keep.split()[0]] if keep else []
+    kept = [column.split()[0] for column in keep.split(", ")] if keep else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,10 +264,48 @@ def _books(codebook: DataFrame, subs: int) -> list[np.ndarray]:
     return [np.array([c for s, _, c in rows if s == i], np.float64) for i in range(subs)]
 
 
-def build_pq_lists(base: DataFrame, centroids: DataFrame, codebook: DataFrame, subs: int) -> DataFrame:
-    """b_id, list_id, codes: inverted lists of product-quantised residuals, every vector's offset from its list's centroid."""
-    near = closest_lists(base, centroids, "b_id", residuals=True).select("b_id", "list_id", F.col("residual").alias("vec"))
-    return pq_encode(near, codebook, "b_id", subs, keep="list_id bigint")
+def build_pq_lists(base: DataFrame, centroids: DataFrame, codebook: DataFrame, subs: int, residuals: bool = False) -> DataFrame:
+    """b_id, list_id, codes: inverted lists of product-quantised residuals, every vector's offset from its list's centroid; and, if asked for,
+    residual."""
+    near = closest_lists(base, centroids, "b_id", residuals=True).withColumn("vec", F.col("residual"))
+    return pq_encode(near, codebook, "b_id", subs, keep="list_id bigint" + ", residual array<double>" * residuals)
+
+
+def ivfpq_refined(queries: DataFrame, lists: DataFrame, centroids: DataFrame, codebook: DataFrame, candidates: int, k: int, nprobes: list[int], subs: int) -> DataFrame:
+    """nprobe, q_id, b_id, dist: for each of ``nprobes`` the k nearest, by their vectors, of the ``candidates`` nearest by code over so many
+    lists closest to each query; ``knn_ivfpq`` and ``reranked`` in one search for all of them. ``lists`` hold residuals, so that a list's
+    task measures its candidates by their vectors too and no vector is joined to a hit."""
+    held = queries.sparkSession.sparkContext.broadcast(_books(codebook, subs))
+    wanted = closest_lists(queries, centroids, "q_id", max(nprobes), residuals=True)
+
+    def run(q: pa.Table, b: pa.Table) -> pa.Table:
+        if not q.num_rows or not b.num_rows:
+            return _no_hits().append_column("place", pa.array([], pa.int64())).append_column("coded", pa.array([], pa.float64()))
+        vecs = matrix(q.column("residual").combine_chunks())
+        own = b.column("payload").combine_chunks()
+        ids, codes, left = b.column("b_id").to_numpy(), matrix(own.field("codes")).astype(np.int64), matrix(own.field("residual"))
+        r, at, coded = nearest_codes(vecs, held.value, np.argsort(np.argsort(ids, kind="stable"), kind="stable"), codes, candidates)
+        at = np.argsort(ids, kind="stable")[at]
+        steps = range(0, len(r), 500_000)
+        d = np.concatenate([np.zeros(0), *(np.sqrt(((vecs[r[i : i + 500_000]] - left[at[i : i + 500_000]]) ** 2).sum(axis=1)) for i in steps)])
+        return pa.table({"q_id": q.column("q_id").to_numpy()[r], "b_id": ids[at], "dist": np.round(d, DIGITS), "place": q.column("place").to_numpy()[r], "coded": coded})
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = list(batches)
+        if not sum(t.num_rows for t in tables):
+            return
+        columns = [np.concatenate([t.column(c).to_numpy() for t in tables]) for c in ("q_id", "b_id", "dist", "place", "coded")]
+        tables.clear()
+        for nprobe in nprobes:
+            q, b, d, _, coded = (c[columns[3] <= nprobe] for c in columns)
+            top = first_of_each(q, b, coded, candidates)
+            top = top[first_of_each(q[top], b[top], d[top], k)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), nprobe)), pa.array(q[top]), pa.array(b[top]), pa.array(d[top])], names=["nprobe", "q_id", "b_id", "dist"])
+
+    payload = lists.select("b_id", "list_id", F.struct("codes", "residual").alias("payload"))
+    met = _in_lists(wanted, payload, "residual", "payload", run, f"{_HITS}, place long, coded double")
+    parts = max(queries.sparkSession.sparkContext.defaultParallelism, math.ceil(queries.count() * candidates * max(nprobes) / HIT_ROWS))
+    return met.repartition(parts, "q_id").mapInArrow(best, f"nprobe long, {_HITS}")
 
 
 def knn_ivfpq(queries: DataFrame, lists: DataFrame, centroids: DataFrame, codebook: DataFrame, k: int, nprobe: int, subs: int) -> DataFrame:
@@ -254,20 +334,10 @@ def reranked(hits: DataFrame, queries: DataFrame, base: DataFrame, k: int) -> Da
 
 
 def nearest_codes(queries: np.ndarray, books: list[np.ndarray], ids: np.ndarray, codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, distance) of the k nearest codes of each query, ties to the smaller id."""
-    order = np.argsort(ids, kind="stable")
-    ids, codes = ids[order], codes[order]
-    rows, found, dists = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-    step = max(1, 4_000_000 // max(len(ids), 1))
-    for at in range(0, len(queries) if len(ids) else 0, step):
-        parts = np.split(queries[at : at + step], len(books), axis=1)
-        lookup = [((part[:, None, :] - book[None]) ** 2).sum(axis=2) for part, book in zip(parts, books)]
-        d = np.round(np.sqrt(sum(t[:, codes[:, j]] for j, t in enumerate(lookup))), DIGITS)
-        top = np.argsort(d, axis=1, kind="stable")[:, :k]
-        rows.append(np.repeat(np.arange(at, at + len(d)), top.shape[1]))
-        found.append(ids[top].ravel())
-        dists.append(np.take_along_axis(d, top, 1).ravel())
-    return np.concatenate(rows), np.concatenate(found), np.concatenate(dists)
+    """(query, id, distance) of the k nearest codes of each query, ties to the smaller id: the nearest of the vectors that they stand for."""
+    if not len(ids):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return nearest(queries, np.concatenate([book[codes[:, j]] for j, book in enumerate(books)], axis=1), ids, k)
 
 
 def adc_search(queries: DataFrame, encoded: DataFrame, codebook: DataFrame, k: int, subs: int, query_block: int | None = None) -> DataFrame:

@@ -203,28 +203,26 @@ def adc_search(spark, sf):
 
 def trained_index(spark, sf, lists=8, codes=256, subs=16):
     """(rotated queries, rotated base, centroids, code books): an index whose rotation, lists and codes are trained on the world's vectors."""
-    rows = base(spark, sf)
+    rows = checkpointed(base(spark, sf))
     codes, lists = min(codes, rows.count()), min(lists, training.most_lists(rows.count()))
     rotation = training.optimized_rotation(rows, subs, codes, rounds=3)
     turn = lambda df, key: training.transformed(df, key, np.zeros(len(rotation)), rotation.T)
-    q, b = turn(probes(spark, sf), "q_id"), turn(rows, "b_id")
+    q, b = (checkpointed(df) for df in (turn(probes(spark, sf), "q_id"), turn(rows, "b_id")))
     cs = training.coarse_centroids(b, lists)
     near = knn.closest_lists(b, cs, "b_id", residuals=True)
-    return q, b, cs, training.code_books(near.select(F.col("residual").alias("vec")), subs, codes)
+    return q, b, cs, checkpointed(training.code_books(near.select(F.col("residual").alias("vec")), subs, codes))
 
 
 def ivfpq_recall(spark, sf):
     """Share of the 10 exact neighbours that a trained index finds: 50 candidates by code from the closest lists, ranked anew by their
     vectors."""
     q, b, cs, books = trained_index(spark, sf)
-    exact = hits(spark, sf).select("q_id", "b_id")
-    total, out = exact.agg(F.count("*").alias("total")), None
-    lists = knn.build_pq_lists(b, cs, books, 16)
-    for nprobe in (2, 4, 8):
-        near = knn.reranked(knn.knn_ivfpq(q, lists, cs, books, 50, nprobe, 16), q, b, K)
-        own = near.join(exact, ["q_id", "b_id"]).agg(F.count("*").alias("found")).join(total).select(F.lit(nprobe).cast("long").alias("nprobe"), F.round(F.col("found") / F.col("total"), 6).alias("recall"))
-        out = own if out is None else out.unionByName(own)
-    return out
+    exact = checkpointed(hits(spark, sf).select("q_id", "b_id"))
+    total, nprobes = exact.agg(F.count("*").alias("total")), [2, 4, 8]
+    near = knn.ivfpq_refined(q, knn.build_pq_lists(b, cs, books, 16, residuals=True), cs, books, 50, K, nprobes, 16)
+    found = near.join(exact, ["q_id", "b_id"]).groupBy("nprobe").agg(F.count("*").alias("found"))
+    every = spark.createDataFrame([(n,) for n in nprobes], "nprobe long").join(found, "nprobe", "left").crossJoin(total)
+    return every.select("nprobe", F.round(F.coalesce("found", F.lit(0)) / F.col("total"), 6).alias("recall"))
 
 
 def invlist_merge_counts(spark, sf):

@@ -112,6 +112,41 @@ def test_coded_search_of_exact_codes_is_exact(spark, monkeypatch):
         assert coded.keys() == exact.keys() and all(coded[k] == pytest.approx(exact[k], abs=1e-8) for k in exact)
 
 
+def test_refined_search_equals_searches_one_by_one(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = spark.createDataFrame([(7 * i, v.tolist()) for i, v in enumerate(np.repeat(rng.normal(size=(60, 8)), 2, axis=0))], "b_id long, vec array<double>")
+    queries = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(12)], "q_id long, vec array<double>")
+    cs = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(5)], "list_id long, centroid array<double>")
+    book = spark.createDataFrame([(s, c, (rng.normal(size=4) * 2).tolist()) for s in range(2) for c in range(9)], "sub int, code long, centroid array<double>")
+    lists = knn.build_pq_lists(base, cs, book, 2, residuals=True)
+    for block in (50_000, 7):
+        monkeypatch.setattr(knn, "BASE_BLOCK", block)
+        found = {tuple(r)[:3] for r in knn.ivfpq_refined(queries, lists, cs, book, 9, 4, [1, 2, 5], 2).collect()}
+        own = {(n, r["q_id"], r["b_id"]) for n in (1, 2, 5) for r in knn.reranked(knn.knn_ivfpq(queries, lists, cs, book, 9, n, 2), queries, base, 4).collect()}
+        assert found == own and len(found) > 100
+
+
+def test_recall_is_measured_by_one_search(spark):
+    from kinmap.plans import catalog
+
+    plan = catalog.queries()["ivfpq_recall"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().logical().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 1
+
+
+def test_nearest_in_parts_with_copies_and_bad_values():
+    rng = np.random.default_rng(2)
+    b, q, ids = np.repeat(rng.normal(size=(9000, 5)) + 100, 2, axis=0), rng.normal(size=(600, 5)) + 100, rng.permutation(18_000)
+    d = np.round(np.sqrt(((q[:, None] - b[None]) ** 2).sum(axis=2)), knn.DIGITS)
+    expected = np.concatenate([ids[np.lexsort((ids, x))[:7]] for x in d])
+    assert (knn.nearest(q, b, ids, 7)[1] == expected).all()
+    best = knn.Best(7)
+    for part in np.array_split(np.arange(18_000), 5):
+        best.add(*knn.nearest(q, b[part], ids[part], 7, best.within(len(q))))
+    assert (best.ids == expected).all()
+    bad = np.concatenate((b, np.full((1, 5), np.nan), np.full((1, 5), np.inf)))
+    assert (knn.nearest(q, bad, np.append(ids, (18_000, 18_001)), 7)[1] == expected).all()
+
+
 def test_trained_index_finds_the_neighbours(spark):
     from kinmap.plans import catalog
 
