@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmap.llm.common import saved, skew_join, table
+from kinmap.llm.common import drop_scratch, saved, scratch_mark, skew_join, table
 from kinmap.llm.decontaminate import find_contamination
 from kinmap.llm.langid import identify
 from kinmap.llm.packing import pack_documents
@@ -41,7 +41,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     own = [F.col("row").getField(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]
     rows = _nested(docs, "doc_id", "text").withColumn("id", F.xxhash64(*own))
-    found = saved(similar_documents(rows, key="id", text="r_text", keep=["id", "r_doc_id"]), "near")
+    begin = scratch_mark()
+    found = similar_documents(rows, key="id", text="r_text", keep=["id", "r_doc_id"])
+    upto, found = scratch_mark(), saved(found, "near")
+    drop_scratch(begin, upto)  # sets, sketches and links are not read again
     order = F.struct(F.col("r_doc_id").isNull().alias("last"), "r_doc_id", "id")
     groups = saved(found.groupBy("component_id").agg(F.min(order).alias("best"), F.count("*").alias("n")).filter("n > 1"), "groups")
     total = found.count()

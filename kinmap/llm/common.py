@@ -42,13 +42,25 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 
 
 def _clean() -> None:
-    for spark, path in _scratch:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        drop_scratch(0, len(_scratch))
+    except Exception:  # the session may be gone
+        return
+
+
+def scratch_mark() -> int:
+    """How many scratch paths there are, to tell those made later."""
+    return len(_scratch)
+
+
+def drop_scratch(since: int, upto: int) -> None:
+    """Removes the tables at the scratch paths made between two marks; nothing may read them any more. The marks of later paths stay."""
+    for i in range(since, upto):
+        spark, path = _scratch[i]
+        if path:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session may be gone
-            return
+            _scratch[i] = spark, ""
 
 
 def saved(df: DataFrame, tag: str, by: list[str] | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmap.llm.common import Carried, bounded_batches, saved, skew_join, slices
+from kinmap.llm.common import Carried, bounded_batches, drop_scratch, saved, scratch_mark, skew_join, slices
 from kinmap.llm.components import components, labels_of
 from kinmap.llm.simhash import majority_bits, near_links
 from kinmap.llm.words import LOWER, listed, text_column, translated, words_of
@@ -198,6 +198,21 @@ class Crowd:
                         yield i, j
                         self.labels = labels_of(len(self.n), np.array([i]), np.array([j]), self.labels)
 
+    def suspects(self) -> np.ndarray:
+        """Members that length and sketch allow to be alike with some member of another component; no pair of others is alike."""
+        found = np.zeros(len(self.n), bool)
+        upto = np.searchsorted(self.n, self.n * self.likeness.q // self.likeness.p, side="right")
+        for i, end in enumerate(upto.tolist()):
+            others = np.arange(i + 1, end)
+            others = others[(self.labels[others] != self.labels[i]) & ((self.block[others] != self.block[i]) | (not self.two))]
+            for at in range(0, len(others), PAIRS_AT_A_TIME):
+                part = others[at : at + PAIRS_AT_A_TIME]
+                apart = np.bitwise_count(self.bits[i] ^ self.bits[part]).sum(axis=1, dtype=np.int64)
+                for j in part[self.likeness.possible(self.n[i], self.n[part], apart)].tolist():
+                    if not (found[i] and found[j]) and self.joins(i, j):
+                        found[i] = found[j] = True
+        return np.flatnonzero(found)
+
 
 def first_of(column: str) -> Callable:
     """Rows with the first occurrence of each value in a partition."""
@@ -321,8 +336,10 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
         named = saved(vertices.join(wanted, "fp", "left_semi").select(F.col("fp").alias("_fp"), F.col("doc").alias("_key")), "wanted")
         few = named.count() <= BROADCAST_ROWS
         texts = rows.select("_key", "_text").join(F.broadcast(named) if few else named, "_key").select("_fp", "_text")
-        found = saved(bounded_batches(texts).mapInArrow(hashed(set_of), "fp long, elements binary"), "texts")
-        return saved(found.repartition("fp").mapInArrow(first_of("fp"), "fp long, elements binary"), "elements")
+        begin, found = scratch_mark(), saved(bounded_batches(texts).mapInArrow(hashed(set_of), "fp long, elements binary"), "texts")
+        upto, first = scratch_mark(), saved(found.repartition("fp").mapInArrow(first_of("fp"), "fp long, elements binary"), "elements")
+        drop_scratch(begin, upto)
+        return first
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "elements"):
@@ -335,7 +352,11 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
-        return saved(bounded_batches(with_sides(pairs, elements(wanted))).mapInArrow(confirm, "u long, v long"), "links")
+        begin = scratch_mark()
+        sets = elements(wanted)
+        upto, links = scratch_mark(), saved(bounded_batches(with_sides(pairs, sets)).mapInArrow(confirm, "u long, v long"), "links")
+        drop_scratch(begin, upto)
+        return links
 
     # one pair of each set first: most others are then of one component, and their sets need not be brought together
     first = saved(likely.groupBy("u").agg(F.min("v").alias("v")), "first")
@@ -352,7 +373,9 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # confirmed; groups in which some of that fails are compared by whole sets
     crowd = met.filter("u = v").select("sig", F.col("u").alias("fp"), "n")
 
-    def compare(exact: bool) -> Callable:
+    def compare(exact: bool, suspects: bool = False) -> Callable:
+        """sig, u, v of the pairs of each crowd; or its suspects, with v = u."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = gathered(batches, "sig", "a", "b", "block", "fp", "n", "root", "raw")
             if not held:
@@ -362,12 +385,21 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
             new = np.flatnonzero(np.concatenate(([True], (np.diff(sig[order]) != 0) | (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0))))
             for begin, end in zip(new.tolist(), [*new[1:].tolist(), len(order)]):
                 own = order[begin:end]
-                found = [(sig[own[i]], fp[own[i]], fp[own[j]]) for i, j in Crowd(n[own], root[own], block[own], [raw[i] for i in own.tolist()], likeness, exact).pairs()]
+                crowd = Crowd(n[own], root[own], block[own], [raw[i] for i in own.tolist()], likeness, exact)
+                pairs = ((i, i) for i in crowd.suspects().tolist()) if suspects else crowd.pairs()
+                found = [(sig[own[i]], fp[own[i]], fp[own[j]]) for i, j in pairs]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["sig", "u", "v"])
 
         return run
 
+    def compared(open_: DataFrame, side: DataFrame, n_open: int, run: Callable) -> DataFrame:
+        """``run`` on the groups of ``open_(sig, fp, n, root, members)``, cut into blocks, with the column raw of ``side(fp, raw)``."""
+        dealt = open_.withColumn("blocks", F.ceil(F.col("members") / CROWD_ROWS).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(fp), blocks) AS int)"))
+        dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("sig", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "fp", "n", "root")
+        spread = dealt.join(side, "fp").repartition(max(8, n_open // CROWD_ROWS), "sig", "a", "b")
+        return saved(bounded_batches(spread).mapInArrow(run, "sig long, u long, v long"), "near")
+
     def still_open() -> DataFrame:
         """Members of groups in several components, without groups that lie in a wider one: where the widest group of all members of a group is
         one and the same other, that holds all of its pairs."""
@@ -383,11 +415,16 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
         n_open = open_.count()
         if not n_open:
             break
-        dealt = open_.withColumn("blocks", F.ceil(F.col("members") / CROWD_ROWS).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(fp), blocks) AS int)"))
-        dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("sig", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "fp", "n", "root")
-        side = elements(open_.select("fp").distinct()).withColumnRenamed("elements", "raw") if exact else sketched.select("fp", F.col("bits").alias("raw"))
-        spread = dealt.join(side, "fp").repartition(max(8, n_open // CROWD_ROWS), "sig", "a", "b")
-        near = saved(bounded_batches(spread).mapInArrow(compare(exact), "sig long, u long, v long"), "near").select("sig", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        side = sketched.select("fp", F.col("bits").alias("raw"))
+        if exact:  # whole sets are large and each is in many groups: only those that sketches cannot tell apart are brought together
+            left = compared(open_, side, n_open, compare(False, suspects=True)).select("sig", F.col("u").alias("fp")).distinct()
+            open_ = open_.drop("members").join(left, ["sig", "fp"], "left_semi")
+            open_ = saved(open_.join(open_.groupBy("sig").agg(F.count("*").alias("members")), "sig"), "open")
+            n_open = open_.count()
+            if not n_open:
+                break
+            side = elements(open_.select("fp").distinct()).withColumnRenamed("elements", "raw")
+        near = compared(open_, side, n_open, compare(exact)).select("sig", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         if exact:
             links = links.unionByName(near.select("u", "v"))
             roots = saved(components(links), "roots")
