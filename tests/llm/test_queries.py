@@ -94,3 +94,23 @@ def test_pipeline_of_nothing(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+def test_near_dedup_keeps_no_tables_but_its_own(spark):
+    from kinmap.llm import common
+
+    rows = [(i, f"{i % 7} one two three four five six seven eight nine {i % 5}") for i in range(40)]
+    begin = common.scratch_mark()
+    assert corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).count() == 35
+    left = [path.rsplit("/", 1)[1].split("-")[0] for _, path in common._scratch[begin:] if path]
+    assert left == ["near", "groups", "told"]
+
+
+def test_near_dedup_decides_what_the_later_stages_read(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    copies = docs.filter("doc_id < 20").withColumn("doc_id", F.col("doc_id") + 1_000_000)
+    monkeypatch.setattr(corpus_pipeline, "table", lambda s, d, name: docs.unionByName(copies) if name == "documents" else common_table(s, d, name))
+    common_table = lambda s, d, name: s.read.parquet(f"{d}/{name}.parquet")
+    with_it = corpus_pipeline.run(spark, SF).filter("doc_id >= 1000000").count()
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, f) for n, f in corpus_pipeline.STAGES if n != "near_dedup"])
+    assert with_it == 0 < corpus_pipeline.run(spark, SF).filter("doc_id >= 1000000").count()
