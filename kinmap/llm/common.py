@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -137,8 +138,16 @@ def bounded_batches(df: DataFrame, n_bytes: int = BATCH_BYTES) -> DataFrame:
     return df
 
 
+def release() -> None:
+    """Hands what a Python worker has freed back to the system; allocators keep it otherwise, and workers stay for the next stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU library only
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that a slice has at most ``limit`` bytes in ``column``, or one row."""
+    """The batches cut so that a slice has at most ``limit`` bytes in ``column``, or one row. At the end what was freed is
+    released."""
     for batch in batches:
         sizes = batch.column(column)
         lengths = pc.fill_null(pc.binary_length(sizes), 0).to_numpy(zero_copy_only=False)
@@ -150,6 +159,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             held += n + 64
         if begin < batch.num_rows:
             yield batch.slice(begin)
+    release()
 
 
 class Carried:

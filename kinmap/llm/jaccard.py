@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmap.llm.common import Carried, bounded_batches, drop_scratch, saved, scratch_mark, skew_join, slices
+from kinmap.llm.common import Carried, bounded_batches, drop_scratch, release, saved, scratch_mark, skew_join, slices
 from kinmap.llm.components import components, labels_of
 from kinmap.llm.simhash import majority_bits, near_links
 from kinmap.llm.words import LOWER, listed, text_column, translated, words_of
@@ -226,6 +226,7 @@ def first_of(column: str) -> Callable:
                     seen.add(x)
                     new.append(i)
             yield batch.take(pa.array(new, pa.int64()))
+        release()
 
     return run
 
@@ -301,6 +302,8 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
         if held := gathered(batches, "sig", "fp", "n"):
             for columns in first_pairs(*held, likeness):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "u", "v", "n"])
+            del held, columns
+            release()
 
     prefixes = told.select(F.explode("prefix").alias("sig"), "fp", "n")
     piece = F.lit(0)
@@ -390,6 +393,8 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 found = [(sig[own[i]], fp[own[i]], fp[own[j]]) for i, j in pairs]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["sig", "u", "v"])
+            del held, raw, crowd, pairs
+            release()
 
         return run
 

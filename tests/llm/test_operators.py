@@ -786,3 +786,14 @@ def test_slices_are_bounded():
     parts = list(common.slices(iter([batch]), "t", 300))
     assert sum(p.num_rows for p in parts) == 52 and max(p.num_rows for p in parts) < 10
     assert pa.Table.from_batches(parts).column("t").to_pylist() == batch.column("t").to_pylist()
+
+
+def test_suspects_of_a_crowd_hold_every_alike_pair():
+    rng = np.random.default_rng(4)
+    likeness, whole = jaccard.Likeness(0.8), np.sort(rng.integers(1, 1 << 62, 200).astype(np.uint64))
+    sets = [np.sort(np.concatenate((whole[k:], rng.integers(1, 1 << 62, k).astype(np.uint64)))) for k in (0, 10, 21, 60, 60, 90, 120, 150)]
+    n, root, block = np.full(len(sets), 200), np.array([0, 0, 2, 3, 4, 5, 6, 7]), np.zeros(len(sets), np.int64)
+    rows, hashes = np.repeat(np.arange(len(sets)), 200), np.concatenate(sets)
+    crowd = jaccard.Crowd(n, root, block, jaccard.sketches(rows, hashes, n).to_pylist(), likeness, False)
+    alike = {x for i, j in itertools.combinations(range(len(sets)), 2) if root[i] != root[j] and likeness.alike(sets[i], sets[j]) for x in (i, j)}
+    assert alike and alike <= set(crowd.suspects().tolist()) < set(range(len(sets)))
