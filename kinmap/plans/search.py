@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -214,12 +216,12 @@ def trained_index(spark, sf, lists=8, codes=256, subs=16):
 
 
 def ivfpq_recall(spark, sf):
-    """Share of the 10 exact neighbours that a trained index finds: 50 candidates by code from the closest lists, ranked anew by their
-    vectors."""
+    """Share of the 10 exact neighbours that a trained index finds: candidates by code from the closest lists (50; half the root of
+    the number of vectors, if that is more, as codes tell less among more), ranked anew by their vectors."""
     q, b, cs, books = trained_index(spark, sf)
     exact = checkpointed(hits(spark, sf).select("q_id", "b_id"))
     total, nprobes = exact.agg(F.count("*").alias("total")), [2, 4, 8]
-    near = knn.ivfpq_refined(q, knn.build_pq_lists(b, cs, books, 16, residuals=True), cs, books, 50, K, nprobes, 16)
+    near = knn.ivfpq_refined(q, knn.build_pq_lists(b, cs, books, 16, residuals=True), cs, books, max(50, math.isqrt(b.count()) // 2), K, nprobes, 16)
     found = near.join(exact, ["q_id", "b_id"]).groupBy("nprobe").agg(F.count("*").alias("found"))
     every = spark.createDataFrame([(n,) for n in nprobes], "nprobe long").join(found, "nprobe", "left").crossJoin(total)
     return every.select("nprobe", F.round(F.coalesce("found", F.lit(0)) / F.col("total"), 6).alias("recall"))
